@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .binding import bind
 from .text import trim_all
 
 # Unicode noncharacters, reserved for a program's internal use.
@@ -109,11 +110,6 @@ def token(category: str) -> str:
     return f"[redacted: {category}]"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate value once and use it many times in body."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _marked(text: Column, rule: Rule) -> Column:
     return F.split(F.regexp_replace(text, rule.regex, f"{MARK}$0{MARK}"), MARK)
 
@@ -145,7 +141,7 @@ def _gates(text: Column) -> Column:
     # The two letters whose case-insensitive partners lower() does not reach.
     low = F.lower(F.translate(text, "\u0130\u017f", "is"))
     facts = F.struct(low.alias("low"), text.rlike(r"\p{Nd}").alias("digit"))
-    return _bind(
+    return bind(
         facts,
         lambda f: F.transform(
             needles,
@@ -167,7 +163,7 @@ def redact(text: Column) -> Column:
     """Every accepted match replaced by `[redacted: <category>]`."""
     state = F.struct(text.alias("text"), _gates(text).alias("gates"))
     for number, rule in enumerate(RULES):
-        state = _bind(state, _redact_step(number, rule))
+        state = bind(state, _redact_step(number, rule))
     return state["text"]
 
 
@@ -200,7 +196,7 @@ def _count_step(number: int, rule: Rule) -> Callable[[Column], Column]:
                 F.concat(s["hits"], F.array(count)).alias("hits"),
             )
 
-        return _bind(_bind(pieces, checked), rebuilt)
+        return bind(bind(pieces, checked), rebuilt)
 
     return step
 
@@ -210,13 +206,13 @@ def redaction_hits(text: Column) -> Column:
     none = F.array().cast("array<int>")
     state = F.struct(text.alias("text"), _gates(text).alias("gates"), none.alias("hits"))
     for number, rule in enumerate(RULES):
-        state = _bind(state, _count_step(number, rule))
+        state = bind(state, _count_step(number, rule))
     return state["hits"]
 
 
 def safe_label(text: Column) -> Column:
     """The trimmed label, or null when it is empty or anything in it had to be redacted."""
-    return _bind(
+    return bind(
         trim_all(redact(text)),
         lambda clean: F.when((clean != "") & ~clean.contains("[redacted:"), clean),
     )

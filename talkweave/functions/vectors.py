@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
+
+def _sum(left: Column, right: Column, term: Callable[[Column, Column], Column]) -> Column:
+    """Sum of a term over the positions both vectors have, in double."""
 
-def _dot(left: Column, right: Column) -> Column:
-    products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    def guarded(x: Column, y: Column) -> Column:
+        return F.coalesce(term(x.cast("double"), y.cast("double")), F.lit(0.0))
+
+    return F.aggregate(F.zip_with(left, right, guarded), F.lit(0.0), lambda total, x: total + x)
 
 
 def cosine(left: Column, right: Column) -> Column:
     """Cosine over the shorter length; 0 for an empty vector, denominator at least 1e-12."""
-    shared = F.least(F.size(left), F.size(right))
-    left, right = F.slice(left, F.lit(1), shared), F.slice(right, F.lit(1), shared)
-    norm = F.sqrt(_dot(left, left) * _dot(right, right))
-    return F.when(shared > 0, _dot(left, right) / F.greatest(F.lit(1e-12), norm)).otherwise(
-        F.when(shared == 0, F.lit(0.0))
-    )
+    dot = _sum(left, right, lambda x, y: x * y)
+    left_norm = _sum(left, right, lambda x, y: F.when(y.isNotNull(), x * x))
+    right_norm = _sum(left, right, lambda x, y: F.when(x.isNotNull(), y * y))
+    return dot / F.greatest(F.lit(1e-12), F.sqrt(left_norm * right_norm))
 
 
 def fit_vector(vector: Column, dims: int) -> Column:
     """First dims values at unit length (a zero vector stays zero), padded with zeros."""
-    head = F.slice(vector, 1, dims)
-    norm = F.sqrt(_dot(head, head))
-    scaled = F.transform(
-        head, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double"))
-    )
-    padding = F.array_repeat(F.lit(0.0), F.lit(dims) - F.size(head))
-    return F.concat(scaled, padding).cast("array<float>")
+
+    def fitted(head: Column) -> Column:
+        squares = _sum(head, head, lambda x, y: x * y)
+        divisor = F.when(squares > 0, F.sqrt(squares)).otherwise(F.lit(1.0))
+        scaled = bind(divisor, lambda n: F.transform(head, lambda x: x.cast("double") / n))
+        return F.concat(scaled, F.array_repeat(F.lit(0.0), F.lit(dims) - F.size(head)))
+
+    return bind(F.slice(vector, 1, dims), fitted).cast("array<float>")

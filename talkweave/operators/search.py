@@ -169,7 +169,8 @@ def embed_passages(
             out[place] = np.asarray(vector, dtype="float32")
         return pd.Series(out)
 
-    return df.withColumn(out, fit_vector(run(F.col(text)), dims))
+    raw = df.withColumn("__raw", run(F.col(text)))
+    return raw.withColumn(out, fit_vector(F.col("__raw"), dims)).drop("__raw")
 
 
 def vector_topk(

@@ -13,8 +13,8 @@ from ..sources.driver_tables import (
 from . import sql as q
 from .catalog import query
 
-WORDS = ("reth", "ion")  # used as prefixes
-QUERY = "Reth iôn"
+WORDS = ("eau", "ment")  # used as prefixes
+QUERY = "Eau Mént"
 
 TOKENS = r"""toks AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS token FROM documents)"""
 POSTINGS = "postings AS (SELECT doc_id, token, count(*) AS tf FROM toks GROUP BY 1, 2)"
@@ -92,20 +92,20 @@ def scan_substring(spark, sf):
     return found.select("message_id", "conversation_id")
 
 
-SIMILAR = """similar AS (SELECT p.passage_id, list_cosine_similarity(list_transform(p.embedding, lambda x: x::DOUBLE),
+SIMILAR = """near_passages AS (SELECT p.passage_id, list_cosine_similarity(list_transform(p.embedding, lambda x: x::DOUBLE),
     (SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = 0)) AS similarity, p.*
   FROM passages p WHERE embedding IS NOT NULL)"""
 VECTORS = q.with_(q.DOCUMENT_PASSAGES, SIMILAR.replace("SELECT p.passage_id, ", "SELECT ").replace(
     "AS similarity, p.*", "AS similarity, p.passage_id, p.start_at, p.end_at, p.direction, p.lang, p.conversation_id"))
 
 
-@query("vector_topk", VECTORS + "SELECT passage_id, round(similarity, 6) AS similarity FROM (SELECT * FROM similar ORDER BY similarity DESC, passage_id LIMIT 100)")
+@query("vector_topk", VECTORS + "SELECT passage_id, round(similarity, 6) AS similarity FROM (SELECT * FROM near_passages ORDER BY similarity DESC, passage_id LIMIT 100)")
 def vector_topk(spark, sf):
     rows = search.vector_topk(passages_from_documents(spark, sf), query_vector(spark, sf), 100)
     return rows.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("vector_topk_filtered", VECTORS + """SELECT passage_id, round(similarity, 6) AS similarity FROM (SELECT * FROM similar
+@query("vector_topk_filtered", VECTORS + """SELECT passage_id, round(similarity, 6) AS similarity FROM (SELECT * FROM near_passages
   WHERE lang = 'en' AND direction = 'to_me' AND end_at >= TIMESTAMP '2024-01-05' ORDER BY similarity DESC, passage_id LIMIT 50)""")
 def vector_topk_filtered(spark, sf):
     rows = search.vector_topk(
@@ -117,7 +117,7 @@ def vector_topk_filtered(spark, sf):
 
 def _fused(allowed: str, limit: int) -> str:
     pool = min(800, 5 * limit)
-    return f"""sem AS (SELECT passage_id, similarity FROM similar {allowed} ORDER BY similarity DESC, passage_id LIMIT {pool}),
+    return f"""sem AS (SELECT passage_id, similarity FROM near_passages {allowed} ORDER BY similarity DESC, passage_id LIMIT {pool}),
 lex AS (SELECT doc_id AS passage_id, row_number() OVER (ORDER BY score, doc_id) - 1 AS lexical_rank
   FROM bm JOIN passages ON passage_id = doc_id {allowed} ORDER BY 2 LIMIT {pool}),
 fused AS (SELECT passage_id, coalesce(similarity, 0) AS sim, lexical_rank FROM sem FULL OUTER JOIN lex USING (passage_id)),
@@ -195,14 +195,14 @@ _COUNTS = ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE
 _NORM = " + ".join(f"n{i} * n{i}" for i in range(8))
 
 
-@query("embedded_documents", f"""SELECT doc_id, 12 AS dims, round(n0 / greatest(sqrt({_NORM}), 1e-300), 4) AS first_value,
-  round(n7 / greatest(sqrt({_NORM}), 1e-300), 4) AS eighth_value, 0.0::DOUBLE AS last_value FROM (SELECT doc_id, {_COUNTS} FROM documents)""")
+@query("embedded_documents", f"""SELECT doc_id, 12 AS dims, round(n0 / greatest(sqrt({_NORM}), 1e-300), 3) AS first_value,
+  round(n7 / greatest(sqrt({_NORM}), 1e-300), 3) AS eighth_value, 0.0::DOUBLE AS last_value FROM (SELECT doc_id, {_COUNTS} FROM documents)""")
 def embedded_documents(spark, sf):
     rows = search.embed_passages(table(spark, sf, "documents"), letter_embedder, dims=12)
     return rows.select(
         "doc_id",
         F.size("embedding").alias("dims"),
-        F.round(F.col("embedding")[0].cast("double"), 4).alias("first_value"),
-        F.round(F.col("embedding")[7].cast("double"), 4).alias("eighth_value"),
+        F.round(F.col("embedding")[0].cast("double"), 3).alias("first_value"),
+        F.round(F.col("embedding")[7].cast("double"), 3).alias("eighth_value"),
         F.col("embedding")[11].cast("double").alias("last_value"),
     )

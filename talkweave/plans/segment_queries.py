@@ -27,7 +27,7 @@ def counting_scorer(texts: list[str]) -> np.ndarray:
 def _passages_sql(source: str) -> str:
     return q.with_(q.EVENT_MESSAGES, q.TALK_MESSAGES, f"""ranked AS (
   SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY message_id) - 1 AS r FROM {source})""",
-        """placed AS (SELECT *, r // 512 AS page, r % 512 AS at FROM ranked)""",
+        """placed AS (SELECT *, r // 512 AS page, r % 512 AS pos FROM ranked)""",
         """pages AS (SELECT conversation_id, page, count(*) AS n FROM placed GROUP BY 1, 2)""",
         """starts AS (SELECT conversation_id, page, unnest(generate_series(0, n - 1, 6)) AS s FROM pages)""",
         f"""built AS (SELECT conversation_id, min(message_id) AS start_message_id, max(message_id) AS end_message_id,
@@ -35,7 +35,7 @@ def _passages_sql(source: str) -> str:
     array_to_string(list_sort(list(DISTINCT direction)), ',') AS directions,
     string_agg(CASE WHEN trim(text) <> '' THEN {q.iso('sent_at')} || ' · ' ||
       CASE WHEN direction = 'from_me' THEN 'You' ELSE 'Contact' END || ': ' || trim(text) END, chr(10) ORDER BY message_id) AS text
-  FROM starts JOIN placed USING (conversation_id, page) WHERE at BETWEEN s AND s + 7
+  FROM starts JOIN placed USING (conversation_id, page) WHERE pos BETWEEN s AND s + 7
   GROUP BY conversation_id, page, s)""")
 
 

@@ -10,7 +10,7 @@ from ..functions.scores import dominant, round4, tone_from_logits
 from ..functions.vectors import cosine, fit_vector
 from ..operators import search
 from ..sources.calendar import availability_label, status_label
-from ..sources.driver_tables import table
+from ..sources.driver_tables import query_vector, table
 from .catalog import query
 
 # --- redaction --------------------------------------------------------------
@@ -174,16 +174,16 @@ def vector_lengths(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("dims"))
 
 
-@query("cosine_by_label", """SELECT a.vec_id, round(list_cosine_similarity(a.embedding, CAST(b.v AS FLOAT[])), 5) AS similarity
+@query("cosine_similarity", """SELECT a.vec_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.v, lambda x: x::DOUBLE)), 5) AS similarity
   FROM embeddings a, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) b""")
-def cosine_by_label(spark, sf):
+def cosine_similarity(spark, sf):
     rows = table(spark, sf, "embeddings")
-    first = rows.filter("vec_id = 0").agg(F.first("embedding")).scalar()
+    first = F.lit(query_vector(spark, sf))
     return rows.select("vec_id", F.round(cosine(F.col("embedding"), first), 5).alias("similarity"))
 
 
-@query("fitted_vectors", """SELECT vec_id, 96 AS dims, round(list_sum(list_transform(embedding[1:48], lambda x: x::DOUBLE * x::DOUBLE)) / greatest(n * n, 1e-300), 5) AS norm,
-  round(embedding[1]::DOUBLE / n, 5) AS first_value, 0.0::DOUBLE AS last_value
+@query("fitted_vectors", """SELECT vec_id, 96 AS dims, round(list_sum(list_transform(embedding[1:48], lambda x: x::DOUBLE * x::DOUBLE)) / greatest(n * n, 1e-300), 4) AS norm,
+  round(embedding[1]::DOUBLE / n, 4) AS first_value, 0.0::DOUBLE AS last_value
   FROM (SELECT *, sqrt(list_sum(list_transform(embedding[1:48], lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)""")
 def fitted_vectors(spark, sf):
     rows = table(spark, sf, "embeddings").select(
@@ -193,8 +193,8 @@ def fitted_vectors(spark, sf):
     return rows.select(
         "vec_id",
         F.size("v").alias("dims"),
-        F.round(norm, 5).alias("norm"),
-        F.round(F.col("v")[0].cast("double"), 5).alias("first_value"),
+        F.round(norm, 4).alias("norm"),
+        F.round(F.col("v")[0].cast("double"), 4).alias("first_value"),
         F.col("v")[95].cast("double").alias("last_value"),
     )
 

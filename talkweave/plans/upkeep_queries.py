@@ -215,7 +215,7 @@ def written_index(spark, sf):
 
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
     return stream.selectExpr(
         "CAST(user_id AS STRING) AS conversation_id", "event_id AS message_id", "ts AS sent_at",
         "CASE WHEN event_type IN ('purchase', 'click') THEN 'from_me' ELSE 'to_me' END AS direction",

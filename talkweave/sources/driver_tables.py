@@ -88,10 +88,9 @@ def messages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def query_vector(spark: SparkSession, sf_dir: str):
-    """The vector with vec_id 0, as a scalar subquery."""
-    first = table(spark, sf_dir, "embeddings").filter("vec_id = 0")
-    return first.agg(F.first("embedding")).scalar()
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The vector with vec_id 0: one row, as a model would hand it over."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id = 0").first().embedding
 
 
 def threads_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
