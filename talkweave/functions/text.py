@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 MAX_QUERY_TOKENS = 32
 MAX_QUERY_CHARS = 500
-TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+# Letters, digits and private-use characters of lower-cased text; ASCII is tested first.
+TOKEN = r"[a-z0-9[\p{L}\p{N}\p{Co}&&[^\x00-\x7f]]]+"
 LINK = r"https?://\S+|www\.\S+"
 
 # The characters Unicode calls white space.

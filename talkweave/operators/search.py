@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import iso_text
 from ..functions.text import fold_text, query_tokens, required_query, tokens
-from ..functions.vectors import cosine, fit_vector
+from ..functions.vectors import cosine, cosine_to, fit_vector
+from ..session import cut_lineage
 from .filters import any_contains, clamp_limit, filter_messages, filter_passages
 from .reading import newest
 
@@ -22,33 +23,47 @@ POOL_LIMIT, POOL_FACTOR, RRF = 800, 5, 61
 # --- index ------------------------------------------------------------------
 
 
-def build_token_index(
-    df: DataFrame, id: str | Sequence[str], text: str = "text"
-) -> tuple[DataFrame, DataFrame]:
-    """(postings: id, token, tf; lengths: id, length) over whole texts.
+def _token_rows(df: DataFrame, ids: list[str], text: str) -> DataFrame:
+    """ids, token, tf, length; a text's own row has the empty token, also when it has no words.
 
     Occurrences of a word inside one text are added up before the shuffle, and
-    the shuffle key is (id, token), so a word that occurs everywhere is spread.
+    the shuffle key is (ids, token), so a word that occurs everywhere is spread.
     """
-    ids = [id] if isinstance(id, str) else list(id)
-    words = df.select(*ids, tokens(F.col(text)).alias("words"))
-    postings = (
-        words.select(*ids, F.explode("words").alias("token"))
+    words = df.select(*ids, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    return (
+        words.select(
+            *ids,
+            F.size("words").alias("length"),
+            F.explode(F.concat(F.array(F.lit("")), "words")).alias("token"),
+        )
         .groupBy(*ids, "token")
-        .agg(F.count("*").cast("int").alias("tf"))
+        .agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
     )
-    lengths = words.select(*ids, F.coalesce(F.size("words"), F.lit(0)).alias("length"))
-    return postings, lengths
 
 
-def write_token_index(postings: DataFrame, path: str, ids: Sequence[str]) -> None:
-    """Postings sorted by token, so that a prefix reads only matching row groups."""
-    (
-        postings.repartitionByRange("token", *ids)
-        .sortWithinPartitions("token", *ids)
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+def _split_index(rows: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    postings = rows.filter(F.col("token") != "")
+    return postings, rows.filter(F.col("token") == "").select(*ids, "length")
+
+
+def build_token_index(
+    df: DataFrame, id: str | Sequence[str], text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """(postings: ids, token, tf, length; lengths: ids, length) over whole texts."""
+    ids = [id] if isinstance(id, str) else list(id)
+    return _split_index(_token_rows(df, ids, text), ids)
+
+
+def store_token_index(
+    df: DataFrame, id: str | Sequence[str], text: str = "text", path: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The same, written once and read back, so that queries do not tokenise again.
+
+    Every file is sorted by token: a prefix reads only the matching row groups.
+    """
+    ids = [id] if isinstance(id, str) else list(id)
+    rows = _token_rows(df, ids, text).sortWithinPartitions("token", *ids)
+    return _split_index(cut_lineage(rows, path), ids)
 
 
 def corpus_stats(postings: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -63,7 +78,7 @@ def corpus_stats(postings: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def _ids_of(postings: DataFrame) -> list[str]:
-    return [c for c in postings.columns if c not in ("token", "tf")]
+    return [c for c in postings.columns if c not in ("token", "tf", "length")]
 
 
 def _prefix_hits(postings: DataFrame, words: list[str]) -> DataFrame:
@@ -75,6 +90,7 @@ def _prefix_hits(postings: DataFrame, words: list[str]) -> DataFrame:
         postings.filter(any_word)
         .groupBy(*_ids_of(postings))
         .agg(
+            F.first("length").alias("length"),
             *[
                 F.sum(F.when(F.col("token").startswith(w), F.col("tf")).otherwise(0)).alias(f"f{i}")
                 for i, w in enumerate(words)
@@ -106,7 +122,7 @@ def bm25(
         F.struct(*[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words))])
         .alias("s")
     ).scalar()
-    rows = hits.join(lengths, ids).withColumns({"corpus": corpus, "found": found})
+    rows = hits.withColumns({"corpus": corpus, "found": found})
     score = F.lit(0.0)
     for i in range(len(words)):
         df, tf = F.col(f"found.d{i}"), F.col(f"f{i}")
@@ -181,14 +197,15 @@ def vector_topk(
     **filters,
 ) -> DataFrame:
     """id and similarity of the k nearest embedded passages."""
-    vector = (
-        query_vector
+    embedding = F.col("embedding")
+    similarity = (
+        cosine(query_vector, embedding)
         if isinstance(query_vector, Column)
-        else F.lit([float(x) for x in query_vector])
+        else cosine_to(query_vector)(embedding)
     )
-    rows = filter_passages(passages, **filters).filter(F.col("embedding").isNotNull())
+    rows = filter_passages(passages, **filters).filter(embedding.isNotNull())
     return (
-        rows.select(id, cosine(vector, F.col("embedding")).alias("similarity"))
+        rows.select(id, similarity.alias("similarity"))
         .orderBy(F.col("similarity").desc(), id)
         .limit(k)
     )

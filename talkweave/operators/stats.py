@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import archive_seconds, iso_text, normalize_epoch, period
 from ..functions.redaction import safe_label
-from ..sources.archive import participants
-from ..sources.contacts import PROFILE, enrich_people
+from ..functions.identity import normalize_identifier, opaque_id
+from ..sources.archive import handle_people
+from ..sources.contacts import PROFILE, enrich_people, match_contacts
 from .filters import any_contains, clamp_limit, filter_messages, real_messages
 
 UNKNOWN = "Unknown person"
@@ -34,87 +35,87 @@ def database_info(archive: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def name_conversations(chats: DataFrame, members: DataFrame) -> DataFrame:
-    """`chat_id, name`: the safe display name, else the known members, else a fixed label.
+def conversation_name(display_name: Column, known: Column) -> Column:
+    """The safe display name, else the known participants, else a fixed label."""
+    joined = F.when(F.size(known) > 0, F.array_join(known, ", "))
+    return F.coalesce(safe_label(display_name), joined, F.lit("Unnamed conversation"))
 
-    members: chat_id, names (array of participant names in order).
-    """
+
+def name_conversations(chats: DataFrame, members: DataFrame) -> DataFrame:
+    """`chat_id, name`. members: chat_id, names (array of participant names in order)."""
     known = F.filter("names", lambda n: n != UNKNOWN)
-    joined = F.when(F.size(known) > 0, F.array_join(known, ", "))
     return chats.join(members, "chat_id", "left").select(
-        "chat_id",
-        F.coalesce(
-            safe_label(F.col("display_name")), joined, F.lit("Unnamed conversation")
-        ).alias("name"),
+        "chat_id", conversation_name(F.col("display_name"), known).alias("name")
     )
 
 
-def _people(archive: dict[str, DataFrame], contacts: DataFrame, key: bytes) -> DataFrame:
-    from ..sources.archive import handle_people
-
-    return enrich_people(handle_people(archive["handle"], key), contacts)
-
-
-def _last_dates(archive: dict[str, DataFrame]) -> DataFrame:
+def _last_dates(
+    archive: dict[str, DataFrame], chat_ids: list[int] | None = None
+) -> DataFrame:
     """`chat_id, last_date`: one row per conversation before anything else is joined."""
     dates = real_messages(archive["message"]).select(
         F.col("rowid").alias("message_id"), archive_seconds(F.col("date")).alias("date")
     )
+    bridge = archive["chat_message"].select("chat_id", "message_id")
+    if chat_ids is not None:
+        bridge = bridge.filter(F.col("chat_id").isin(chat_ids))
     return (
-        archive["chat_message"]
-        .select("chat_id", "message_id")
-        .join(dates, "message_id")
+        bridge.join(dates, "message_id")
         .groupBy("chat_id")
         .agg(F.max("date").alias("last_date"))
     )
 
 
 def conversation_directory(
-    archive: dict[str, DataFrame], contacts: DataFrame, key: bytes
+    archive: dict[str, DataFrame],
+    contacts: DataFrame,
+    key: bytes,
+    chat_ids: list[int] | None = None,
 ) -> DataFrame:
-    """Every conversation: safe name, participants, service, last message."""
-    from ..sources.archive import chat_ids
+    """Conversations with safe name, participants, service and last message.
 
-    people = _people(archive, contacts, key).select("handle_id", "person_id", *PROFILE)
+    `chat_ids` (one page at most) limits the scans to some conversations.
+    """
+    last = _last_dates(archive, chat_ids)
+    links = archive["chat_handle"].select("chat_id", "handle_id").dropDuplicates()
+    chats = archive["chat"].withColumnRenamed("rowid", "chat_id")
+    if chat_ids is not None:
+        links = links.filter(F.col("chat_id").isin(chat_ids))
+        chats = chats.filter(F.col("chat_id").isin(chat_ids))
+    chats = chats.join(last, "chat_id", "left")
+    handles = handle_people(archive["handle"], key).filter(F.col("person_id") != "unknown")
+    linked = links.join(handles, "handle_id")
+    people = enrich_people(linked, contacts).select("chat_id", "handle_id", "person_id", "name")
     members = (
-        archive["chat_handle"]
-        .select("chat_id", "handle_id")
-        .dropDuplicates()
-        .join(people.filter(F.col("person_id") != "unknown"), "handle_id")
-        .groupBy("chat_id")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("handle_id", "person_id", *PROFILE))).alias("who")
-        )
+        people.groupBy("chat_id")
+        .agg(F.sort_array(F.collect_list(F.struct("handle_id", "person_id", "name"))).alias("who"))
         .select(
             "chat_id",
             F.col("who.name").alias("names"),
             F.col("who.person_id").alias("person_ids"),
-            F.transform(
-                "who", lambda p: F.concat_ws("\n", *[p[c] for c in PROFILE])
-            ).alias("profiles"),
         )
     )
-    chats = archive["chat"].withColumnRenamed("rowid", "chat_id")
+    known = F.filter("names", lambda n: n != UNKNOWN)
     empty = F.array().cast("array<string>")
-    names = name_conversations(chats.select("chat_id", "display_name"), members)
-    return (
-        chats.join(chat_ids(archive["chat"], key), "chat_id")
-        .join(names, "chat_id")
-        .join(members, "chat_id", "left")
-        .join(_last_dates(archive), "chat_id", "left")
-        .select(
-            "chat_id",
-            "conversation_id",
-            "name",
-            F.coalesce("names", empty).alias("participants"),
-            F.coalesce("person_ids", empty).alias("person_ids"),
-            F.coalesce("profiles", empty).alias("profiles"),
-            "display_name",
-            "chat_identifier",
-            F.col("service_name").alias("service"),
-            (F.coalesce(F.col("is_archived").cast("int"), F.lit(0)) != 0).alias("archived"),
-            normalize_epoch(F.col("last_date")).alias("last_message_at"),
-        )
+    return chats.join(members, "chat_id", "left").select(
+        "chat_id",
+        opaque_id("conv", F.col("chat_id"), key).alias("conversation_id"),
+        conversation_name(F.col("display_name"), known).alias("name"),
+        F.coalesce("names", empty).alias("participants"),
+        F.coalesce("person_ids", empty).alias("person_ids"),
+        F.col("service_name").alias("service"),
+        (F.coalesce(F.col("is_archived").cast("int"), F.lit(0)) != 0).alias("archived"),
+        normalize_epoch(F.col("last_date")).alias("last_message_at"),
+    )
+
+
+def _handles_like(archive: dict[str, DataFrame], contacts: DataFrame, needle: str) -> DataFrame:
+    """`handle_id` of the people whose contact fields contain the needle."""
+    keyed = archive["handle"].select(
+        F.col("rowid").alias("handle_id"), normalize_identifier(F.col("id")).alias("identifier_key")
+    )
+    return keyed.join(match_contacts(contacts, needle), "identifier_key", "left_semi").select(
+        "handle_id"
     )
 
 
@@ -125,30 +126,36 @@ def list_conversations(
     query: str | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """The most recent conversations; query matches names, identifiers and contact fields."""
-    rows = conversation_directory(archive, contacts, key)
+    """The most recent conversations; query matches names, identifiers and contact fields.
+
+    The page is chosen first, on ids and dates alone, and read as at most 100
+    ids; only its conversations are named.
+    """
+    chats = archive["chat"].withColumnRenamed("rowid", "chat_id")
     needle = (query or "").strip()
     if needle:
-        handles = archive["handle"].select(F.col("rowid").alias("handle_id"), "id")
-        by_handle = (
-            archive["chat_handle"]
-            .join(handles.filter(any_contains(["id"], needle)), "handle_id", "left_semi")
-            .select("chat_id")
-            .distinct()
-            .withColumn("handle_hit", F.lit(True))
+        like_id = archive["handle"].filter(any_contains(["id"], needle))
+        handles = _handles_like(archive, contacts, needle).unionAll(
+            like_id.select(F.col("rowid").alias("handle_id"))
         )
-        in_profile = F.exists("profiles", lambda p: F.lower(p).contains(needle.lower()))
-        hit = any_contains(["display_name", "chat_identifier"], needle)
-        rows = rows.join(by_handle, "chat_id", "left").filter(
-            hit | in_profile | F.coalesce("handle_hit", F.lit(False))
+        by_handle = archive["chat_handle"].join(handles, "handle_id", "left_semi").select("chat_id")
+        by_name = chats.filter(any_contains(["display_name", "chat_identifier"], needle))
+        chats = chats.join(
+            by_handle.unionAll(by_name.select("chat_id")), "chat_id", "left_semi"
         )
+    limit = clamp_limit(limit, 1, 100, 25)
+    newest_first = [F.col("last_date").desc_nulls_last(), F.col("chat_id")]
+    page = (
+        chats.select("chat_id")
+        .join(_last_dates(archive), "chat_id", "left")
+        .orderBy(*newest_first)
+        .limit(limit)
+    )
+    ids = [row.chat_id for row in page.select("chat_id").collect()]
     return (
-        rows.orderBy(F.col("last_message_at").desc_nulls_last(), "chat_id")
-        .limit(clamp_limit(limit, 1, 100, 25))
-        .select(
-            "conversation_id", "name", "participants", "person_ids", "service", "archived",
-            "last_message_at",
-        )
+        conversation_directory(archive, contacts, key, ids)
+        .orderBy(F.col("last_message_at").desc_nulls_last(), "chat_id")
+        .drop("chat_id")
     )
 
 
@@ -159,25 +166,31 @@ def list_people(
     query: str | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """People with their number of conversations and last activity, newest first."""
-    last = _last_dates(archive)
+    """People with their number of conversations and last activity, newest first.
+
+    Only the people on the page get their contact fields.
+    """
     activity = (
         archive["chat_handle"]
         .select("chat_id", "handle_id")
         .dropDuplicates()
-        .join(last, "chat_id", "left")
+        .join(_last_dates(archive), "chat_id", "left")
         .groupBy("handle_id")
         .agg(F.count("*").alias("conversation_count"), F.max("last_date").alias("last_date"))
     )
-    people = _people(archive, contacts, key).filter(F.col("person_id") != "unknown")
+    people = handle_people(archive["handle"], key).filter(F.col("identifier").isNotNull())
     needle = (query or "").strip()
     if needle:
-        known = F.col("name") != UNKNOWN
-        people = people.filter(known & any_contains(list(PROFILE), needle))
-    return (
+        people = people.join(_handles_like(archive, contacts, needle), "handle_id", "left_semi")
+    newest_first = [F.col("last_date").desc_nulls_last(), F.col("handle_id")]
+    page = (
         people.join(activity, "handle_id", "left")
-        .orderBy(F.col("last_date").desc_nulls_last(), "handle_id")
+        .orderBy(*newest_first)
         .limit(clamp_limit(limit, 1, 200, 50))
+    )
+    return (
+        enrich_people(page, contacts)
+        .orderBy(*newest_first)
         .select(
             "person_id",
             *PROFILE,

@@ -454,6 +454,6 @@ def sample_one_conversation(spark, sf):
   JOIN chosen c USING (conversation_id) WHERE place <= 30""")
 def recent_excerpts(spark, sf):
     contacts = con.load_contacts(address_books(spark, sf))
-    directory = stats.conversation_directory(archive(spark, sf), contacts, KEY)
+    directory = stats.list_conversations(archive(spark, sf), contacts, KEY, limit=24)
     rows = reading.recent_excerpts(_normalized(spark, sf, redacted=False), directory, n=30)
     return rows.select("conversation_id", "name", "message_id", "direction", "text")

@@ -40,12 +40,12 @@ INDEX = q.with_(TOKENS, POSTINGS, LENGTHS, _bm25())
 
 
 def _index(spark, sf):
-    return search.build_token_index(table(spark, sf, "documents"), "doc_id")
+    return search.store_token_index(table(spark, sf, "documents"), "doc_id")
 
 
 @query("token_index", INDEX + "SELECT token, count(*) AS documents, sum(tf)::BIGINT AS occurrences, max(tf) AS most FROM postings GROUP BY 1")
 def token_index(spark, sf):
-    postings, _ = _index(spark, sf)
+    postings, _ = search.build_token_index(table(spark, sf, "documents"), "doc_id")
     return postings.groupBy("token").agg(
         F.count("*").alias("documents"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most")
     )
@@ -134,7 +134,7 @@ HEAD = INDEX.rstrip() + ",\n" + VECTORS[len("WITH "):].rstrip() + ",\n"
 
 def _hybrid(spark, sf, limit, **filters):
     passages = passages_from_documents(spark, sf)
-    postings, lengths = search.build_token_index(passages, "passage_id")
+    postings, lengths = search.store_token_index(passages.select("passage_id", "text"), "passage_id")
     rows = search.search_context(
         passages, postings, lengths, QUERY, query_vector(spark, sf), limit, **filters
     )
@@ -174,7 +174,7 @@ SELECT passage_id, conversation_id, {q.iso('start_at')} AS start_at, {q.iso('end
   direction AS directions, text, round(relevance, 6) AS relevance, match FROM ranked JOIN passages USING (passage_id)""")
 def public_passages(spark, sf):
     passages = passages_from_documents(spark, sf)
-    postings, lengths = search.build_token_index(passages, "passage_id")
+    postings, lengths = search.store_token_index(passages.select("passage_id", "text"), "passage_id")
     rows = search.search_context(passages, postings, lengths, QUERY, query_vector(spark, sf), 30)
     return search.public_passages(rows).withColumns({
         "person_ids": F.array_join("person_ids", ","),

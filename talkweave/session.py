@@ -49,13 +49,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write an intermediate result to the shared folder once and read it back.
 
     A table rather than `checkpoint()`, so that later branches still read only
     the columns they need. It survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/talkweave-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/talkweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -116,15 +116,17 @@ def normalize_messages(
     senders = people.select(
         F.col("handle_id").cast("long").alias("__sender"), F.col("person_id"), F.col("name")
     )
-    messages = messages.withColumn("__sender", sender_key).join(senders, "__sender", "left")
+    # The sender is resolved on narrow rows; the texts move once, to meet their conversations.
     from_me = F.col("direction") == "from_me"
-    messages = messages.withColumn(
+    who = messages.select("message_id", "direction", sender_key.alias("__sender"))
+    who = who.join(senders, "__sender", "left")
+    who = who.withColumn(
         "speaker",
         F.when(from_me, F.lit("me")).otherwise(F.coalesce("person_id", F.lit("unknown"))),
     ).withColumn(
         "sender_name",
         F.when(from_me, F.lit("You")).otherwise(F.coalesce("name", F.lit("Unknown person"))),
-    )
+    ).select("message_id", "speaker", "sender_name")
 
     members = participants(archive, key).select(
         "chat_id", F.array_sort(F.col("people.person_id")).alias("person_ids")
@@ -136,7 +138,7 @@ def normalize_messages(
         .dropDuplicates()
         .join(conversations, "chat_id")
     )
-    result = placed.join(messages, "message_id").withColumn(
+    result = placed.join(who, "message_id").join(messages, "message_id").withColumn(
         "person_ids", F.coalesce("person_ids", F.array().cast("array<string>"))
     )
     columns = [

@@ -58,15 +58,13 @@ def enrich_people(people: DataFrame, contacts: DataFrame) -> DataFrame:
     broadcasts them while their measured size allows it.
     """
     keyed = people.withColumn("identifier_key", normalize_identifier(F.col("identifier")))
-    checked = contacts.select("identifier_key", safe_labels(*[F.col(c) for c in PROFILE]).alias("safe"))
-    safe = checked.select(
-        "identifier_key", *[F.col("safe")[i].alias(c) for i, c in enumerate(PROFILE)]
-    )
-    joined = keyed.join(safe, "identifier_key", "left")
-    name = F.coalesce("name", F.lit("Unknown person"))
-    return joined.drop("identifier", "identifier_key").withColumns(
-        {"name": name, "nickname": F.when(F.col("nickname") != name, F.col("nickname"))}
+    joined = keyed.join(contacts, "identifier_key", "left").withColumn(
+        "__safe", safe_labels(*[F.col(c) for c in PROFILE])
     )
+    shown = {c: F.col("__safe")[i] for i, c in enumerate(PROFILE)}
+    shown["name"] = F.coalesce(shown["name"], F.lit("Unknown person"))
+    shown["nickname"] = F.when(shown["nickname"] != shown["name"], shown["nickname"])
+    return joined.withColumns(shown).drop("__safe", "identifier", "identifier_key")
 
 
 def match_contacts(contacts: DataFrame, needle: str) -> DataFrame:
