@@ -21,6 +21,15 @@ from .text import trim_all
 MARK = "\ufdd0\ufdd1"
 
 
+# Shapes every number rule needs somewhere in the text, and the tags that stand for them.
+RUN, PAIR, NUMBER_WORD = MARK + "run", MARK + "pair", MARK + "word"
+NUMBERS = {
+    RUN: r"(?U)\d[\d().\-\s]{5,}\d",
+    PAIR: r"(?U)\d[,\s]+-?\d",
+    NUMBER_WORD: r"(?U)\d\s+\S",
+}
+
+
 def _digits(candidate: Column) -> Column:
     return F.regexp_replace(candidate, r"(?U)\D", "")
 
@@ -60,9 +69,8 @@ class Rule:
     pattern: str
     ignore_case: bool = False
     valid: Callable[[Column], Column] | None = None
-    # Cheap tests that let text without a candidate skip the pattern.
-    needs_any: tuple[str, ...] = ()
-    needs_digit: bool = False
+    # Any of these in the lower-cased text, or one of NUMBERS by name, lets the pattern run.
+    needs: tuple[str, ...] = ()
 
     @property
     def regex(self) -> str:
@@ -71,36 +79,36 @@ class Rule:
 
 # The categories, patterns and their order decide what is redacted.
 RULES = (
-    Rule("link", r"""\b(?:https?://|www\.)[^\s<>\"']+""", needs_any=("http", "www.")),
-    Rule("email address", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", True, needs_any=("@",)),
+    Rule("link", r"""\b(?:https?://|www\.)[^\s<>\"']+""", needs=("http", "www.")),
+    Rule("email address", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", True, needs=("@",)),
     Rule("access token", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
-         needs_any=("eyj",)),
+         needs=("eyj",)),
     Rule("access token",
          r"\b(?:sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|AKIA[A-Z0-9]{16})\b",
-         needs_any=("sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "akia")),
+         needs=("sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "akia")),
     Rule("credential",
          r"""\b(?:password|passcode|verification\s+code|one[- ]time\s+(?:password|code)|otp|security\s+code|pin)\s*(?:is|:|=)\s*[\"']?[^\s,\"']{4,128}[\"']?""",
-         True, needs_any=("password", "passcode", "verification", "one-time", "one time", "otp", "security", "pin")),
-    Rule("government identifier", r"\b\d{3}-\d{2}-\d{4}\b", needs_digit=True),
+         True, needs=("password", "passcode", "verification", "one-time", "one time", "otp", "security", "pin")),
+    Rule("government identifier", r"\b\d{3}-\d{2}-\d{4}\b", needs=(RUN,)),
     Rule("government identifier",
          r"\b(?:passport|driver'?s?\s+license|license|tax\s+id)\s*(?:number|no\.?|#)?\s*(?:is|:|=)?\s*[A-Z0-9-]{5,24}\b",
-         True, needs_any=("passport", "license", "tax")),
-    Rule("payment card", r"\b(?:\d[ -]?){12,18}\d\b", valid=valid_card, needs_digit=True),
+         True, needs=("passport", "license", "tax")),
+    Rule("payment card", r"\b(?:\d[ -]?){12,18}\d\b", valid=valid_card, needs=(RUN,)),
     Rule("bank identifier", r"\b(?:routing|aba)\s*(?:number|no\.?|#)?\s*(?:is|:|=)?\s*\d{9}\b",
-         True, needs_any=("routing", "aba")),
+         True, needs=("routing", "aba")),
     Rule("bank identifier", r"\b(?:account|acct)\s*(?:number|no\.?|#)\s*(?:is|:|=)?\s*[A-Z0-9-]{6,24}\b",
-         True, needs_any=("account", "acct")),
-    Rule("IP address", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", valid=valid_ipv4, needs_digit=True),
+         True, needs=("account", "acct")),
+    Rule("IP address", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", valid=valid_ipv4, needs=(RUN,)),
     Rule("precise location",
          r"(?<![\d.])-?(?:[1-8]?\d(?:\.\d{4,})|90(?:\.0+)?)[,\s]+-?(?:1[0-7]\d(?:\.\d{4,})|(?:\d?\d)(?:\.\d{4,})|180(?:\.0+)?)(?![\d.])",
-         needs_digit=True),
-    Rule("postal address", r"\bP\.?\s*O\.?\s+Box\s+\d+[A-Z]?\b", True, needs_any=("box",)),
+         needs=(PAIR,)),
+    Rule("postal address", r"\bP\.?\s*O\.?\s+Box\s+\d+[A-Z]?\b", True, needs=("box",)),
     Rule("street address",
          r"\b\d{1,6}\s+(?:(?:N|S|E|W|NE|NW|SE|SW)\.?\s+)?(?:[\p{L}0-9.'’-]+\s+){1,7}(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Circle|Cir\.?|Highway|Hwy\.?|Parkway|Pkwy\.?|Place|Pl\.?|Terrace|Ter\.?)(?:\s+(?:Apt\.?|Apartment|Unit|Suite|Ste\.?)\s*[A-Z0-9-]+)?\b",
-         True, needs_digit=True),
+         True, needs=(NUMBER_WORD,)),
     Rule("birth date", r"\b(?:date\s+of\s+birth|dob)\s*(?:is|:|=)?\s*(?:\d{1,2}[\/-]){2}\d{2,4}\b",
-         True, needs_any=("birth", "dob")),
-    Rule("phone number", r"(?:\+?\d[\d().\-\s]{5,}\d)", valid=valid_phone, needs_digit=True),
+         True, needs=("birth", "dob")),
+    Rule("phone number", r"(?:\+?\d[\d().\-\s]{5,}\d)", valid=valid_phone, needs=(RUN,)),
 )
 
 CATEGORIES = tuple(sorted({rule.category for rule in RULES}))
@@ -131,23 +139,18 @@ def _replace(text: Column, rule: Rule) -> Column:
 
 def _gates(text: Column) -> Column:
     """One flag per rule: could its pattern match at all? False lets the text skip the pattern."""
-    quoted = (
-        "array(" + ", ".join(f"'{needle}'" for needle in rule.needs_any) + ")"
-        if rule.needs_any
-        else "CAST(array() AS array<string>)"
-        for rule in RULES
+    needles = F.expr(
+        "array(" + ", ".join(
+            "array(" + ", ".join(f"'{needle}'" for needle in rule.needs) + ")" for rule in RULES
+        ) + ")"
     )
-    needles = F.expr("array(" + ", ".join(quoted) + ")")
     # The two letters whose case-insensitive partners lower() does not reach.
     low = F.lower(F.translate(text, "\u0130\u017f", "is"))
-    facts = F.struct(low.alias("low"), text.rlike(r"\p{Nd}").alias("digit"))
+    shapes = [F.when(text.rlike(shape), F.lit(tag)).otherwise("") for tag, shape in NUMBERS.items()]
     return bind(
-        facts,
-        lambda f: F.transform(
-            needles,
-            lambda words: F.when(F.size(words) == 0, f["digit"]).otherwise(
-                F.exists(words, lambda word: F.contains(f["low"], word))
-            ),
+        F.concat(low, *shapes),
+        lambda clues: F.transform(
+            needles, lambda words: F.exists(words, lambda word: F.contains(clues, word))
         ),
     )
 
@@ -161,10 +164,14 @@ def _redact_step(number: int, rule: Rule) -> Callable[[Column], Column]:
 
 def redact(text: Column) -> Column:
     """Every accepted match replaced by `[redacted: <category>]`."""
-    state = F.struct(text.alias("text"), _gates(text).alias("gates"))
-    for number, rule in enumerate(RULES):
-        state = bind(state, _redact_step(number, rule))
-    return state["text"]
+
+    def all_rules(gates: Column) -> Column:
+        state = F.struct(text.alias("text"), gates.alias("gates"))
+        for number, rule in enumerate(RULES):
+            state = bind(state, _redact_step(number, rule))
+        return F.when(F.exists(gates, lambda g: g), state["text"]).otherwise(text)
+
+    return bind(_gates(text), all_rules)
 
 
 def redact_each(*texts: Column) -> Column:

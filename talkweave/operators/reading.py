@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_all
+from ..sources.archive import conversation_ids as chat_dimension
 from .filters import clamp_limit, in_period
 from .ranking import rank_by_time
 
@@ -110,22 +111,15 @@ def sample_conversation(
     return rows.join(F.broadcast(picked), ["conversation_id", "message_id"]).orderBy("rank")
 
 
-def recent_excerpts(
-    messages: DataFrame, conversations: DataFrame, k: int = 7, n: int = 100, pool: int = 24
-) -> DataFrame:
-    """The newest messages of the k most recent named one-to-one conversations.
-
-    conversations: conversation_id, name, participants (array of names),
-    last_message_at. The choice is k rows, so it is broadcast; the message
-    ranking keeps n rows per conversation in each task before it shuffles.
-    """
+def recent_conversations(conversations: DataFrame, k: int = 7, pool: int = 24) -> DataFrame:
+    """The k most recent named one-to-one conversations out of the newest `pool`."""
     newest_first = [F.col("last_message_at").desc_nulls_last(), F.col("conversation_id")]
     personal = (
         (F.col("name") != "Unnamed conversation")
         & (F.size("participants") == 1)
         & (F.col("participants")[0] != "Unknown person")
     )
-    chosen = (
+    return (
         conversations.orderBy(*newest_first)
         .limit(pool)
         .filter(personal)
@@ -133,6 +127,18 @@ def recent_excerpts(
         .limit(k)
         .select("conversation_id", "name", "last_message_at")
     )
+
+
+def recent_excerpts(
+    messages: DataFrame, conversations: DataFrame, k: int = 7, n: int = 100, pool: int = 24
+) -> DataFrame:
+    """The newest messages of the k most recent named one-to-one conversations.
+
+    conversations: conversation_id, name, participants (array of names),
+    last_message_at. The choice is k rows, so it is broadcast; the message
+    ranking keeps n rows per conversation in each task before it shuffles.
+    """
+    chosen = recent_conversations(conversations, k, pool)
     recent = Window.partitionBy("conversation_id").orderBy(
         F.col("sent_at").desc_nulls_last(), F.col("message_id").desc()
     )
@@ -162,3 +168,10 @@ def resolve_ids(dimension: DataFrame, column: str, wanted: list[str], label: str
     if len(found) < len(wanted):
         raise ValueError(f"Unknown {label}")
     return rows
+
+
+def resolve_chats(archive: dict[str, DataFrame], key: bytes, conversation_ids: list[str]) -> list[int]:
+    """Internal chat ids of at most 100 opaque conversation ids; an unknown one is an error."""
+    dimension = chat_dimension(archive["chat"], key)
+    rows = resolve_ids(dimension, "conversation_id", conversation_ids, "conversation_id")
+    return [row.chat_id for row in rows.select("chat_id").collect()]

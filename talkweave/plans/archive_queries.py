@@ -136,7 +136,7 @@ def index_content(spark, sf):
   FROM directory JOIN chat_handle USING (chat_id) JOIN people USING (handle_id) GROUP BY 1""")
 def participants(spark, sf):
     raw = archive(spark, sf)
-    rows = arc.participants(raw, KEY).join(arc.chat_ids(raw["chat"], KEY), "chat_id")
+    rows = arc.participants(raw, KEY).join(arc.conversation_ids(raw["chat"], KEY), "chat_id")
     return rows.select(
         "conversation_id", F.array_join(F.col("people.person_id"), ",").alias("person_ids")
     )
@@ -455,5 +455,9 @@ def sample_one_conversation(spark, sf):
 def recent_excerpts(spark, sf):
     contacts = con.load_contacts(address_books(spark, sf))
     directory = stats.list_conversations(archive(spark, sf), contacts, KEY, limit=24)
-    rows = reading.recent_excerpts(_normalized(spark, sf, redacted=False), directory, n=30)
+    chosen = reading.recent_conversations(directory)
+    ids = [r[0] for r in chosen.select("conversation_id").collect()]
+    chats = reading.resolve_chats(archive(spark, sf), KEY, ids)
+    messages = _normalized(spark, sf, redacted=False, chat_ids=chats)
+    rows = reading.recent_excerpts(messages, directory, n=30)
     return rows.select("conversation_id", "name", "message_id", "direction", "text")

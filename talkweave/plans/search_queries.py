@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import iso_text
 from ..operators import search
+from ..session import spread
 from ..sources.driver_tables import (
     messages_from_documents, passages_from_documents, query_vector, table,
 )
@@ -39,13 +40,17 @@ bm AS (SELECT doc_id, -({terms}) AS score FROM hits JOIN lengths USING (doc_id),
 INDEX = q.with_(TOKENS, POSTINGS, LENGTHS, _bm25())
 
 
+def _texts(spark, sf, id):
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias(id), "text"))
+
+
 def _index(spark, sf):
-    return search.store_token_index(table(spark, sf, "documents"), "doc_id")
+    return search.store_token_index(_texts(spark, sf, "doc_id"), "doc_id")
 
 
 @query("token_index", INDEX + "SELECT token, count(*) AS documents, sum(tf)::BIGINT AS occurrences, max(tf) AS most FROM postings GROUP BY 1")
 def token_index(spark, sf):
-    postings, _ = search.build_token_index(table(spark, sf, "documents"), "doc_id")
+    postings, _ = search.build_token_index(_texts(spark, sf, "doc_id"), "doc_id")
     return postings.groupBy("token").agg(
         F.count("*").alias("documents"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most")
     )
@@ -78,7 +83,7 @@ def lexical_rank(spark, sf):
   WHERE f0 > 0 AND f1 > 0 AND doc_id % 2 = 0 ORDER BY d.doc_id DESC LIMIT 100""")
 def search_all_tokens(spark, sf):
     messages = messages_from_documents(spark, sf)
-    postings, _ = search.build_token_index(messages, "message_id")
+    postings, _ = search.store_token_index(_texts(spark, sf, "message_id"), "message_id")
     found = search.search_messages(messages, postings, QUERY, limit=100, direction="from_me")
     return found.select("message_id", "conversation_id")
 
@@ -134,7 +139,7 @@ HEAD = INDEX.rstrip() + ",\n" + VECTORS[len("WITH "):].rstrip() + ",\n"
 
 def _hybrid(spark, sf, limit, **filters):
     passages = passages_from_documents(spark, sf)
-    postings, lengths = search.store_token_index(passages.select("passage_id", "text"), "passage_id")
+    postings, lengths = search.store_token_index(_texts(spark, sf, "passage_id"), "passage_id")
     rows = search.search_context(
         passages, postings, lengths, QUERY, query_vector(spark, sf), limit, **filters
     )
@@ -174,7 +179,7 @@ SELECT passage_id, conversation_id, {q.iso('start_at')} AS start_at, {q.iso('end
   direction AS directions, text, round(relevance, 6) AS relevance, match FROM ranked JOIN passages USING (passage_id)""")
 def public_passages(spark, sf):
     passages = passages_from_documents(spark, sf)
-    postings, lengths = search.store_token_index(passages.select("passage_id", "text"), "passage_id")
+    postings, lengths = search.store_token_index(_texts(spark, sf, "passage_id"), "passage_id")
     rows = search.search_context(passages, postings, lengths, QUERY, query_vector(spark, sf), 30)
     return search.public_passages(rows).withColumns({
         "person_ids": F.array_join("person_ids", ","),
@@ -198,7 +203,7 @@ _NORM = " + ".join(f"n{i} * n{i}" for i in range(8))
 @query("embedded_documents", f"""SELECT doc_id, 12 AS dims, round(n0 / greatest(sqrt({_NORM}), 1e-300), 3) AS first_value,
   round(n7 / greatest(sqrt({_NORM}), 1e-300), 3) AS eighth_value, 0.0::DOUBLE AS last_value FROM (SELECT doc_id, {_COUNTS} FROM documents)""")
 def embedded_documents(spark, sf):
-    rows = search.embed_passages(table(spark, sf, "documents"), letter_embedder, dims=12)
+    rows = search.embed_passages(_texts(spark, sf, "doc_id"), letter_embedder, dims=12)
     return rows.select(
         "doc_id",
         F.size("embedding").alias("dims"),

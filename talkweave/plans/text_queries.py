@@ -10,6 +10,7 @@ from ..functions.scores import dominant, round4, tone_from_logits
 from ..functions.vectors import cosine, fit_vector
 from ..operators import search
 from ..sources.calendar import availability_label, status_label
+from ..session import spread
 from ..sources.driver_tables import query_vector, table
 from .catalog import query
 
@@ -68,17 +69,18 @@ _REDACTED, _COUNTS = _redaction_sql()
 
 @query("redacted_documents", _REDACTED)
 def redacted_documents(spark, sf):
-    return redact_text(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return redact_text(documents, "text")
 
 
 @query("redaction_counts", _COUNTS)
 def redaction_counts(spark, sf):
-    return redaction_summary(table(spark, sf, "documents"), ["text"])
+    return redaction_summary(spread(table(spark, sf, "documents").select("text")))
 
 
 @query("redaction_total", f"SELECT CAST(sum(n) AS BIGINT) AS total, string_agg(category, ',' ORDER BY category) AS categories FROM ({_COUNTS})")
 def redaction_totals(spark, sf):
-    rows = redaction_total(table(spark, sf, "documents"), ["text"])
+    rows = redaction_total(spread(table(spark, sf, "documents").select("text")))
     return rows.select("total", F.array_join("categories", ",").alias("categories"))
 
 
@@ -141,13 +143,15 @@ def normalized_answers(spark, sf):
   SELECT doc_id, (length(t) - length(replace(t, 'reele', ''))) / 5 AS n
   FROM (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents)) WHERE n > 0""")
 def occurrences(spark, sf):
-    return search.find_occurrences(table(spark, sf, "documents"), "doc_id", "text", " RéELe ")
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return search.find_occurrences(documents, "doc_id", "text", " RéELe ")
 
 
 @query("document_tokens", r"""SELECT doc_id, count(*) AS words, count(DISTINCT token) AS distinct_words, min(token) AS first_word, max(token) AS last_word
   FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS token FROM documents) GROUP BY 1""")
 def document_tokens(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = documents.select("doc_id", tx.tokens(F.col("text")).alias("w"))
     return rows.filter(F.size("w") > 0).select(
         "doc_id",
         F.size("w").alias("words"),

@@ -38,6 +38,21 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+SMALL_SPLIT = 64 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that is too small for its own file splits.
+
+    A single row group is read by one task, however much work follows on it.
+    Inputs of at least one full split per core are left alone, so nothing large
+    is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only for a local session without the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

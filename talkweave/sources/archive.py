@@ -70,7 +70,7 @@ def handle_people(handles: DataFrame, key: bytes) -> DataFrame:
     )
 
 
-def chat_ids(chats: DataFrame, key: bytes) -> DataFrame:
+def conversation_ids(chats: DataFrame, key: bytes) -> DataFrame:
     return chats.select(
         F.col("rowid").alias("chat_id"),
         opaque_id("conv", F.col("rowid"), key).alias("conversation_id"),
@@ -83,13 +83,22 @@ def normalize_messages(
     names: DataFrame | None = None,
     redacted: bool = True,
     with_attachments: bool = False,
+    chat_ids: list[int] | None = None,
 ) -> DataFrame:
     """The canonical `messages` frame.
 
     Ids are keyed once per conversation and per handle, not once per message.
-    `names` (`person_id, name`) adds the sender's name.
+    `names` (`person_id, name`) adds the sender's name. `chat_ids` (one page at
+    most) reads only some conversations.
     """
     raw = real_messages(archive["message"])
+    if chat_ids is not None:
+        archive = dict(archive)
+        for name in ("chat_message", "chat_handle"):
+            archive[name] = archive[name].filter(F.col("chat_id").isin(chat_ids))
+        archive["chat"] = archive["chat"].filter(F.col("rowid").isin(chat_ids))
+        chosen = archive["chat_message"].select(F.col("message_id").alias("rowid"))
+        raw = raw.join(chosen, "rowid", "left_semi")
     texts = [F.col("subject"), message_text(raw)]
     raw = raw.withColumn("__shown", redact_each(*texts) if redacted else F.array(*texts))
     messages = raw.select(
@@ -131,7 +140,7 @@ def normalize_messages(
     members = participants(archive, key).select(
         "chat_id", F.array_sort(F.col("people.person_id")).alias("person_ids")
     )
-    conversations = chat_ids(archive["chat"], key).join(members, "chat_id", "left")
+    conversations = conversation_ids(archive["chat"], key).join(members, "chat_id", "left")
     placed = (
         archive["chat_message"]
         .select("chat_id", "message_id")
