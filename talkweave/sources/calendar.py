@@ -35,13 +35,11 @@ def load_calendar(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
     valid = (F.coalesce(F.col("format_version"), F.lit(0)) == 1) & F.col("events").isNotNull()
-    # Filtering on the check keeps it in the plan whatever columns are read later.
-    checked = raw.filter(
-        F.when(valid, F.lit(True)).otherwise(
-            F.raise_error(F.lit("the calendar snapshot is invalid")).cast("boolean")
-        )
-    )
-    rows = checked.select("updated_at", "range_start", "range_end", F.explode("events").alias("e"))
+    # The check sits in the list itself, so no later filter or pruning can go around it.
+    kind = raw.schema["events"].dataType
+    broken = F.raise_error(F.lit("the calendar snapshot is invalid")).cast(kind)
+    events = F.when(valid, F.col("events")).otherwise(broken)
+    rows = raw.select("updated_at", "range_start", "range_end", F.explode(events).alias("e"))
     return rows.select(
         "e.source_id",
         "e.calendar_id",
