@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
 from .text import trim_all
 
 PERSON_ID_CHARS = 18
@@ -32,12 +33,15 @@ def opaque_id(namespace: str, value: Column, key: bytes, n: int = PERSON_ID_CHAR
 
 def normalize_identifier(value: Column) -> Column:
     """Lower-cased e-mail, or the digits of a phone number with a leading 1 for ten digits."""
-    raw = F.lower(trim_all(value))
-    digits = F.regexp_replace(raw, r"[^\p{N}]", "")
-    return (
-        F.when(raw.contains("@"), raw)
-        .when(F.length(digits) == 10, F.concat(F.lit("1"), digits))
-        .otherwise(digits)
+
+    def phone(digits: Column) -> Column:
+        return F.when(F.length(digits) == 10, F.concat(F.lit("1"), digits)).otherwise(digits)
+
+    return bind(
+        F.lower(trim_all(value)),
+        lambda raw: F.when(raw.contains("@"), raw).otherwise(
+            bind(F.regexp_replace(raw, r"[^\p{N}]", ""), phone)
+        ),
     )
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
-import re
 import sys
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 MAX_QUERY_TOKENS = 32
 MAX_QUERY_CHARS = 500
 # Letters, digits and private-use characters of lower-cased text; ASCII is tested first.
@@ -35,15 +36,21 @@ def content(subject: Column, text: Column) -> Column:
 
 def mask_links(value: Column) -> Column:
     """Replace web addresses by `http`; text without a candidate skips the pattern."""
-    candidate = value.contains("http") | value.contains("www.")
-    return F.when(candidate, F.regexp_replace(value, LINK, "http")).otherwise(value)
+    return bind(
+        value,
+        lambda v: F.when(
+            v.contains("http") | v.contains("www."), F.regexp_replace(v, LINK, "http")
+        ).otherwise(v),
+    )
 
 
 def clip_title(value: Column) -> Column:
     """One line of at most 64 characters."""
-    line = trim_all(F.regexp_replace(value, r"(?U)\s+", " "))
-    return F.when(F.length(line) <= 64, line).otherwise(
-        F.concat(F.substring(line, 1, 61), F.lit("…"))
+    return bind(
+        trim_all(F.regexp_replace(value, r"(?U)\s+", " ")),
+        lambda line: F.when(F.length(line) <= 64, line).otherwise(
+            F.concat(F.substring(line, 1, 61), F.lit("…"))
+        ),
     )
 
 
@@ -88,9 +95,11 @@ def _fold_table() -> tuple[str, str]:
 def fold_text(value: Column) -> Column:
     """Lower case without accents. Pure ASCII skips the translation table."""
     source, target = _fold_table()
-    lowered = F.lower(value)
-    return F.when(F.length(lowered) == F.octet_length(lowered), lowered).otherwise(
-        F.translate(lowered, source, target)
+    return bind(
+        F.lower(value),
+        lambda low: F.when(F.length(low) == F.octet_length(low), low).otherwise(
+            F.translate(low, source, target)
+        ),
     )
 
 
@@ -115,9 +124,8 @@ def query_tokens(query: str) -> list[str]:
             if len(current) > 1:
                 words.append("".join(current))
             current = []
-    return list(dict.fromkeys(words))[:MAX_QUERY_TOKENS] and list(
-        dict.fromkeys(fold_literal(word) for word in list(dict.fromkeys(words))[:MAX_QUERY_TOKENS])
-    )
+    first = list(dict.fromkeys(words))[:MAX_QUERY_TOKENS]
+    return list(dict.fromkeys(fold_literal(word) for word in first))
 
 
 def required_query(query: str | None) -> str:
@@ -132,7 +140,3 @@ def required_query(query: str | None) -> str:
 def contains_ci(value: Column, needle: str) -> Column:
     """Case-insensitive literal substring; `%` and `_` have no special meaning."""
     return F.lower(value).contains(needle.lower())
-
-
-def squeeze(value: str) -> str:
-    return re.sub(r"\s+", " ", value).strip()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import micros
 
-SLOT_BITS = 20  # at most 2**20 distinct ids in one slot
+SLOT_BITS = 16  # at most 2**16 distinct ids in one slot
 LOWEST = -(2**62)
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from ..functions.clock import iso_text, micros
-from ..functions.text import content, mask_links, trim_all
+from ..functions.text import content, mask_links
 from ..session import cut_lineage
 from .ranking import SLOT_BITS, rank_by_id, slot_of
 
@@ -32,12 +33,13 @@ def _sorted_rows(*fields: Column) -> Column:
 
 def passage_line(df: DataFrame) -> Column:
     """`sent_at · author: body`, or null for a blank message."""
-    body = content(_optional(df, "subject", "string"), F.col("text"))
+    said = content(_optional(df, "subject", "string"), F.col("text"))
     author = F.when(F.col("direction") == "from_me", F.lit("You")).otherwise(
         F.coalesce(_optional(df, "sender_name", "string"), F.lit("Contact"))
     )
     when = F.coalesce(iso_text(F.col("sent_at")), F.lit("Unknown date"))
-    return F.when(body != "", F.concat(when, F.lit(" · "), author, F.lit(": "), body))
+    head = F.concat(when, F.lit(" · "), author, F.lit(": "))
+    return bind(said, lambda body: F.when(body != "", F.concat(head, body)))
 
 
 def build_passages(
@@ -103,7 +105,7 @@ def build_passages(
 
 def _utterances(messages: DataFrame, bits: int) -> DataFrame:
     """Non-blank messages with who spoke, when, and how long."""
-    body = mask_links(content(_optional(messages, "subject", "string"), F.col("text")))
+    said = content(_optional(messages, "subject", "string"), F.col("text"))
     speaker = F.when(F.col("direction") == "from_me", F.lit("me")).otherwise(
         F.coalesce(_optional(messages, "speaker", "string"), F.lit("contact"))
     )
@@ -114,9 +116,11 @@ def _utterances(messages: DataFrame, bits: int) -> DataFrame:
             "sent_at",
             "direction",
             speaker.alias("speaker"),
-            trim_all(body).alias("body"),
+            said.alias("said"),
         )
-        .filter(F.col("body") != "")
+        .filter(F.col("said") != "")
+        .withColumn("body", mask_links(F.col("said")))
+        .drop("said")
         .withColumn("tick", micros(F.col("sent_at")))
         .withColumn("chars", F.length("body"))
         .withColumn("slot", slot_of(F.col("message_id"), bits))
@@ -202,6 +206,25 @@ def _islands(rows: DataFrame, gap_seconds: int, max_chars: int) -> DataFrame:
     )
 
 
+def _whole_islands(rows: DataFrame, gap_seconds: int, max_chars: int) -> DataFrame:
+    """`_islands` when every conversation is known to fit one slot: a single window."""
+    talk = Window.partitionBy(KEY).orderBy("message_id")
+    so_far = talk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    me = F.struct("speaker", "tick", "chars")
+    flagged = rows.drop("slot").select(
+        "*",
+        F.row_number().over(talk).alias("rank"),
+        (~_continues(F.lag(me).over(talk), me, gap_seconds, max_chars)).alias("starts"),
+    )
+    start = F.when(F.col("starts"), F.struct(F.col("message_id").alias("island"), F.col("rank")))
+    return (
+        flagged.withColumn("start", F.max(start).over(so_far))
+        .withColumn("island", F.col("start.island"))
+        .withColumn("pos", F.col("rank") - F.col("start.rank"))
+        .drop("rank", "starts", "start")
+    )
+
+
 def _pieces(rows: DataFrame, piece_rows: int, lookahead: int) -> DataFrame:
     """Cut islands into pieces; the first rows of a piece are also shown to the one before."""
     piece = F.floor(F.col("pos") / piece_rows)
@@ -304,19 +327,16 @@ def _entries(pieces: DataFrame, max_messages: int) -> DataFrame:
     ).drop("g0")
 
 
-def _any_group_above(df: DataFrame, keys: list[str], size: int) -> bool:
-    """One counting job over the key columns alone; a single flag reaches the driver."""
-    return not df.groupBy(*keys).count().filter(F.col("count") > size).select("count").isEmpty()
+def _largest_group(df: DataFrame, keys: list[str]) -> int:
+    """One counting job over the key columns alone; a single number reaches the driver."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
 def _piece_entries(
-    rows: DataFrame, gap_seconds: int, max_messages: int, max_chars: int, piece_rows: int
+    narrow: DataFrame, max_messages: int, max_chars: int, piece_rows: int
 ) -> DataFrame | None:
     """First turn start of every piece of every island longer than one piece, if there is any."""
     group = [KEY, "island", "piece"]
-    narrow = _islands(rows, gap_seconds, max_chars).select(
-        KEY, "island", "pos", F.col("chars").cast("int").alias("chars")
-    )
     longer = cut_lineage(narrow.filter(F.col("pos") == piece_rows).select(KEY, "island"))
     if longer.isEmpty():
         return None
@@ -343,11 +363,18 @@ def build_turns(
     A message joins the open turn when the speaker is the same, 0 <= gap <=
     gap_seconds, and neither cap would be exceeded. Filling a turn up to its
     caps is sequential, so it runs inside islands cut into pieces; a monologue
-    longer than one piece gets the start of each piece from `_entries`. Whether
-    there is one is checked when the plan is built (the only eager step).
+    longer than one piece gets the start of each piece from `_entries`. The
+    size of the largest conversation is looked up when the plan is built: while
+    it fits one slot, the plan is a single window and one grouping.
     """
     rows = _utterances(messages, bits)
-    placed = _pieces(_islands(rows, gap_seconds, max_chars), piece_rows, max_messages)
+    largest = _largest_group(messages, [KEY])
+    if largest <= 1 << bits:
+        islands = _whole_islands(rows, gap_seconds, max_chars)
+    else:
+        islands = _islands(rows, gap_seconds, max_chars)
+    placed = _pieces(islands, piece_rows, max_messages)
+    narrow = islands.select(KEY, "island", "pos", F.col("chars").cast("int").alias("chars"))
     group = [KEY, "island", "piece"]
     pieces = placed.groupBy(*group).agg(
         F.first("direction").alias("direction"),
@@ -358,8 +385,8 @@ def build_turns(
     )
 
     entries = None
-    if _any_group_above(messages, [KEY], piece_rows):
-        entries = _piece_entries(rows, gap_seconds, max_messages, max_chars, piece_rows)
+    if largest > piece_rows:
+        entries = _piece_entries(narrow, max_messages, max_chars, piece_rows)
     if entries is None:
         pieces = pieces.withColumn("entry", F.lit(0))
     else:

@@ -219,25 +219,24 @@ def indexable_conversations(
 def _direction_counts() -> list[Column]:
     return [
         F.count("*").alias("messages"),
-        F.count_if(F.col("direction") == "from_me").alias("from_me"),
-        F.count_if(F.col("direction") == "to_me").alias("to_me"),
+        F.count_if("sent").alias("from_me"),
+        F.count_if("received").alias("to_me"),
     ]
 
 
 def _each_message_once(messages: DataFrame) -> DataFrame:
-    """A message in two conversations counts once; partial aggregation keeps it cheap."""
+    """A message in two conversations counts once. Flags instead of text keep the hash aggregate."""
     return messages.groupBy("message_id").agg(
-        F.first("direction").alias("direction"), F.first("sent_at").alias("sent_at")
+        F.max(F.col("direction") == "from_me").alias("sent"),
+        F.max(F.col("direction") == "to_me").alias("received"),
+        F.max("sent_at").alias("sent_at"),
     )
 
 
 def conversation_totals(messages: DataFrame, **filters) -> DataFrame:
     """Messages, sent, received, first and last date, number of conversations."""
     chosen = filter_messages(messages, **filters)
-    per_message = chosen.groupBy("message_id").agg(
-        F.first("direction").alias("direction"), F.first("sent_at").alias("sent_at")
-    )
-    totals = per_message.agg(
+    totals = _each_message_once(chosen).agg(
         *_direction_counts(),
         F.min("sent_at").alias("first_message_at"),
         F.max("sent_at").alias("last_message_at"),
