@@ -135,10 +135,17 @@ def recent_excerpts(
     """The newest messages of the k most recent named one-to-one conversations.
 
     conversations: conversation_id, name, participants (array of names),
-    last_message_at. The choice is k rows, so it is broadcast; the message
-    ranking keeps n rows per conversation in each task before it shuffles.
+    last_message_at.
+    """
+    return excerpts_of(messages, recent_conversations(conversations, k, pool), n)
+
+
+def excerpts_of(messages: DataFrame, chosen: DataFrame, n: int = 100) -> DataFrame:
+    """The newest n messages of each chosen conversation, without blank ones.
+
+    The choice is a handful of rows, so it is broadcast; the ranking keeps n
+    rows per conversation in each task before it shuffles.
     """
-    chosen = recent_conversations(conversations, k, pool)
     recent = Window.partitionBy("conversation_id").orderBy(
         F.col("sent_at").desc_nulls_last(), F.col("message_id").desc()
     )

@@ -109,8 +109,10 @@ NORMALIZED = f"""SELECT d.conversation_id, m.rowid AS message_id, {q.iso('m.sent
   JOIN directory d USING (chat_id) LEFT JOIN people p ON p.handle_id = m.handle_id"""
 
 
-def _normalized(spark, sf, **options):
+def _normalized(spark, sf, named=True, **options):
     raw = archive(spark, sf)
+    if not named:
+        return arc.normalize_messages(raw, KEY, redacted=False, **options)
     contacts = con.load_contacts(address_books(spark, sf))
     people = con.enrich_people(arc.handle_people(raw["handle"], KEY), contacts)
     return arc.normalize_messages(raw, KEY, people.select("person_id", "name"), **options)
@@ -128,7 +130,7 @@ def normalized_messages(spark, sf):
 @query("index_content", A + f"""SELECT conversation_id, message_id,
   concat_ws(' — ', subject, text) AS content FROM ({NORMALIZED})""")
 def index_content(spark, sf):
-    rows = arc.index_content(_normalized(spark, sf, redacted=False))
+    rows = arc.index_content(_normalized(spark, sf, named=False))
     return rows.select("conversation_id", "message_id", "content")
 
 
@@ -295,7 +297,7 @@ ONCE = "(SELECT message_id, min(direction) AS direction, min(sent_at) AS sent_at
   min(sent_at) AS first_message_at, max(sent_at) AS last_message_at,
   (SELECT count(DISTINCT conversation_id) FROM m) AS conversations FROM {ONCE}""")
 def conversation_totals(spark, sf):
-    rows = stats.conversation_totals(_normalized(spark, sf, redacted=False))
+    rows = stats.conversation_totals(_normalized(spark, sf, named=False))
     return stats.public_times(rows, "first_message_at", "last_message_at")
 
 
@@ -307,7 +309,7 @@ def _by(bucket: str, label: str, source: str) -> str:
 
 @query("conversation_by_year", TWICE + _by("year", "substr(sent_at, 1, 4)", ONCE))
 def conversation_by_year(spark, sf):
-    return stats.conversation_by_year(_normalized(spark, sf, redacted=False))
+    return stats.conversation_by_year(_normalized(spark, sf, named=False))
 
 
 @query("conversation_by_day", EV + _by("day", "strftime(sent_at, '%Y-%m-%d')",
@@ -456,8 +458,9 @@ def recent_excerpts(spark, sf):
     contacts = con.load_contacts(address_books(spark, sf))
     directory = stats.list_conversations(archive(spark, sf), contacts, KEY, limit=24)
     chosen = reading.recent_conversations(directory)
-    ids = [r[0] for r in chosen.select("conversation_id").collect()]
+    picked = chosen.collect()  # seven rows at most
+    ids = [r.conversation_id for r in picked]
     chats = reading.resolve_chats(archive(spark, sf), KEY, ids)
-    messages = _normalized(spark, sf, redacted=False, chat_ids=chats)
-    rows = reading.recent_excerpts(messages, directory, n=30)
+    messages = _normalized(spark, sf, named=False, chat_ids=chats)
+    rows = reading.excerpts_of(messages, spark.createDataFrame(picked, chosen.schema), n=30)
     return rows.select("conversation_id", "name", "message_id", "direction", "text")
