@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .chat_format import chat_windows, read_back
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import identify_languages
 from .line_dedup import MIN_PAGES, RATIO, line_dedup
 from .mixing import mix_sources
+from .sentence_piece import decode_documents, encode_documents
+from .simhash import simhash_dedup
 from .url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +31,28 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 @query("op2_mix_sources")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query("op3_sentence_piece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return decode_documents(encoded).select(
+        "doc_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+        "tokens",
+    )
+
+
 @query(
     "op6_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -43,6 +63,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op7_simhash_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold another template's control strings.
 ODD_CONVERSATION = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
 
