@@ -34,7 +34,7 @@ LANDMARKS = 32  # of them, landmarks
 RIDGE = 0.1
 ROWS = 64  # texts scored at once
 CHARS = 1 << 20  # characters looked at at once
-MIN_SCORE = 0.4
+MIN_SCORE = 0.1  # even one-word texts of a known language score more
 UNKNOWN = "und"
 
 
