@@ -15,6 +15,7 @@ from .line_dedup import MIN_PAGES, RATIO, line_dedup
 from .mixing import mix_sources
 from .sentence_piece import decode_documents, encode_documents
 from .simhash import simhash_dedup
+from .suffix_dedup import suffix_dedup
 from .url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +54,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(table(spark, sf_dir, "documents"))
+    lengths = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.length)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        lengths.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query(
     "op6_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

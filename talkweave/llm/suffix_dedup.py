@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +80,12 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int, kmer: int) -> tuple[np.ndarray, ...]:
-    """hash, text, place, run of each segment: runs of starts that pick the same hash."""
+    """hash, text, place, run of each segment: runs of starts that pick the same hash.
+
+    The fifth array tells which segments may hold a string twice: those whose
+    hash is picked at more than one place (the leftmost counts, which is the same in
+    equal strings).
+    """
     found: list[tuple[np.ndarray, ...]] = []
     step = max(BLOCK, 4 * length)
     batch: list[tuple[int, int, bytes]] = []
@@ -88,9 +94,13 @@ def segments(texts: list[bytes], length: int, kmer: int) -> tuple[np.ndarray, ..
         sizes = np.array([len(b) for _, _, b in batch])
         first = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(b for _, _, b in batch), np.uint8)
-        picked = window_minima(kmer_hashes(data, kmer), length - kmer + 1)
-        if not len(picked):
+        hashes = kmer_hashes(data, kmer)
+        bits = np.uint64(len(data).bit_length())
+        ranked = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
+        least = window_minima(ranked, length - kmer + 1) & ((np.uint64(1) << bits) - np.uint64(1))
+        if not len(least):
             return
+        picked = hashes[least]
         owner = np.repeat(np.arange(len(batch)), sizes)[: len(picked)]
         place = np.arange(len(picked)) - first[owner]
         inside = place + length <= sizes[owner]  # strings that run into the next text do not count
@@ -103,28 +113,30 @@ def segments(texts: list[bytes], length: int, kmer: int) -> tuple[np.ndarray, ..
                 new[b:e:MAX_RUN] = True
             begins = np.flatnonzero(new)
         runs = np.diff(np.r_[begins, len(picked)])
+        moved = np.zeros(len(picked), np.int64)
+        moved[1:] = (least[1:] != least[:-1]) & ~new[1:]
+        twice = np.add.reduceat(moved, begins) > 0
         keep = inside[begins]
         begins, runs = begins[keep], runs[keep]
         text = np.array([t for t, _, _ in batch])[owner[begins]]
         start = np.array([a for _, a, _ in batch])[owner[begins]] + place[begins]
-        found.append((picked[begins], text, start, runs))
+        found.append((picked[begins], text, start, runs, twice[keep]))
 
+    size = 0
     for t, text in enumerate(texts):
         # A long text goes in pieces that overlap by a string less one byte, so every start is seen once.
         for at in range(0, max(len(text) - length + 1, 0), step):
             batch.append((t, at, text[at : at + step + length - 1]))
-            if sum(len(b) for _, _, b in batch[-1:]) >= step or len(batch) >= 4096 or _size(batch) >= step:
+            size += len(batch[-1][2])
+            if size >= step:
                 flush()
                 batch.clear()
+                size = 0
     if batch:
         flush()
     if not found:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate([f[k] for f in found]) for k in range(4))
-
-
-def _size(batch: list[tuple[int, int, bytes]]) -> int:
-    return sum(len(b) for _, _, b in batch)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool)
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(5))
 
 
 def pack(tag, place, run):
@@ -136,10 +148,10 @@ def unpack(at):
 
 
 def _list_segments(length: int, kmer: int, portion: int = 8 << 20):
-    """d, tag, text -> hash, d, at, known: 0 once in this portion, 1 first of several, 2 a later one."""
+    """d, tag, text -> hash, d, at, known: 0 once in this portion, 1 first of several (or a string twice inside), 2 a later one."""
 
     def rows(d: np.ndarray, tag: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
-        key, text, place, run = segments(texts, length, kmer)
+        key, text, place, run, twice = segments(texts, length, kmer)
         order = np.argsort(key, kind="stable")
         sorted_ = key[order]
         new = np.ones(len(key), bool)
@@ -147,7 +159,7 @@ def _list_segments(length: int, kmer: int, portion: int = 8 << 20):
         many = np.ones(len(key), bool)
         many[:-1] = ~new[1:]
         many[-1:] = False
-        known = np.where(new, np.where(many, 1, 0), 2).astype(np.int8)
+        known = np.where(new, np.where(many | twice[order], 1, 0), 2).astype(np.int8)
         at = pack(tag[text], place, run)[order]
         return pa.RecordBatch.from_arrays(
             [pa.array(sorted_.view(np.int64)), pa.array(d[text][order]), pa.array(at), pa.array(known)], names=["key", "d", "at", "known"]
@@ -180,14 +192,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = known > 0
         keep[1:] |= same
         keep[:-1] |= same
-        # The last row may meet its like in the next batch; if it was kept already, so will be that one.
+        # The last row waits for the next batch, where its like may be; what is decided stays so.
         held = batch.slice(batch.num_rows - 1)
-        held = held.set_column(3, "known", pa.array([max(int(known[-1]), 3 * int(keep[-1]))], pa.int8())) if keep[-1] else held
-        out = keep.copy()
-        out[-1] = False
-        if known[0] == 3:
-            pass
-        yield batch.select([0, 1, 2]).filter(pa.array(out))
+        held = held.set_column(3, "known", pa.array(keep[-1:].astype(np.int8)))
+        keep[-1] = False
+        yield batch.select([0, 1, 2]).filter(pa.array(keep))
     if held is not None and held.column(3)[0].as_py() > 0:
         yield held.select([0, 1, 2])
 
@@ -257,9 +266,7 @@ def first_starts(segs: list[bytes], d: np.ndarray, at: np.ndarray, length: int)
     ordered = order[whole[order]]
     heads = np.ones(len(ordered), bool)
     heads[1:] = shared[ordered[1:]] < length
-    # Suffixes that are cut off by the end of a segment may stand between two whole ones; they share less.
-    low = np.minimum.reduceat(shared[order], np.flatnonzero(whole[order])) if len(ordered) else shared[:0]
-    del low
+    # Nothing stands between two suffixes that share `length` bytes but suffixes that share them too.
     least = np.minimum.reduceat(value[ordered], np.flatnonzero(heads)) if len(ordered) else value[:0]
     is_first = np.zeros(len(text) + 1, bool)
     is_first[ordered] = value[ordered] == least[np.cumsum(heads) - 1]
@@ -285,7 +292,7 @@ def _shards(length: int, chunk: int):
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 waiting.append(part)
-                size += int(pa.compute.sum(pa.compute.binary_length(part.column(1))).as_py() or 0)
+                size += int(pc.sum(pc.binary_length(part.column(1))).as_py() or 0)
                 if size < chunk:
                     continue
                 held = pa.Table.from_batches(waiting)
@@ -294,7 +301,7 @@ def _shards(length: int, chunk: int):
                 if cut:
                     yield solve(held.slice(0, cut))
                     waiting = held.slice(cut).combine_chunks().to_batches()
-                    size = sum(int(pa.compute.sum(pa.compute.binary_length(x.column(1))).as_py() or 0) for x in waiting)
+                    size = sum(int(pc.sum(pc.binary_length(x.column(1))).as_py() or 0) for x in waiting)
         if any(x.num_rows for x in waiting):
             yield solve(pa.Table.from_batches(waiting))
 
@@ -337,7 +344,7 @@ def removed_spans(size: int, listed: np.ndarray, fresh_starts: np.ndarray, lengt
     return list(zip(first.tolist(), (last + length - first).tolist(), strict=True))
 
 
-def _finish(length: int, id_type: pa.DataType):
+def _finish(length: int):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,4 +422,4 @@ def suffix_dedup(
     marks = cut_lineage(at_by_doc.join(new_by_doc, ["d", "tag"], "left"))
     whole = packed.join(marks, ["d", "tag"], "left").select("doc_id", "z", "listed", "new")
     spans = "array<struct<start:bigint,length:bigint>>"
-    return whole.mapInArrow(_finish(length, None), f"doc_id {id_type}, n_bytes long, kept binary, spans {spans}")
+    return whole.mapInArrow(_finish(length), f"doc_id {id_type}, n_bytes long, kept binary, spans {spans}")
