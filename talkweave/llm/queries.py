@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .sentence_piece import decode_documents, encode_documents
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
+from .top_k import top_k
 from .url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +68,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op5_top_k",
+    """WITH usable AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM usable q, usable c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 20""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query(
     "op6_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
