@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talkweave.llm.language_id import keep_languages
 from talkweave.llm.line_dedup import line_dedup
@@ -32,7 +33,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their source's boilerplate; a document of nothing else goes, an empty one stays."""
     clean = line_dedup(docs, lines_col="llm_n_lines", dropped_col="llm_n_dropped")
-    return clean.where("llm_n_dropped = 0 or trim(text) <> ''").drop("llm_n_lines", "llm_n_dropped")
+    clean = clean.where("llm_n_dropped = 0 or trim(text) <> ''").drop("llm_n_lines", "llm_n_dropped")
+    if "n_chars" in clean.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType))
+    return clean
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
