@@ -3,19 +3,18 @@
 Paths become branches: runs of digits, long hex strings and UUIDs are variable
 by their shape. Branches are counted per host before anything else, so a host
 with a third of all pages is as many rows as it has branches. The tree is then
-generalised one depth at a time. A child stays apart only if it has enough pages
-and its labelled share of bad pages differs from its siblings' by more than
-`z` standard errors, or if it has no siblings; all similar or rare siblings
-become one wildcard. Each
-template is judged by its labelled purity, smoothed towards the share of all
-labelled pages.
+generalised one depth at a time: siblings are clustered by their labelled share
+of bad pages, where a step of more than `z` standard errors parts two clusters; a
+cluster of several siblings becomes one wildcard, and so do siblings with few
+pages. Each template is judged by its labelled purity, smoothed towards the
+share of all labelled pages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -59,6 +58,37 @@ def _sums(n: str, labelled: str, bad: str) -> list[Column]:
     return [F.sum(c).alias(c) for c in (n, labelled, bad)]
 
 
+def _sibling_names(child: DataFrame, node: list[str], z: float, min_pages: int) -> DataFrame:
+    """node, part -> name: siblings of similar labelled shares get one wildcard.
+
+    Siblings with enough pages and a label stand in the order of their shares; a
+    step of more than z standard errors starts another cluster. A cluster of one
+    keeps its name; rare siblings have the common wildcard.
+    """
+    weighty = (F.col("n") >= min_pages) & (F.col("labelled") > 0)
+    share = (F.col("bad") + 1) / (F.col("labelled") + 2)
+    order = Window.partitionBy(*node).orderBy("share", "part")
+    known = child.where(weighty).withColumn("share", share)
+    last, last_labelled = F.lag("share").over(order), F.lag("labelled").over(order)
+    pooled = (F.col("share") * F.col("labelled") + last * last_labelled) / (F.col("labelled") + last_labelled)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / last_labelled))
+    step = F.coalesce((F.col("share") - last > z * error).cast("int"), F.lit(0))
+    known = known.withColumn("step", step).withColumn("cluster", F.sum("step").over(order))
+    known = known.select(*node, "part", "cluster")
+    members = known.groupBy(*node, "cluster").agg(F.count("*").alias("members"))
+    clusters = members.groupBy(*node).agg(F.count("*").alias("clusters"))
+    siblings = child.groupBy(*node).agg(F.count("*").alias("siblings"))
+    every = child.select(*node, "part").join(siblings, node).join(known, [*node, "part"], "left")
+    every = every.join(members, [*node, "cluster"], "left").join(clusters, node, "left")
+    name = (
+        F.when(F.col("siblings") == 1, F.col("part"))
+        .when(F.col("cluster").isNull() | (F.col("clusters") == 1), F.lit("*"))
+        .when(F.col("members") == 1, F.col("part"))
+        .otherwise(F.concat(F.lit("*"), F.col("cluster").cast("string")))
+    )
+    return every.select(*node, "part", name.alias("name"))
+
+
 def template_tree(branches: DataFrame, z: float = Z, min_pages: int = MIN_PAGES, depth: int = MAX_DEPTH) -> DataFrame:
     """host, shape (array), n, labelled, bad -> with `template` added. Nulls as in the caller: none."""
     grown = cut_lineage(branches.withColumn("template", F.lit("")))
@@ -68,16 +98,7 @@ def template_tree(branches: DataFrame, z: float = Z, min_pages: int = MIN_PAGES,
         here = grown.withColumn("part", F.try_element_at("shape", F.lit(level + 1)))
         going = here.where(F.col("part").isNotNull())
         child = going.groupBy(*node, "part").agg(*_sums("n", "labelled", "bad"))
-        parent = child.groupBy(*node).agg(
-            F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.count("*").alias("children")
-        )
-        both = child.join(parent, node)
-        others, other_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        pooled = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-        gap = F.col("bad") / F.col("labelled") - other_bad / others
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / others))
-        apart = (F.col("n") >= min_pages) & (F.col("labelled") > 0) & (others > 0) & (F.abs(gap) > z * error)
-        names = both.select(*node, "part", F.when(apart | (F.col("children") == 1), F.col("part")).otherwise(F.lit("*")).alias("name"))
+        names = _sibling_names(child, node, z, min_pages)
         step = here.join(names, [*node, "part"], "left")
         longer = F.concat_ws("/", F.when(F.lit(level > 0), F.col("template")), F.col("name"))
         grown = cut_lineage(
