@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .binding import bind
 
-MAX_QUERY_TOKENS = 32
 MAX_QUERY_CHARS = 500
+# Patterns that decide results.
 # Letters, digits and private-use characters of lower-cased text; ASCII is tested first.
 TOKEN = r"[a-z0-9[\p{L}\p{N}\p{Co}&&[^\x00-\x7f]]]+"
 LINK = r"https?://\S+|www\.\S+"
@@ -114,8 +114,8 @@ def fold_literal(value: str) -> str:
     return value.lower().translate(table)
 
 
-def query_tokens(query: str) -> list[str]:
-    """The first 32 distinct words of two or more letters or digits, folded like the index."""
+def query_tokens(query: str, most: int | None = None) -> list[str]:
+    """Distinct words of two or more letters or digits, folded like the index; at most the first `most`."""
     words, current = [], []
     for char in unicodedata.normalize("NFKC", query) + " ":
         if unicodedata.category(char)[0] in "LN":
@@ -124,16 +124,16 @@ def query_tokens(query: str) -> list[str]:
             if len(current) > 1:
                 words.append("".join(current))
             current = []
-    first = list(dict.fromkeys(words))[:MAX_QUERY_TOKENS]
+    first = list(dict.fromkeys(words))[:most]
     return list(dict.fromkeys(fold_literal(word) for word in first))
 
 
 def required_query(query: str | None) -> str:
     needle = (query or "").strip()
     if not needle:
-        raise ValueError("query is required")
+        raise ValueError("an empty query finds nothing")
     if len(needle) > MAX_QUERY_CHARS:
-        raise ValueError(f"query must be {MAX_QUERY_CHARS} characters or fewer")
+        raise ValueError(f"a query has at most {MAX_QUERY_CHARS} characters")
     return needle
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import iso_argument
 from ..functions.identity import CALENDAR_ID_CHARS, opaque_id
 from .filters import any_contains, overlaps_period, strict_limit
 
+# Defaults and limits of the calendar views.
 SEARCHED = ["title", "calendar", "location", "notes"]
 PREVIEW_CHARS, NOTES_CHARS, MAX_EVENTS = 280, 10_000, 100
 
@@ -36,7 +37,8 @@ def calendar_info(events: DataFrame, key: bytes) -> DataFrame:
         F.min("start_at").alias("first_start"),
         F.max("end_at").alias("last_end"),
     )
-    total = events.agg(F.count("*").alias("n")).scalar()
+    # One row per calendar is left: the total is a sum of these.
+    total = F.sum("event_count").over(Window.partitionBy())
     return counted.select(
         opaque_id("calendar", F.col("source"), key, CALENDAR_ID_CHARS).alias("calendar_id"),
         "name",
@@ -47,9 +49,12 @@ def calendar_info(events: DataFrame, key: bytes) -> DataFrame:
     ).orderBy("name", "calendar_id")
 
 
-def calendar_event_view(events: DataFrame, key: bytes, full: bool = False) -> DataFrame:
-    """Events as shown to callers, with defaults and notes cut to a preview or to 10 000 characters."""
-    chars, name = (NOTES_CHARS, "notes") if full else (PREVIEW_CHARS, "notes_preview")
+def calendar_event_view(
+    events: DataFrame, key: bytes, full: bool = False, chars: int | None = None
+) -> DataFrame:
+    """Events as shown to callers, with defaults; `chars` cuts the notes."""
+    name = "notes" if full else "notes_preview"
+    notes = F.col("notes") if chars is None else F.substring("notes", 1, chars)
     return events.select(
         event_opaque(key).alias("event_id"),
         F.coalesce("title", F.lit("Untitled event")).alias("title"),
@@ -61,7 +66,7 @@ def calendar_event_view(events: DataFrame, key: bytes, full: bool = False) -> Da
         "location",
         F.coalesce("status", F.lit("none")).alias("status"),
         F.coalesce("availability", F.lit("not_supported")).alias("availability"),
-        F.substring("notes", 1, chars).alias(name),
+        notes.alias(name),
     )
 
 
@@ -76,7 +81,7 @@ def matching_events(
     needle = (query or "").strip()
     since, until = iso_argument(since, "since"), iso_argument(until, "until")
     if since is not None and until is not None and until <= since:
-        raise ValueError("until must be after since")
+        raise ValueError("a period ends after it starts")
     if not needle and since is None and until is None:
         now = now or datetime.now(timezone.utc).replace(tzinfo=None)
         since = now.replace(hour=0, minute=0, second=0, microsecond=0)
@@ -95,7 +100,7 @@ def matching_events(
 
 def search_calendar_events(
     events: DataFrame, key: bytes, query: str | None = None, calendar_ids=(), since=None,
-    until=None, limit: int | None = None, now: datetime | None = None,
+    until=None, limit: int | None = None, now: datetime | None = None, chars: int | None = None,
 ) -> DataFrame:
     """The first matching events by start, with the total number of matches on every row."""
     limit = strict_limit(limit, 1_000, 100)
@@ -103,20 +108,22 @@ def search_calendar_events(
     total = matches.agg(F.count("*").alias("n")).scalar()
     page = matches.orderBy("start_at", "source_id").limit(limit)
     return (
-        calendar_event_view(page, key)
+        calendar_event_view(page, key, chars=chars)
         .withColumn("total_matches", total)
         .withColumn("returned", F.least(F.col("total_matches"), F.lit(limit)))
         .orderBy("start_at", "event_id")
     )
 
 
-def read_calendar_events(events: DataFrame, key: bytes, event_ids: list[str]) -> DataFrame:
+def read_calendar_events(
+    events: DataFrame, key: bytes, event_ids: list[str], chars: int | None = None
+) -> DataFrame:
     """Full details of up to 100 events, with how many were asked for and found."""
     if not 1 <= len(event_ids) <= MAX_EVENTS:
-        raise ValueError("event_ids must contain between 1 and 100 opaque event IDs")
+        raise ValueError(f"ask for 1 to {MAX_EVENTS} events at a time")
     wanted = list(dict.fromkeys(event_ids))
     rows = events.filter(F.col("source_id").isNotNull() & event_opaque(key).isin(wanted))
     found = rows.agg(F.count("*").alias("n")).scalar()
-    return calendar_event_view(rows, key, full=True).withColumns(
+    return calendar_event_view(rows, key, full=True, chars=chars).withColumns(
         {"requested": F.lit(len(wanted)), "found": found}
     )

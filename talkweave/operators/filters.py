@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.clock import iso_argument, time_literal
 from ..functions.text import contains_ci
 
-MAX_PEOPLE = 25
 DIRECTIONS = ("from_me", "to_me")
 
 
 def clamp_limit(value: int | None, low: int, high: int, default: int) -> int:
+    """A caller's page size, pulled into what a tool allows."""
     return min(high, max(low, default if value is None else value))
 
 
 def strict_limit(value: int | None, high: int, default: int) -> int:
     result = default if value is None else value
     if not 1 <= result <= high:
-        raise ValueError(f"limit must be between 1 and {high}")
+        raise ValueError(f"a limit from 1 to {high} is needed")
     return result
 
 
@@ -48,7 +48,7 @@ def overlaps_period(df: DataFrame, start: str, end: str, since=None, until=None)
 
 
 def people_match(column: Column, person_ids, person_match: str = "any") -> Column:
-    wanted = list(dict.fromkeys(person_ids))[:MAX_PEOPLE]
+    wanted = list(dict.fromkeys(person_ids))
     literal = F.array(*[F.lit(p) for p in wanted])
     if person_match == "all":
         return F.size(F.array_except(literal, column)) == 0
@@ -99,7 +99,7 @@ def conversations_with_people(
     chat_handle: DataFrame, handle_ids, person_match: str = "any"
 ) -> DataFrame:
     """Conversations that have any, or all, of the given participants."""
-    wanted = list(dict.fromkeys(handle_ids))[:MAX_PEOPLE]
+    wanted = list(dict.fromkeys(handle_ids))
     needed = len(wanted) if person_match == "all" else min(len(wanted), 1)
     return (
         chat_handle.filter(F.col("handle_id").isin(wanted))

@@ -7,34 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_all
 from ..sources.archive import conversation_ids as chat_dimension
-from .filters import clamp_limit, in_period
+from .filters import in_period
 from .ranking import rank_by_time
 
-WIDE_PAGE = 1_000  # from here on, each task keeping its own top rows adds up
 
-
-def newest(df: DataFrame, limit: int, time: str = "sent_at", identifier: str = "message_id") -> DataFrame:
-    """The newest rows, ties by id.
-
-    For a wide page, every task would send `limit` rows to the final one. Rows
-    per minute are counted first, and only minutes that can reach the page are
-    read; the count has one row per minute of the archive's life.
-    """
-    if limit > WIDE_PAGE:
-        minute = F.date_trunc("minute", F.col(time).cast("timestamp"))
-        per_minute = df.groupBy(minute.alias("minute")).agg(F.count("*").alias("size"))
-        newer = Window.orderBy(F.col("minute").desc_nulls_last()).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        reached = per_minute.withColumn(
-            "newer", F.coalesce(F.sum("size").over(newer), F.lit(0))
-        ).filter(F.col("newer") < limit)
-        # Null when rows without a time are part of the page: then nothing can be skipped.
-        border = reached.agg(
-            F.when(F.count_if(F.col("minute").isNull()) == 0, F.min("minute")).alias("border")
-        ).scalar()
-        df = df.filter(F.coalesce(F.col(time).cast("timestamp") >= border, border.isNull()))
-    return df.orderBy(F.col(time).desc_nulls_last(), F.col(identifier).desc()).limit(limit)
+def newest(
+    df: DataFrame, limit: int | None, time: str = "sent_at", identifier: str = "message_id"
+) -> DataFrame:
+    """The newest rows, ties by id; all of them without a limit."""
+    ordered = df.orderBy(F.col(time).desc_nulls_last(), F.col(identifier).desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def read_conversation(
@@ -58,12 +40,12 @@ def read_conversation(
             (F.col("sent_at") < edge)
             | ((F.col("sent_at") == edge) & (F.col("message_id") < identifier))
         )
-    return newest(rows, clamp_limit(limit, 1, 10_000, 100)).orderBy("sent_at", "message_id")
+    return newest(rows, limit).orderBy("sent_at", "message_id")
 
 
 def next_cursor(page: DataFrame, limit: int | None = None) -> DataFrame:
     """Where the next page ends: the oldest row of a full page, nulls for a short one."""
-    full = F.count("*") == clamp_limit(limit, 1, 10_000, 100)
+    full = F.lit(False) if limit is None else F.count("*") == limit
     oldest = F.min(F.struct("sent_at", "message_id"))
     return page.agg(F.when(full, oldest).alias("oldest")).select("oldest.*")
 
@@ -88,7 +70,7 @@ def _sampled(
 
 
 def sample_conversations(
-    messages: DataFrame, limit: int | None = None, since=None, until=None, spread: bool = False,
+    messages: DataFrame, limit: int = 60, since=None, until=None, spread: bool = False,
     bits: int | None = None,
 ) -> DataFrame:
     """An evenly spaced sample of every conversation.
@@ -96,62 +78,56 @@ def sample_conversations(
     Only the three key columns are ranked; the rows themselves join back by key.
     """
     rows = in_period(messages, "sent_at", since, until)
-    picked = _sampled(rows, clamp_limit(limit, 5, 2_500, 60), spread, bits)
+    picked = _sampled(rows, limit, spread, bits)
     return rows.join(picked, ["conversation_id", "message_id"])
 
 
 def sample_conversation(
-    messages: DataFrame, conversation_id: str, limit: int | None = None, since=None, until=None,
+    messages: DataFrame, conversation_id: str, limit: int = 60, since=None, until=None,
     spread: bool = False,
 ) -> DataFrame:
-    """The sample of one conversation, in order. At most 2 500 keys, so they are broadcast."""
+    """The sample of one conversation, in order."""
     rows = messages.filter(F.col("conversation_id") == conversation_id)
     rows = in_period(rows, "sent_at", since, until)
-    picked = _sampled(rows, clamp_limit(limit, 5, 2_500, 60), spread)
-    return rows.join(F.broadcast(picked), ["conversation_id", "message_id"]).orderBy("rank")
+    picked = _sampled(rows, limit, spread)
+    return rows.join(picked, ["conversation_id", "message_id"]).orderBy("rank")
 
 
-def recent_conversations(conversations: DataFrame, k: int = 7, pool: int = 24) -> DataFrame:
-    """The k most recent named one-to-one conversations out of the newest `pool`."""
-    newest_first = [F.col("last_message_at").desc_nulls_last(), F.col("conversation_id")]
+def recent_conversations(conversations: DataFrame, k: int = 7) -> DataFrame:
+    """The k most recent named one-to-one conversations; further columns stay."""
     personal = (
         (F.col("name") != "Unnamed conversation")
         & (F.size("participants") == 1)
         & (F.col("participants")[0] != "Unknown person")
     )
-    return (
-        conversations.orderBy(*newest_first)
-        .limit(pool)
-        .filter(personal)
-        .orderBy(*newest_first)
-        .limit(k)
-        .select("conversation_id", "name", "last_message_at")
-    )
+    newest_first = [F.col("last_message_at").desc_nulls_last(), F.col("conversation_id")]
+    return conversations.filter(personal).orderBy(*newest_first).limit(k)
 
 
 def recent_excerpts(
-    messages: DataFrame, conversations: DataFrame, k: int = 7, n: int = 100, pool: int = 24
+    messages: DataFrame, conversations: DataFrame, k: int = 7, n: int = 100
 ) -> DataFrame:
     """The newest messages of the k most recent named one-to-one conversations.
 
     conversations: conversation_id, name, participants (array of names),
     last_message_at.
     """
-    return excerpts_of(messages, recent_conversations(conversations, k, pool), n)
+    return excerpts_of(messages, recent_conversations(conversations, k), n)
 
 
 def excerpts_of(messages: DataFrame, chosen: DataFrame, n: int = 100) -> DataFrame:
     """The newest n messages of each chosen conversation, without blank ones.
 
-    The choice is a handful of rows, so it is broadcast; the ranking keeps n
-    rows per conversation in each task before it shuffles.
+    The ranking keeps n rows per conversation in each task before it shuffles.
     """
     recent = Window.partitionBy("conversation_id").orderBy(
         F.col("sent_at").desc_nulls_last(), F.col("message_id").desc()
     )
     text = trim_all(F.col("text"))
     return (
-        messages.join(F.broadcast(chosen), "conversation_id")
+        messages.join(
+            chosen.select("conversation_id", "name", "last_message_at"), "conversation_id"
+        )
         .withColumn("place", F.row_number().over(recent))
         .filter(F.col("place") <= n)
         .withColumn("text", text)
@@ -163,22 +139,20 @@ def excerpts_of(messages: DataFrame, chosen: DataFrame, n: int = 100) -> DataFra
 
 
 def resolve_ids(dimension: DataFrame, column: str, wanted: list[str], label: str) -> DataFrame:
-    """Rows of a dimension for the given opaque ids; an unknown id is an error.
+    """Rows of a dimension for the given opaque ids; reading an unknown id fails."""
+    spark = dimension.sparkSession
+    asked = spark.createDataFrame([(w,) for w in dict.fromkeys(wanted)], f"{column} string")
+    unknown = F.raise_error(F.concat(F.lit(f"no such {label}: "), F.col(column)))
+    known = dimension.withColumn("__known", F.lit(True))
+    rows = asked.join(known, column, "left").filter(
+        F.coalesce(F.col("__known"), unknown.cast("boolean"))
+    )
+    return rows.select(*dimension.columns)
 
-    At most 100 ids come in, so at most that many rows are checked on the driver.
-    """
-    wanted = list(dict.fromkeys(wanted))
-    if len(wanted) > 100:
-        raise ValueError(f"at most 100 {label}s can be resolved at once")
-    rows = dimension.filter(F.col(column).isin(wanted))
-    found = {r[0] for r in rows.select(column).distinct().collect()}
-    if len(found) < len(wanted):
-        raise ValueError(f"Unknown {label}")
-    return rows
-
-
-def resolve_chats(archive: dict[str, DataFrame], key: bytes, conversation_ids: list[str]) -> list[int]:
-    """Internal chat ids of at most 100 opaque conversation ids; an unknown one is an error."""
+
+def resolve_chats(
+    archive: dict[str, DataFrame], key: bytes, conversation_ids: list[str]
+) -> DataFrame:
+    """`chat_id` of opaque conversation ids; reading an unknown one fails."""
     dimension = chat_dimension(archive["chat"], key)
-    rows = resolve_ids(dimension, "conversation_id", conversation_ids, "conversation_id")
-    return [row.chat_id for row in rows.select("chat_id").collect()]
+    return resolve_ids(dimension, "conversation_id", conversation_ids, "conversation_id").select("chat_id")

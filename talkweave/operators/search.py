@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from ..functions.clock import iso_text
 from ..functions.text import fold_text, query_tokens, required_query, tokens
 from ..functions.vectors import cosine, cosine_to, fit_vector
 from ..session import cut_lineage
-from .filters import any_contains, clamp_limit, filter_messages, filter_passages
+from .filters import any_contains, filter_messages, filter_passages
 from .reading import newest
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-POOL_LIMIT, POOL_FACTOR, RRF = 800, 5, 61
+RRF = 61
 
 
 # --- index ------------------------------------------------------------------
@@ -26,18 +27,31 @@ POOL_LIMIT, POOL_FACTOR, RRF = 800, 5, 61
 def _token_rows(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     """ids, token, tf, length; a text's own row has the empty token, also when it has no words.
 
-    Occurrences of a word inside one text are added up before the shuffle, and
-    the shuffle key is (ids, token), so a word that occurs everywhere is spread.
+    Occurrences are counted inside the row, so nothing is shuffled.
     """
-    words = df.select(*ids, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
-    return (
-        words.select(
-            *ids,
-            F.size("words").alias("length"),
-            F.explode(F.concat(F.array(F.lit("")), "words")).alias("token"),
+    listed = F.array_sort(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
+    own = F.array(F.struct(F.lit("").alias("token"), F.lit(1).alias("tf")))
+
+    def runs(words: Column) -> Column:
+        """A sorted list has each word as one run, as long as the step to the next start."""
+        first = lambda word, i: (i == 0) | (word != F.get(words, i - 1))
+        at = F.filter(F.transform(words, lambda word, i: F.when(first(word, i), i)), lambda i: i.isNotNull())
+        return bind(
+            F.concat(at, F.array(F.size(words))),
+            lambda starts: F.transform(
+                F.slice(starts, F.lit(1), F.size(starts) - 1),
+                lambda i, k: F.struct(
+                    F.get(words, i).alias("token"), (F.get(starts, k + 1) - i).alias("tf")
+                ),
+            ),
         )
-        .groupBy(*ids, "token")
-        .agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
+
+    def counted(words: Column) -> Column:
+        return F.struct(F.size(words).alias("length"), F.concat(own, runs(words)).alias("runs"))
+
+    rows = df.select(*ids, bind(listed, counted).alias("t"))
+    return rows.select(*ids, F.col("t.length").alias("length"), F.inline("t.runs")).select(
+        *ids, "token", "tf", "length"
     )
 
 
@@ -59,10 +73,12 @@ def store_token_index(
 ) -> tuple[DataFrame, DataFrame]:
     """The same, written once and read back, so that queries do not tokenise again.
 
-    Every file is sorted by token: a prefix reads only the matching row groups.
+    Files are ranges of (token, ids), so a prefix reads few of them and a word
+    that occurs everywhere is many.
     """
     ids = [id] if isinstance(id, str) else list(id)
-    rows = _token_rows(df, ids, text).sortWithinPartitions("token", *ids)
+    rows = _token_rows(df, ids, text).repartitionByRange("token", *ids)
+    rows = rows.sortWithinPartitions("token", *ids)
     return _split_index(cut_lineage(rows, path), ids)
 
 
@@ -139,28 +155,33 @@ def search_messages(
     postings: DataFrame,
     query: str,
     limit: int | None = None,
+    words: int | None = None,
     **filters,
 ) -> DataFrame:
-    """Newest messages in which every query word occurs as a prefix."""
-    words, ids = query_tokens(required_query(query)), _ids_of(postings)
+    """Newest messages in which every query word (or the first `words`) occurs as a prefix."""
+    words, ids = query_tokens(required_query(query), words), _ids_of(postings)
     if not words:
-        raise ValueError("query has no searchable words; use scan_messages")
+        raise ValueError("nothing in this query can be looked up by word; scan_messages can find it")
     every = F.lit(True)
     for i in range(len(words)):
         every = every & (F.col(f"f{i}") > 0)
     matching = _prefix_hits(postings, words).filter(every).select(*ids)
     found = filter_messages(messages, **filters).join(matching, ids, "left_semi")
-    return newest(found, clamp_limit(limit, 1, 5_000, 50))
+    return newest(found, limit)
 
 
 def scan_messages(
     messages: DataFrame, needle: str, limit: int | None = None, **filters
 ) -> DataFrame:
-    """Newest messages with the literal substring, ignoring case; needs no index."""
+    """Newest messages with the literal substring, ignoring case; needs no index.
+
+    Give it texts as they are stored and redact what it returns: a redacted text
+    no longer has the address or number that was asked for.
+    """
     needle = required_query(needle)
     columns = [c for c in ("text", "decoded_text") if c in messages.columns]
     found = filter_messages(messages, **filters).filter(any_contains(columns, needle))
-    return newest(found, clamp_limit(limit, 1, 5_000, 50))
+    return newest(found, limit)
 
 
 # --- vectors ----------------------------------------------------------------
@@ -168,21 +189,23 @@ def scan_messages(
 
 def embed_passages(
     df: DataFrame, fn: Callable[[list[str]], np.ndarray], dims: int = 384, text: str = "text",
-    out: str = "embedding",
+    out: str = "embedding", batch: int = 64,
 ) -> DataFrame:
     """Vectors from a user's model, cut or padded to dims at unit length.
 
-    The model sees Arrow batches in the tasks; texts of similar length are
-    handed over together so that padding stays small.
+    The model sees `batch` texts at a time in the tasks; texts of similar length
+    are handed over together so that padding stays small.
     """
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         order = np.argsort(texts.str.len().fillna(0).to_numpy(), kind="stable")
-        vectors = fn([texts.iat[i] or "" for i in order])
         out = [None] * len(texts)
-        for place, vector in zip(order, vectors):
-            out[place] = np.asarray(vector, dtype="float32")
+        for at in range(0, len(order), batch):
+            places = order[at : at + batch]
+            vectors = fn([texts.iat[i] or "" for i in places])
+            for place, vector in zip(places, vectors, strict=True):
+                out[place] = np.asarray(vector, dtype="float32")
         return pd.Series(out)
 
     raw = df.withColumn("__raw", run(F.col(text)))
@@ -212,7 +235,7 @@ def vector_topk(
 
 
 def fuse(semantic: DataFrame, lexical: DataFrame, limit: int, id: str = "passage_id") -> DataFrame:
-    """Merge two ranked lists (at most 800 rows each) by reciprocal rank.
+    """Merge two ranked lists by reciprocal rank.
 
     semantic: id, similarity. lexical: id, lexical_rank from 0.
     """
@@ -252,15 +275,19 @@ def search_context(
     lengths: DataFrame,
     query: str,
     query_vector: Sequence[float] | Column | None,
-    limit: int | None = None,
+    limit: int = 30,
     id: str = "passage_id",
+    pool: int | None = None,
     **filters,
 ) -> DataFrame:
-    """The best passages by meaning and by words, with score, relevance and how they matched."""
+    """The best passages by meaning and by words, with score, relevance and how they matched.
+
+    The two lists that are fused hold the best `pool` rows each, five times the
+    limit unless given.
+    """
     if not query:
-        raise ValueError("query is required")
-    limit = clamp_limit(limit, 1, 200, 30)
-    pool = min(POOL_LIMIT, POOL_FACTOR * limit)
+        raise ValueError("an empty query finds nothing")
+    pool = 5 * limit if pool is None else pool
     if query_vector is None:
         semantic = passages.select(id, F.lit(0.0).alias("similarity")).limit(0)
     else:
@@ -270,7 +297,7 @@ def search_context(
         allowed = filter_passages(passages, **filters).select(id)
         scored = scored.join(allowed, id, "left_semi")
     ranked = fuse(semantic, rank_lexical(scored, pool, id), limit, id)
-    return passages.join(F.broadcast(ranked), id).orderBy(F.col("score").desc(), id)
+    return passages.join(ranked, id).orderBy(F.col("score").desc(), id)
 
 
 def search_coverage(passages: DataFrame) -> DataFrame:
@@ -304,6 +331,10 @@ def public_messages(rows: DataFrame, names: DataFrame | None = None) -> DataFram
         rows = rows.join(names.select("conversation_id", "conversation_name"), "conversation_id", "left")
     elif "conversation_name" not in rows.columns:
         rows = rows.withColumn("conversation_name", F.lit(None).cast("string"))
+    if "attachments" not in rows.columns:
+        rows = rows.withColumn(
+            "attachments", F.array().cast("array<struct<name:string,mime_type:string>>")
+        )
     sender = F.struct(F.col("speaker").alias("person_id"), F.col("sender_name").alias("name"))
     return rows.select(
         "conversation_id",
@@ -316,13 +347,20 @@ def public_messages(rows: DataFrame, names: DataFrame | None = None) -> DataFram
         "text",
         "subject",
         "is_reply",
+        "attachments",
     )
 
 
-def public_passages(rows: DataFrame) -> DataFrame:
+def public_passages(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Passages as shown to callers. names: conversation_id, conversation_name."""
+    if names is not None:
+        rows = rows.join(names.select("conversation_id", "conversation_name"), "conversation_id", "left")
+    elif "conversation_name" not in rows.columns:
+        rows = rows.withColumn("conversation_name", F.lit(None).cast("string"))
     return rows.select(
         "passage_id",
         "conversation_id",
+        "conversation_name",
         iso_text(F.col("start_at")).alias("start_at"),
         iso_text(F.col("end_at")).alias("end_at"),
         "message_count",

@@ -28,6 +28,10 @@ def _sorted_rows(*fields: Column) -> Column:
     return F.sort_array(F.collect_list(F.struct(*fields)))
 
 
+def _clipped(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 # --- passages ---------------------------------------------------------------
 
 
@@ -47,7 +51,7 @@ def build_passages(
     size: int = 8,
     stride: int = 6,
     page: int = 512,
-    max_chars: int = 24_000,
+    max_chars: int | None = None,
     bits: int = SLOT_BITS,
 ) -> DataFrame:
     """Overlapping windows of `size` messages, starting every `stride` inside each page.
@@ -83,7 +87,7 @@ def build_passages(
         ).alias("w"),
     )
     first, last = F.col("w")[0], F.element_at("w", -1)
-    text = F.substring(F.array_join(F.col("w.line"), "\n"), 1, max_chars)
+    text = _clipped(F.array_join(F.col("w.line"), "\n"), max_chars)
     return windows.select(
         F.concat_ws(
             "_", F.lit("passage"), KEY, first["message_id"], last["message_id"]
@@ -206,25 +210,6 @@ def _islands(rows: DataFrame, gap_seconds: int, max_chars: int) -> DataFrame:
     )
 
 
-def _whole_islands(rows: DataFrame, gap_seconds: int, max_chars: int) -> DataFrame:
-    """`_islands` when every conversation is known to fit one slot: a single window."""
-    talk = Window.partitionBy(KEY).orderBy("message_id")
-    so_far = talk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    me = F.struct("speaker", "tick", "chars")
-    flagged = rows.drop("slot").select(
-        "*",
-        F.row_number().over(talk).alias("rank"),
-        (~_continues(F.lag(me).over(talk), me, gap_seconds, max_chars)).alias("starts"),
-    )
-    start = F.when(F.col("starts"), F.struct(F.col("message_id").alias("island"), F.col("rank")))
-    return (
-        flagged.withColumn("start", F.max(start).over(so_far))
-        .withColumn("island", F.col("start.island"))
-        .withColumn("pos", F.col("rank") - F.col("start.rank"))
-        .drop("rank", "starts", "start")
-    )
-
-
 def _pieces(rows: DataFrame, piece_rows: int, lookahead: int) -> DataFrame:
     """Cut islands into pieces; the first rows of a piece are also shown to the one before."""
     piece = F.floor(F.col("pos") / piece_rows)
@@ -327,26 +312,20 @@ def _entries(pieces: DataFrame, max_messages: int) -> DataFrame:
     ).drop("g0")
 
 
-def _largest_group(df: DataFrame, keys: list[str]) -> int:
-    """One counting job over the key columns alone; a single number reaches the driver."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def _piece_entries(
     narrow: DataFrame, max_messages: int, max_chars: int, piece_rows: int
-) -> DataFrame | None:
-    """First turn start of every piece of every island longer than one piece, if there is any."""
+) -> DataFrame:
+    """First turn start of every piece of every island longer than one piece."""
     group = [KEY, "island", "piece"]
-    longer = cut_lineage(narrow.filter(F.col("pos") == piece_rows).select(KEY, "island"))
-    if longer.isEmpty():
-        return None
+    longer = narrow.filter(F.col("pos") == piece_rows).select(KEY, "island")
     exits = (
         _pieces(narrow.join(longer, [KEY, "island"], "left_semi"), piece_rows, max_messages)
         .groupBy(*group)
         .agg(_sorted_rows(F.col("at"), F.col("chars")).alias("rows"))
         .select(*group, _exits(F.col("rows"), piece_rows, max_messages, max_chars).alias("exits"))
     )
-    return _entries(exits, max_messages)
+    # Written once: every level of the walk reads them.
+    return _entries(cut_lineage(exits), max_messages)
 
 
 def build_turns(
@@ -357,22 +336,17 @@ def build_turns(
     numbered: bool = True,
     bits: int = SLOT_BITS,
     piece_rows: int = 1_024,
+    clip_chars: int | None = None,
 ) -> DataFrame:
     """Adjacent messages of one speaker joined into turns.
 
     A message joins the open turn when the speaker is the same, 0 <= gap <=
     gap_seconds, and neither cap would be exceeded. Filling a turn up to its
     caps is sequential, so it runs inside islands cut into pieces; a monologue
-    longer than one piece gets the start of each piece from `_entries`. The
-    size of the largest conversation is looked up when the plan is built: while
-    it fits one slot, the plan is a single window and one grouping.
+    longer than one piece gets the start of each piece from `_entries`. A first
+    message above max_chars stays whole; `clip_chars` cuts the text that is shown.
     """
-    rows = _utterances(messages, bits)
-    largest = _largest_group(messages, [KEY])
-    if largest <= 1 << bits:
-        islands = _whole_islands(rows, gap_seconds, max_chars)
-    else:
-        islands = _islands(rows, gap_seconds, max_chars)
+    islands = _islands(_utterances(messages, bits), gap_seconds, max_chars)
     placed = _pieces(islands, piece_rows, max_messages)
     narrow = islands.select(KEY, "island", "pos", F.col("chars").cast("int").alias("chars"))
     group = [KEY, "island", "piece"]
@@ -384,14 +358,7 @@ def build_turns(
         ).alias("rows"),
     )
 
-    entries = None
-    if largest > piece_rows:
-        entries = _piece_entries(narrow, max_messages, max_chars, piece_rows)
-    if entries is None:
-        pieces = pieces.withColumn("entry", F.lit(0))
-    else:
-        pieces = pieces.join(entries, group, "left")
-
+    pieces = pieces.join(_piece_entries(narrow, max_messages, max_chars, piece_rows), group, "left")
     entry = F.coalesce(F.col("entry"), F.lit(0))
 
     def step(acc: Column, row: Column) -> Column:
@@ -446,7 +413,7 @@ def build_turns(
         "direction",
         "speaker",
         F.size("turn.rows").alias("message_count"),
-        F.substring(F.array_join(F.col("turn.rows.body"), "\n"), 1, max_chars).alias("text"),
+        _clipped(F.array_join(F.col("turn.rows.body"), "\n"), clip_chars).alias("text"),
     )
     return number_turns(turns, bits) if numbered else turns
 
@@ -467,7 +434,7 @@ def build_exchange_windows(
     stride: int = 4,
     min_turns: int = 3,
     min_speakers: int = 2,
-    max_chars: int = 4_000,
+    max_chars: int | None = None,
     block: int = 64,
 ) -> DataFrame:
     """Overlapping windows over turns with at least two speakers.
@@ -519,5 +486,5 @@ def build_exchange_windows(
         last["end_at"].alias("end_at"),
         F.size("w").alias("turn_count"),
         F.array_sort(F.array_distinct(F.col("w.direction"))).alias("directions"),
-        F.substring(F.array_join(F.col("w.text"), "\n"), 1, max_chars).alias("text"),
+        _clipped(F.array_join(F.col("w.text"), "\n"), max_chars).alias("text"),
     )

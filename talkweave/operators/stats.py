@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.clock import archive_seconds, iso_text, normalize_epoch, period
 from ..functions.redaction import safe_label
 from ..functions.identity import normalize_identifier, opaque_id
+from ..session import cut_lineage
 from ..sources.archive import handle_people
 from ..sources.contacts import PROFILE, enrich_people, match_contacts
-from .filters import any_contains, clamp_limit, filter_messages, real_messages
+from .filters import any_contains, filter_messages, real_messages
 
 UNKNOWN = "Unknown person"
 
@@ -49,40 +50,32 @@ def name_conversations(chats: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def _last_dates(
-    archive: dict[str, DataFrame], chat_ids: list[int] | None = None
-) -> DataFrame:
+def _last_dates(archive: dict[str, DataFrame]) -> DataFrame:
     """`chat_id, last_date`: one row per conversation before anything else is joined."""
     dates = real_messages(archive["message"]).select(
         F.col("rowid").alias("message_id"), archive_seconds(F.col("date")).alias("date")
     )
     bridge = archive["chat_message"].select("chat_id", "message_id")
-    if chat_ids is not None:
-        bridge = bridge.filter(F.col("chat_id").isin(chat_ids))
-    return (
-        bridge.join(dates, "message_id")
-        .groupBy("chat_id")
-        .agg(F.max("date").alias("last_date"))
-    )
+    return bridge.join(dates, "message_id").groupBy("chat_id").agg(F.max("date").alias("last_date"))
 
 
 def conversation_directory(
     archive: dict[str, DataFrame],
     contacts: DataFrame,
     key: bytes,
-    chat_ids: list[int] | None = None,
+    page: DataFrame | None = None,
 ) -> DataFrame:
     """Conversations with safe name, participants, service and last message.
 
-    `chat_ids` (one page at most) limits the scans to some conversations.
+    `page` (`chat_id, last_date`) names only some conversations.
     """
-    last = _last_dates(archive, chat_ids)
-    links = archive["chat_handle"].select("chat_id", "handle_id").dropDuplicates()
     chats = archive["chat"].withColumnRenamed("rowid", "chat_id")
-    if chat_ids is not None:
-        links = links.filter(F.col("chat_id").isin(chat_ids))
-        chats = chats.filter(F.col("chat_id").isin(chat_ids))
-    chats = chats.join(last, "chat_id", "left")
+    links = archive["chat_handle"].select("chat_id", "handle_id").dropDuplicates()
+    if page is None:
+        chats = chats.join(_last_dates(archive), "chat_id", "left")
+    else:
+        chats = chats.join(page, "chat_id")
+        links = links.join(page.select("chat_id"), "chat_id", "left_semi")
     handles = handle_people(archive["handle"], key).filter(F.col("person_id") != "unknown")
     linked = links.join(handles, "handle_id")
     people = enrich_people(linked, contacts).select("chat_id", "handle_id", "person_id", "name")
@@ -128,8 +121,8 @@ def list_conversations(
 ) -> DataFrame:
     """The most recent conversations; query matches names, identifiers and contact fields.
 
-    The page is chosen first, on ids and dates alone, and read as at most 100
-    ids; only its conversations are named.
+    The page is chosen first, on ids and dates alone; only its conversations are
+    named. Without a limit all are listed.
     """
     chats = archive["chat"].withColumnRenamed("rowid", "chat_id")
     needle = (query or "").strip()
@@ -143,17 +136,14 @@ def list_conversations(
         chats = chats.join(
             by_handle.unionAll(by_name.select("chat_id")), "chat_id", "left_semi"
         )
-    limit = clamp_limit(limit, 1, 100, 25)
-    newest_first = [F.col("last_date").desc_nulls_last(), F.col("chat_id")]
-    page = (
-        chats.select("chat_id")
-        .join(_last_dates(archive), "chat_id", "left")
-        .orderBy(*newest_first)
-        .limit(limit)
-    )
-    ids = [row.chat_id for row in page.select("chat_id").collect()]
+    page = chats.select("chat_id").join(_last_dates(archive), "chat_id", "left")
+    if limit is not None:
+        # Written, as names and people are looked up by it separately.
+        page = cut_lineage(
+            page.orderBy(F.col("last_date").desc_nulls_last(), F.col("chat_id")).limit(limit)
+        )
     return (
-        conversation_directory(archive, contacts, key, ids)
+        conversation_directory(archive, contacts, key, page)
         .orderBy(F.col("last_message_at").desc_nulls_last(), "chat_id")
         .drop("chat_id")
     )
@@ -168,7 +158,7 @@ def list_people(
 ) -> DataFrame:
     """People with their number of conversations and last activity, newest first.
 
-    Only the people on the page get their contact fields.
+    Only the people on the page get their contact fields; without a limit, all do.
     """
     activity = (
         archive["chat_handle"]
@@ -183,11 +173,9 @@ def list_people(
     if needle:
         people = people.join(_handles_like(archive, contacts, needle), "handle_id", "left_semi")
     newest_first = [F.col("last_date").desc_nulls_last(), F.col("handle_id")]
-    page = (
-        people.join(activity, "handle_id", "left")
-        .orderBy(*newest_first)
-        .limit(clamp_limit(limit, 1, 200, 50))
-    )
+    page = people.join(activity, "handle_id", "left").orderBy(*newest_first)
+    if limit is not None:
+        page = page.limit(limit)
     return (
         enrich_people(page, contacts)
         .orderBy(*newest_first)
@@ -236,13 +224,35 @@ def _each_message_once(messages: DataFrame) -> DataFrame:
 def conversation_totals(messages: DataFrame, **filters) -> DataFrame:
     """Messages, sent, received, first and last date, number of conversations."""
     chosen = filter_messages(messages, **filters)
-    totals = _each_message_once(chosen).agg(
-        *_direction_counts(),
+    # One pass: a row per message, and a row per conversation and task, told apart by `what`.
+    facts = F.array(
+        F.struct(
+            F.col("message_id").cast("string").alias("what"),
+            (F.col("direction") == "from_me").alias("sent"),
+            (F.col("direction") == "to_me").alias("received"),
+            F.col("sent_at").alias("sent_at"),
+        ),
+        F.struct(
+            F.concat(F.lit("c"), F.col("conversation_id")).alias("what"),
+            F.lit(None).cast("boolean").alias("sent"),
+            F.lit(None).cast("boolean").alias("received"),
+            F.lit(None).cast(chosen.schema["sent_at"].dataType).alias("sent_at"),
+        ),
+    )
+    once = chosen.select(F.inline(facts)).groupBy("what").agg(
+        F.max("sent").alias("sent"),
+        F.max("received").alias("received"),
+        F.max("sent_at").alias("sent_at"),
+    )
+    is_message = F.col("sent").isNotNull()
+    return once.agg(
+        F.count_if(is_message).alias("messages"),
+        F.count_if("sent").alias("from_me"),
+        F.count_if("received").alias("to_me"),
         F.min("sent_at").alias("first_message_at"),
         F.max("sent_at").alias("last_message_at"),
+        F.count_if(~is_message).alias("conversations"),
     )
-    conversations = chosen.agg(F.countDistinct("conversation_id").alias("conversations"))
-    return totals.withColumn("conversations", conversations.scalar())
 
 
 def conversation_by_period(messages: DataFrame, bucket: str = "year", **filters) -> DataFrame:

@@ -15,14 +15,17 @@ SNAPSHOT_VERSION, MANY_NEW, MAX_AGE_SECONDS = 4, 250, 86_400
 
 def thread_summaries(messages: DataFrame) -> DataFrame:
     """Newest message as preview, number of messages, last update; newest thread first."""
+    threads = messages.groupBy("thread_id").agg(
+        F.max("id").alias("id"),
+        F.count("*").alias("message_count"),
+        F.min("created_at").alias("created_at"),
+        F.max("created_at").alias("updated_at"),
+    )
+    # Only the one text that is shown meets its thread.
+    previews = messages.select("thread_id", "id", F.col("content").alias("preview"))
     return (
-        messages.groupBy("thread_id")
-        .agg(
-            F.max_by("content", "id").alias("preview"),
-            F.count("*").alias("message_count"),
-            F.min("created_at").alias("created_at"),
-            F.max("created_at").alias("updated_at"),
-        )
+        threads.join(previews, ["thread_id", "id"])
+        .select("thread_id", "preview", "message_count", "created_at", "updated_at")
         .orderBy(F.col("updated_at").desc(), "thread_id")
     )
 

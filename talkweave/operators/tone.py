@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import period, time_literal
 from ..functions.scores import SCORES, round4, tone_from_logits
-from .filters import filter_messages
+from .filters import DIRECTIONS, filter_messages, people_match
 
 BATCH = 8
 
@@ -71,9 +71,24 @@ def _published(df: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def tone_summary(turns: DataFrame, by: Sequence[str] = (), **filters) -> DataFrame:
-    """Count, mean scores and share of each dominant class; rows without scores are left out."""
-    rows = filter_messages(turns, time="start_at", **filters).filter("positive is not null")
+def tone_summary(
+    turns: DataFrame, by: Sequence[str] = (), people: DataFrame | None = None, person_ids=(),
+    person_match: str = "any", direction: str | None = None, **filters,
+) -> DataFrame:
+    """Count, mean scores and share of each dominant class; rows without scores are left out.
+
+    People are those of the conversation: `people` (`conversation_id, person_ids`)
+    is needed to ask for some. Windows have a list of directions; one match is enough.
+    """
+    if direction in DIRECTIONS and "directions" in turns.columns:
+        turns, direction = turns.filter(F.array_contains("directions", direction)), None
+    rows = filter_messages(turns, time="start_at", direction=direction, **filters)
+    rows = rows.filter("positive is not null")
+    if person_ids:
+        if people is None:
+            raise ValueError("people of conversations are needed to choose by person")
+        wanted = people.filter(people_match(F.col("person_ids"), person_ids, person_match))
+        rows = rows.join(wanted.select("conversation_id"), "conversation_id", "left_semi")
     return _published(rows.groupBy(*by).agg(*_aggregates()), by)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.clock import iso_text, normalize_epoch, parse_iso, period
 from ..functions.identity import normalize_identifier, opaque_id, profile_name
 from ..functions.redaction import safe_label
-from ..operators import filters, reading, stats
+from ..operators import filters, reading, search, stats
+from ..session import cut_lineage, shared_folder
 from ..sources import archive as arc
 from ..sources import contacts as con
 from ..sources.driver_tables import (
@@ -203,10 +206,8 @@ def opaque_ids(spark, sf):
        .replace("c_custkey_of", "handle_id - 1"))
 def resolved_people(spark, sf):
     people = arc.handle_people(archive(spark, sf)["handle"], KEY)
-    wanted = [
-        r[0]
-        for r in people.filter(F.col("handle_id").isin(2, 3, 4)).select("person_id").collect()
-    ]
+    names = ("customer1@example.com", "+1 (555) 0000002", "customer3@example.com")
+    wanted = [q.opaque_value("person", name) for name in names]
     return reading.resolve_ids(people, "person_id", wanted, "person_id").select("handle_id", "person_id")
 
 
@@ -297,7 +298,7 @@ ONCE = "(SELECT message_id, min(direction) AS direction, min(sent_at) AS sent_at
   min(sent_at) AS first_message_at, max(sent_at) AS last_message_at,
   (SELECT count(DISTINCT conversation_id) FROM m) AS conversations FROM {ONCE}""")
 def conversation_totals(spark, sf):
-    rows = stats.conversation_totals(_normalized(spark, sf, named=False))
+    rows = stats.conversation_totals(arc.message_facts(archive(spark, sf), KEY))
     return stats.public_times(rows, "first_message_at", "last_message_at")
 
 
@@ -309,7 +310,7 @@ def _by(bucket: str, label: str, source: str) -> str:
 
 @query("conversation_by_year", TWICE + _by("year", "substr(sent_at, 1, 4)", ONCE))
 def conversation_by_year(spark, sf):
-    return stats.conversation_by_year(_normalized(spark, sf, named=False))
+    return stats.conversation_by_year(arc.message_facts(archive(spark, sf), KEY))
 
 
 @query("conversation_by_day", EV + _by("day", "strftime(sent_at, '%Y-%m-%d')",
@@ -395,6 +396,16 @@ def conversations_with_all_people(spark, sf):
     return filters.conversations_with_people(archive(spark, sf)["chat_handle"], [1, 7], "all")
 
 
+@query("conversations_with_many_people", A + """SELECT chat_id FROM chat_handle WHERE handle_id BETWEEN 1 AND 30
+  GROUP BY 1 HAVING count(DISTINCT handle_id) = 30
+  UNION ALL SELECT chat_id FROM chat_handle WHERE handle_id = 40""")
+def conversations_with_many_people(spark, sf):
+    """Thirty people at once, which no conversation has here, next to one."""
+    links = archive(spark, sf)["chat_handle"]
+    every = filters.conversations_with_people(links, range(1, 31), "all")
+    return every.unionAll(filters.conversations_with_people(links, [40]))
+
+
 # --- reading ----------------------------------------------------------------
 
 
@@ -449,18 +460,55 @@ def sample_one_conversation(spark, sf):
 
 
 @query("recent_excerpts", q.with_(*q.ARCHIVE, f"m AS ({NORMALIZED})", """chosen AS (
-  SELECT * FROM (SELECT * FROM directory ORDER BY last_at DESC NULLS LAST, conversation_id LIMIT 24)
+  SELECT * FROM directory
   WHERE name <> 'Unnamed conversation' AND members = 1 AND participants <> 'Unknown person'
   ORDER BY last_at DESC, conversation_id LIMIT 7)""") + """SELECT m.conversation_id, c.name, message_id, direction, text FROM (
     SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sent_at DESC, message_id DESC) AS place FROM m) m
   JOIN chosen c USING (conversation_id) WHERE place <= 30""")
 def recent_excerpts(spark, sf):
     contacts = con.load_contacts(address_books(spark, sf))
-    directory = stats.list_conversations(archive(spark, sf), contacts, KEY, limit=24)
-    chosen = reading.recent_conversations(directory)
-    picked = chosen.collect()  # seven rows at most
-    ids = [r.conversation_id for r in picked]
-    chats = reading.resolve_chats(archive(spark, sf), KEY, ids)
-    messages = _normalized(spark, sf, named=False, chat_ids=chats)
-    rows = reading.excerpts_of(messages, spark.createDataFrame(picked, chosen.schema), n=30)
+    directory = stats.conversation_directory(archive(spark, sf), contacts, KEY)
+    chosen = cut_lineage(reading.recent_conversations(directory))
+    messages = _normalized(spark, sf, named=False, chats=chosen.select("chat_id"))
+    rows = reading.excerpts_of(messages, chosen, n=30)
     return rows.select("conversation_id", "name", "message_id", "direction", "text")
+
+
+ATTACHED = """attached AS (SELECT message_id, string_agg(name || ' ' || mime_type, ',' ORDER BY name, mime_type) AS files FROM (
+  SELECT page_id // 2 AS message_id, '[attachment]' || lower(regexp_extract(
+      CASE WHEN page_id % 3 = 0 THEN 'Photo ' || page_id || '.JPG' WHEN page_id % 3 = 2 THEN url END, '\\.[A-Za-z0-9]{1,10}$')) AS name,
+    CASE WHEN page_id % 3 = 0 THEN 'image/jpeg' ELSE 'text/html' END AS mime_type FROM pages WHERE page_id % 3 <> 1) GROUP BY 1)"""
+
+
+@query("read_page_view", A.rstrip() + f",\nm AS ({NORMALIZED}),\n{ATTACHED}\n" + """SELECT m.conversation_id, d.name AS conversation_name, m.message_id,
+  m.sent_at, m.direction, m.text, coalesce(a.files, '') AS attachments
+  FROM m JOIN directory d USING (conversation_id) LEFT JOIN attached a USING (message_id)""")
+def read_page_view(spark, sf):
+    """Every message as a caller reads it: with the conversation's name and safe attachment names."""
+    raw, contacts = archive(spark, sf), con.load_contacts(address_books(spark, sf))
+    rows = _normalized(spark, sf, with_attachments=True)
+    names = stats.conversation_directory(raw, contacts, KEY).select(
+        "conversation_id", F.col("name").alias("conversation_name")
+    )
+    named = F.filter("attachments", lambda a: a["name"].isNotNull())
+    files = F.transform(named, lambda a: F.concat_ws(" ", a["name"], a["mime_type"]))
+    return search.public_messages(rows, names).select(
+        "conversation_id", "conversation_name", "message_id", "sent_at", "direction", "text",
+        F.array_join(files, ",").alias("attachments"),
+    )
+
+
+@query("loaded_archive", A + """SELECT (SELECT count(*) FROM raw_message) AS messages,
+  (SELECT count(*) FROM chat_message) AS links, (SELECT count(*) FROM handle) AS people""")
+def loaded_archive(spark, sf):
+    """The archive written as files and read back through its loader."""
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    for name, frame in archive(spark, sf).items():
+        frame.write.parquet(f"{path}/{name}.parquet")
+    raw = arc.load_archive(spark, path)
+    counts = [
+        filters.real_messages(raw["message"]).agg(F.count("*").alias("messages")),
+        raw["chat_message"].agg(F.count("*").alias("links")),
+        raw["handle"].agg(F.count("*").alias("people")),
+    ]
+    return counts[0].withColumn("links", counts[1].scalar()).withColumn("people", counts[2].scalar())

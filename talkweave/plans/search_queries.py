@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import iso_text
 from ..operators import search
-from ..session import spread
 from ..sources.driver_tables import (
     messages_from_documents, passages_from_documents, query_vector, table,
 )
@@ -41,7 +40,7 @@ INDEX = q.with_(TOKENS, POSTINGS, LENGTHS, _bm25())
 
 
 def _texts(spark, sf, id):
-    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias(id), "text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias(id), "text")
 
 
 def _index(spark, sf):
@@ -175,13 +174,16 @@ def pending_passages(spark, sf):
 
 
 @query("public_passages", HEAD + _fused("", 30) + f"""
-SELECT passage_id, conversation_id, {q.iso('start_at')} AS start_at, {q.iso('end_at')} AS end_at, 1 AS message_count, lang AS person_ids,
+SELECT passage_id, conversation_id, 'Talk ' || conversation_id AS conversation_name, {q.iso('start_at')} AS start_at, {q.iso('end_at')} AS end_at, 1 AS message_count, lang AS person_ids,
   direction AS directions, text, round(relevance, 6) AS relevance, match FROM ranked JOIN passages USING (passage_id)""")
 def public_passages(spark, sf):
     passages = passages_from_documents(spark, sf)
     postings, lengths = search.store_token_index(_texts(spark, sf, "passage_id"), "passage_id")
     rows = search.search_context(passages, postings, lengths, QUERY, query_vector(spark, sf), 30)
-    return search.public_passages(rows).withColumns({
+    names = passages.select("conversation_id").distinct().select(
+        "conversation_id", F.concat(F.lit("Talk "), "conversation_id").alias("conversation_name")
+    )
+    return search.public_passages(rows, names).withColumns({
         "person_ids": F.array_join("person_ids", ","),
         "directions": F.array_join("directions", ","),
         "relevance": F.round("relevance", 6),

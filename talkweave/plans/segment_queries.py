@@ -12,7 +12,7 @@ from ..operators import tone
 from ..operators.filters import filter_passages
 from ..operators.segment import build_exchange_windows, build_passages, build_turns
 from ..operators.stats import public_times
-from ..sources.driver_tables import messages_from_conversations, messages_from_events
+from ..sources.driver_tables import messages_from_conversations, messages_from_events, table
 from . import sql as q
 from .catalog import query
 
@@ -95,6 +95,13 @@ def small_turns(spark, sf):
     ))
 
 
+@query("turns_across_slots", EVENT_TURNS + TURN_COLUMNS)
+def turns_across_slots(spark, sf):
+    """Slots and pieces so small that most turns cross one."""
+    rows = messages_from_events(spark, sf)
+    return _turns(build_turns(rows, gap_seconds=GAP, bits=4, piece_rows=32))
+
+
 @query("talk_turns", TALK_TURNS + TURN_COLUMNS)
 def talk_turns(spark, sf):
     return _turns(build_turns(messages_from_conversations(spark, sf)))
@@ -169,6 +176,41 @@ def tone_in_period(spark, sf):
     )
 
 
+TALK_PEOPLE = """(SELECT CAST(conv_id AS VARCHAR) AS conversation_id, 'p' || (conv_id % 7) AS p, 'q' || (conv_id % 3) AS q
+  FROM conversations GROUP BY conv_id)"""
+
+
+def _talk_people(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id").distinct().selectExpr(
+        "CAST(conv_id AS STRING) AS conversation_id",
+        "array(concat('p', conv_id % 7), concat('q', conv_id % 3)) AS person_ids",
+    )
+
+
+@query("tone_for_people_any", TONE + f"SELECT {q.AGGREGATES} FROM st JOIN {TALK_PEOPLE} USING (conversation_id) WHERE p = 'p2' OR q = 'q1'")
+def tone_for_people_any(spark, sf):
+    return tone.tone_summary(
+        _scored_turns(spark, sf), people=_talk_people(spark, sf), person_ids=["p2", "q1"]
+    )
+
+
+@query("tone_for_people_all", TONE + f"SELECT {q.AGGREGATES} FROM st JOIN {TALK_PEOPLE} USING (conversation_id) WHERE p = 'p2' AND q = 'q1'")
+def tone_for_people_all(spark, sf):
+    return tone.tone_summary(
+        _scored_turns(spark, sf), people=_talk_people(spark, sf), person_ids=["p2", "q1"],
+        person_match="all",
+    )
+
+
+@query("tone_of_windows_for_people", TONE + f"""SELECT {q.AGGREGATES} FROM sw JOIN {TALK_PEOPLE} USING (conversation_id)
+  WHERE (p = 'p2' OR q = 'q1') AND directions LIKE '%from_me%'""")
+def tone_of_windows_for_people(spark, sf):
+    return tone.tone_summary(
+        _scored_windows(spark, sf), people=_talk_people(spark, sf), person_ids=["p2", "q1"],
+        direction="from_me",
+    )
+
+
 def _timeline(label: str) -> str:
     return TONE + f"SELECT {label} AS period, {q.AGGREGATES} FROM st GROUP BY 1"
 

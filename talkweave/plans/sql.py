@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import hmac
+
 from ..sources.driver_tables import GROUP_CHAT, KEY
 
 
@@ -196,7 +199,7 @@ def turns(name: str, source: str, gap: int, max_messages: int = 20, max_chars: i
   SELECT w.conversation_id, w.first_id AS start_message_id, max(w.message_id) AS end_message_id,
     min(w.sent_at) AS start_at, max(w.sent_at) AS end_at, min(r.direction) AS direction,
     min(w.speaker) AS speaker, count(*) AS message_count,
-    substr(string_agg(trim(r.text), chr(10) ORDER BY w.message_id), 1, {max_chars}) AS text,
+    string_agg(trim(r.text), chr(10) ORDER BY w.message_id) AS text,
     row_number() OVER (PARTITION BY w.conversation_id ORDER BY w.first_id) AS turn_no
   FROM {name}_walk w JOIN {name}_rows r USING (conversation_id, rn)
   GROUP BY w.conversation_id, w.first_id)"""
@@ -215,8 +218,14 @@ def windows(name: str, source: str) -> str:
   SELECT g.conversation_id, min(t.start_message_id) AS start_message_id,
     max(t.end_message_id) AS end_message_id, min(t.start_at) AS start_at, max(t.end_at) AS end_at,
     count(*) AS turn_count, array_to_string(list_sort(list(DISTINCT t.direction)), ',') AS directions,
-    substr(string_agg(t.text, chr(10) ORDER BY t.turn_no), 1, 4000) AS text
+    string_agg(t.text, chr(10) ORDER BY t.turn_no) AS text
   FROM (SELECT conversation_id, turn_no - 1 AS at FROM {source} WHERE (turn_no - 1) % 4 = 0) g
   JOIN {source} t ON t.conversation_id = g.conversation_id AND t.turn_no - 1 BETWEEN g.at AND g.at + 4
   GROUP BY g.conversation_id, g.at
   HAVING count(*) >= 3 AND count(DISTINCT t.speaker) >= 2)"""
+
+
+def opaque_value(namespace: str, value, n: int = 18, key: bytes = KEY) -> str:
+    """An opaque id as a caller holds it."""
+    digest = hmac.digest(key, f"{namespace}:{value}".encode(), "sha256")
+    return f"{namespace}_{base64.urlsafe_b64encode(digest).decode().rstrip('=')[:n]}"

@@ -10,7 +10,6 @@ from ..functions.scores import dominant, round4, tone_from_logits
 from ..functions.vectors import cosine, fit_vector
 from ..operators import search
 from ..sources.calendar import availability_label, status_label
-from ..session import spread
 from ..sources.driver_tables import query_vector, table
 from .catalog import query
 
@@ -69,18 +68,18 @@ _REDACTED, _COUNTS = _redaction_sql()
 
 @query("redacted_documents", _REDACTED)
 def redacted_documents(spark, sf):
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     return redact_text(documents, "text")
 
 
 @query("redaction_counts", _COUNTS)
 def redaction_counts(spark, sf):
-    return redaction_summary(spread(table(spark, sf, "documents").select("text")))
+    return redaction_summary(table(spark, sf, "documents").select("text"))
 
 
 @query("redaction_total", f"SELECT CAST(sum(n) AS BIGINT) AS total, string_agg(category, ',' ORDER BY category) AS categories FROM ({_COUNTS})")
 def redaction_totals(spark, sf):
-    rows = redaction_total(spread(table(spark, sf, "documents").select("text")))
+    rows = redaction_total(table(spark, sf, "documents").select("text"))
     return rows.select("total", F.array_join("categories", ",").alias("categories"))
 
 
@@ -143,14 +142,14 @@ def normalized_answers(spark, sf):
   SELECT doc_id, (length(t) - length(replace(t, 'reele', ''))) / 5 AS n
   FROM (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents)) WHERE n > 0""")
 def occurrences(spark, sf):
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     return search.find_occurrences(documents, "doc_id", "text", " RéELe ")
 
 
 @query("document_tokens", r"""SELECT doc_id, count(*) AS words, count(DISTINCT token) AS distinct_words, min(token) AS first_word, max(token) AS last_word
   FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS token FROM documents) GROUP BY 1""")
 def document_tokens(spark, sf):
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     rows = documents.select("doc_id", tx.tokens(F.col("text")).alias("w"))
     return rows.filter(F.size("w") > 0).select(
         "doc_id",
@@ -186,12 +185,12 @@ def cosine_similarity(spark, sf):
     return rows.select("vec_id", F.round(cosine(F.col("embedding"), first), 5).alias("similarity"))
 
 
-@query("fitted_vectors", """SELECT vec_id, 96 AS dims, round(list_sum(list_transform(embedding[1:48], lambda x: x::DOUBLE * x::DOUBLE)) / greatest(n * n, 1e-300), 4) AS norm,
+@query("fitted_vectors", """SELECT vec_id, 96 AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / greatest(n * n, 1e-300), 4) AS norm,
   round(embedding[1]::DOUBLE / n, 4) AS first_value, 0.0::DOUBLE AS last_value
-  FROM (SELECT *, sqrt(list_sum(list_transform(embedding[1:48], lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)""")
+  FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)""")
 def fitted_vectors(spark, sf):
     rows = table(spark, sf, "embeddings").select(
-        "vec_id", fit_vector(F.slice("embedding", 1, 48), 96).alias("v")
+        "vec_id", fit_vector(F.col("embedding"), 96).alias("v")
     )
     norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
     return rows.select(
@@ -203,16 +202,21 @@ def fitted_vectors(spark, sf):
     )
 
 
-@query("tone_from_logits", """SELECT vec_id, round(e1 / t, 4) AS negative, round(e2 / t, 4) AS neutral, round(e3 / t, 4) AS positive,
+@query("tone_from_logits", """SELECT vec_id, triple, round(e1 / t, 4) AS negative, round(e2 / t, 4) AS neutral, round(e3 / t, 4) AS positive,
   round(e3 / t - e1 / t, 4) AS valence, round(greatest(e1, e2, e3) / t, 4) AS confidence,
   CASE WHEN e1 >= e2 AND e1 >= e3 THEN 'negative' WHEN e2 >= e3 THEN 'neutral' ELSE 'positive' END AS dominant
-  FROM (SELECT *, e1 + e2 + e3 AS t FROM (SELECT vec_id, exp(embedding[1]::DOUBLE) AS e1, exp(embedding[2]::DOUBLE) AS e2, exp(embedding[3]::DOUBLE) AS e3 FROM embeddings))""")
+  FROM (SELECT *, e1 + e2 + e3 AS t FROM (SELECT vec_id, triple, exp(embedding[3 * triple + 1]::DOUBLE) AS e1, exp(embedding[3 * triple + 2]::DOUBLE) AS e2, exp(embedding[3 * triple + 3]::DOUBLE) AS e3
+    FROM (SELECT vec_id, embedding, unnest(generate_series(0, len(embedding) // 3 - 1)) AS triple FROM embeddings)))""")
 def tone_from_logit_columns(spark, sf):
-    e = [F.col("embedding")[i].cast("double") for i in range(3)]
-    rows = table(spark, sf, "embeddings").select("vec_id", tone_from_logits(*e).alias("s"))
+    """Every three components of a vector, as if they were logits."""
+    triples = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.size("embedding") / 3) - 1))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", triples.alias("triple"))
+    e = [F.get("embedding", (3 * F.col("triple") + i).cast("int")).cast("double") for i in range(3)]
+    rows = rows.select("vec_id", "triple", tone_from_logits(*e).alias("s"))
     names = ("negative", "neutral", "positive", "valence", "confidence")
     return rows.select(
         "vec_id",
+        "triple",
         *[round4(F.col(f"s.{n}")).alias(n) for n in names],
         dominant(F.col("s.negative"), F.col("s.neutral"), F.col("s.positive")).alias("dominant"),
     )

@@ -11,7 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions.redaction import redact_frame, redaction_summary
 from ..operators import agenda, reading, search, stats, tone
-from ..operators.filters import filter_messages
+from ..operators.filters import clamp_limit, filter_messages
+
+
+# What a caller of the tools may ask for at once.
+PEOPLE, WORDS = 25, 32
+
+
+def _first_people(filters: dict) -> dict:
+    if filters.get("person_ids"):
+        filters = {**filters, "person_ids": list(dict.fromkeys(filters["person_ids"]))[:PEOPLE]}
+    return filters
 
 
 @dataclass(frozen=True)
@@ -38,6 +48,7 @@ class Answer:
 class Toolbox:
     """Frames the tools read. `messages`, `passages`, `turns`, ... are stored tables.
 
+    raw_messages: messages before redaction, which a scan for a substring needs.
     embed: turns a query into a vector; without it only words are searched.
     """
 
@@ -53,15 +64,18 @@ class Toolbox:
     windows: DataFrame | None = None
     events: DataFrame | None = None
     embed: Callable[[str], Sequence[float]] | None = None
+    raw_messages: DataFrame | None = None
 
     def database_info(self) -> Answer:
         return Answer({"items": stats.database_info(self.archive)})
 
     def list_conversations(self, query: str | None = None, limit: int | None = None) -> Answer:
+        limit = clamp_limit(limit, 1, 100, 25)
         rows = stats.list_conversations(self.archive, self.contacts, self.key, query, limit)
         return Answer({"conversations": stats.public_times(rows, "last_message_at")})
 
     def list_people(self, query: str | None = None, limit: int | None = None) -> Answer:
+        limit = clamp_limit(limit, 1, 200, 50)
         rows = stats.list_people(self.archive, self.contacts, self.key, query, limit)
         return Answer({"people": stats.public_times(rows, "last_message_at")})
 
@@ -69,6 +83,7 @@ class Toolbox:
         self, conversation_id: str, limit: int | None = None, before: tuple | None = None,
         since=None, until=None,
     ) -> Answer:
+        limit = clamp_limit(limit, 1, 10_000, 100)
         page = reading.read_conversation(
             self.messages, conversation_id, limit, before, since, until
         )
@@ -79,27 +94,40 @@ class Toolbox:
         })
 
     def search_messages(self, query: str, limit: int | None = None, **filters) -> Answer:
-        """Words through the index when there is one, else a scan for the substring."""
+        """Words through the index when there is one, else a scan of the texts as stored."""
+        limit = clamp_limit(limit, 1, 5_000, 50)
+        filters = _first_people(filters)
         if self.message_index is not None and search.query_tokens(query):
             found = search.search_messages(
-                self.messages, self.message_index[0], query, limit, **filters
+                self.messages, self.message_index[0], query, limit, WORDS, **filters
             )
         else:
-            found = search.scan_messages(self.messages, query, limit, **filters)
+            stored = self.messages if self.raw_messages is None else self.raw_messages
+            found = search.scan_messages(stored, query, limit, **filters)
         return Answer({"messages": search.public_messages(found, self.names)})
 
     def search_context(self, query: str, limit: int | None = None, **filters) -> Answer:
         vector = self.embed(query) if self.embed else None
+        limit = clamp_limit(limit, 1, 200, 30)
         rows = search.search_context(
-            self.passages, *self.passage_index, query, vector, limit, **filters
+            self.passages, *self.passage_index, query, vector, limit,
+            pool=min(800, 5 * limit), **_first_people(filters),
         )
         coverage = search.search_coverage(self.passages)
-        return Answer({
-            "passages": search.public_passages(rows),
+        answer = {
+            "passages": search.public_passages(rows, self.names),
             "coverage": stats.public_times(coverage, "fully_covered_after"),
-        })
+        }
+        if self.message_index is not None:
+            answer["indexed"] = self.message_index[1].agg(F.count("*").alias("indexed_messages"))
+        return Answer(answer)
 
     def tone_analysis(self, bucket: str = "month", **filters) -> Answer:
+        filters = _first_people(filters)
+        if filters.get("person_ids"):
+            filters["people"] = self.messages.groupBy("conversation_id").agg(
+                F.first("person_ids", ignorenulls=True).alias("person_ids")
+            )
         return Answer({
             "overall": tone.tone_summary(self.turns, **filters),
             "by_direction": tone.tone_summary(self.turns, by=("direction",), **filters),
@@ -121,6 +149,7 @@ class Toolbox:
     def sample_conversation(
         self, conversation_id: str, limit: int | None = None, since=None, until=None
     ) -> Answer:
+        limit = clamp_limit(limit, 5, 2_500, 60)
         rows = reading.sample_conversation(self.messages, conversation_id, limit, since, until)
         return Answer({"messages": search.public_messages(rows, self.names)})
 
@@ -129,9 +158,10 @@ class Toolbox:
         return Answer({"calendars": stats.public_times(rows, "first_start", "last_end")})
 
     def search_calendar_events(self, query: str | None = None, **options) -> Answer:
+        options = {"chars": agenda.PREVIEW_CHARS, **options}
         rows = agenda.search_calendar_events(self.events, self.key, query, **options)
         return Answer({"events": stats.public_times(rows, "start_at", "end_at")})
 
     def read_calendar_events(self, event_ids: list[str]) -> Answer:
-        rows = agenda.read_calendar_events(self.events, self.key, event_ids)
+        rows = agenda.read_calendar_events(self.events, self.key, event_ids, agenda.NOTES_CHARS)
         return Answer({"events": stats.public_times(rows, "start_at", "end_at")})

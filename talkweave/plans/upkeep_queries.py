@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import iso_text
 from ..operators import agenda, threads, tone
+from ..operators.filters import in_period
 from ..operators.segment import build_passages
 from ..operators.stats import public_times
 from ..session import shared_folder
 from ..sources import tables
 from ..sources.calendar import dedupe_calendar, load_calendar, write_calendar
-from ..sources.driver_tables import KEY, calendar_from_events, table, threads_from_conversations
+from ..sources.driver_tables import KEY, calendar_from_events, messages_from_events, table, threads_from_conversations
 from ..streaming import incremental as inc
 from . import sql as q
 from .catalog import query
@@ -50,26 +51,24 @@ def calendar_search(spark, sf):
   WHERE cal.calendar_id IN ('click', 'error') AND start_at < TIMESTAMP '2024-01-03' ORDER BY cal.start_at, source_id LIMIT 1000""")
 def calendar_search_by_calendar(spark, sf):
     events = calendar_from_events(spark, sf)
-    names = events.select(agenda.calendar_opaque(events, KEY).alias("id"), "calendar").distinct()
-    ids = [r.id for r in names.collect() if r.calendar in ("click", "error")]
+    ids = [q.opaque_value("calendar", name, 22) for name in ("click", "error")]
     rows = agenda.search_calendar_events(
         events, KEY, calendar_ids=ids, until="2024-01-03T00:00:00Z", limit=1_000
     )
     return rows.select("event_id", "title")
 
 
-@query("calendar_event_view", C + f"SELECT {VIEW}, substr(notes, 1, 10000) AS notes FROM cal")
+@query("calendar_event_view", C + f"SELECT {VIEW}, notes FROM cal")
 def calendar_event_view(spark, sf):
     rows = agenda.calendar_event_view(calendar_from_events(spark, sf), KEY, full=True)
     return public_times(rows, "start_at", "end_at")
 
 
-@query("read_calendar_events", C + f"""SELECT {VIEW}, substr(notes, 1, 10000) AS notes, 4 AS requested, 3 AS found
+@query("read_calendar_events", C + f"""SELECT {VIEW}, notes, 4 AS requested, 3 AS found
   FROM cal WHERE source_id IN ('10', '20', '30')""")
 def read_calendar_events(spark, sf):
     events = calendar_from_events(spark, sf)
-    wanted = events.filter(F.col("source_id").isin("10", "20", "30"))
-    ids = [r[0] for r in wanted.select(agenda.event_opaque(KEY)).collect()]
+    ids = [q.opaque_value("event", name, 22) for name in ("10", "20", "30")]
     rows = agenda.read_calendar_events(events, KEY, [*ids, "event_unknown"])
     return public_times(rows, "start_at", "end_at")
 
@@ -198,15 +197,12 @@ def replaced_conversations(spark, sf):
     return result.select("conversation_id", "event_id", "version")
 
 
-@query("written_index", _passages_sql("event_messages") + SHOWN + " WHERE conversation_id = '42' AND start_at >= TIMESTAMP '2024-01-10'")
+@query("written_index", _passages_sql("event_messages") + SHOWN + " WHERE start_at >= TIMESTAMP '2024-01-10'")
 def written_index(spark, sf):
-    """The passage index written with its layout, then read by conversation and date."""
-    from ..operators.filters import in_period
-    from ..sources.driver_tables import messages_from_events
-
+    """The passage index written with its layout, then read by date."""
     path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     tables.write_index(build_passages(messages_from_events(spark, sf)), path)
-    stored = spark.read.parquet(path).filter(F.col("conversation_id") == "42")
+    stored = spark.read.parquet(path)
     return _shown(in_period(stored, "start_at", since="2024-01-10T00:00:00Z"))
 
 
@@ -215,7 +211,10 @@ def written_index(spark, sf):
 
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
+    return _as_messages(spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet"))
+
+
+def _as_messages(stream):
     return stream.selectExpr(
         "CAST(user_id AS STRING) AS conversation_id", "event_id AS message_id", "ts AS sent_at",
         "CASE WHEN event_type IN ('purchase', 'click') THEN 'from_me' ELSE 'to_me' END AS direction",
@@ -223,6 +222,17 @@ def _event_stream(spark, sf):
     )
 
 
+def _late_stream(spark, sf):
+    """The events in five files, one a batch; every file has ids below those already seen."""
+    rows = table(spark, sf, "events")
+    folder = _sink(spark, "events")
+    part = F.when(F.col("event_id") % 50 == 7, 4).otherwise(F.pmod(F.floor(F.col("event_id") / 64), F.lit(4)))
+    for place in range(5):
+        rows.where(part == place).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return _as_messages(stream)
+
+
 def _sink(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -230,7 +240,7 @@ def _sink(spark, name):
 @query("streamed_index", q.with_(q.EVENT_MESSAGES) + "SELECT conversation_id, message_id, direction, text FROM event_messages")
 def streamed_index(spark, sf):
     sink = _sink(spark, "stream-index")
-    inc.stream_index(_event_stream(spark, sf), sink, f"{sink}/checkpoint").awaitTermination()
+    inc.stream_index(_late_stream(spark, sf), sink, f"{sink}/checkpoint").awaitTermination()
     return inc.read_messages(spark, sink).select("conversation_id", "message_id", "direction", "text")
 
 
@@ -243,11 +253,21 @@ def streamed_passages(spark, sf):
     return _shown(inc.read_current(spark, sink))
 
 
+@query("streamed_passages_late", _passages_sql("event_messages") + SHOWN)
+def streamed_passages_late(spark, sf):
+    """Five batches with late rows end in the same passages."""
+    sink = _sink(spark, "stream-late")
+    inc.stream_rebuild(
+        _late_stream(spark, sf), sink, f"{sink}/checkpoint", build_passages
+    ).awaitTermination()
+    return _shown(inc.read_current(spark, sink))
+
+
 @query("streamed_scores", q.with_(q.EVENT_MESSAGES, q.scored("s", "event_messages")) + "SELECT message_id, round(positive, 4) AS positive FROM s")
 def streamed_scores(spark, sf):
     sink = _sink(spark, "stream-enrich")
     inc.stream_enrich(
-        _event_stream(spark, sf), f"{sink}/scores", f"{sink}/checkpoint",
+        _late_stream(spark, sf), f"{sink}/scores", f"{sink}/checkpoint",
         ["conversation_id", "message_id"], lambda df: tone.score_tone(df, counting_scorer),
     ).awaitTermination()
     scores = spark.read.option("basePath", f"{sink}/scores").parquet(f"{sink}/scores")

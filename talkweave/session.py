@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,32 +41,37 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-SMALL_SPLIT = 64 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that is too small for its own file splits.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir.
 
-    A single row group is read by one task, however much work follows on it.
-    Inputs of at least one full split per core are left alone, so nothing large
-    is ever shuffled for this.
+    A local session without the setting gets a temporary folder of its own, which
+    goes when the program ends.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only for a local session without the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="talkweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     return folder
 
 
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="talkweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+WRITTEN: list[str] = []
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete what `cut_lineage` has written in this program; frames built on it can't be read after."""
+    while WRITTEN:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write an intermediate result to the shared folder once and read it back.
 
@@ -71,6 +79,8 @@ def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     the columns they need. It survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = path or f"{shared_folder(spark)}/talkweave-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{shared_folder(spark)}/talkweave-{uuid.uuid4().hex}"
+        WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

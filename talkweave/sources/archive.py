@@ -83,20 +83,22 @@ def normalize_messages(
     names: DataFrame | None = None,
     redacted: bool = True,
     with_attachments: bool = False,
-    chat_ids: list[int] | None = None,
+    chats: DataFrame | None = None,
 ) -> DataFrame:
     """The canonical `messages` frame.
 
     Ids are keyed once per conversation and per handle, not once per message.
-    `names` (`person_id, name`) adds the sender's name. `chat_ids` (one page at
-    most) reads only some conversations.
+    `names` (`person_id, name`) adds the sender's name. `chats` (`chat_id`) keeps
+    only some conversations.
     """
     raw = real_messages(archive["message"])
-    if chat_ids is not None:
+    if chats is not None:
         archive = dict(archive)
         for name in ("chat_message", "chat_handle"):
-            archive[name] = archive[name].filter(F.col("chat_id").isin(chat_ids))
-        archive["chat"] = archive["chat"].filter(F.col("rowid").isin(chat_ids))
+            archive[name] = archive[name].join(chats, "chat_id", "left_semi")
+        archive["chat"] = archive["chat"].join(
+            chats.select(F.col("chat_id").alias("rowid")), "rowid", "left_semi"
+        )
         chosen = archive["chat_message"].select(F.col("message_id").alias("rowid"))
         raw = raw.join(chosen, "rowid", "left_semi")
     texts = [F.col("subject"), message_text(raw)]
@@ -125,17 +127,18 @@ def normalize_messages(
     senders = people.select(
         F.col("handle_id").cast("long").alias("__sender"), F.col("person_id"), F.col("name")
     )
-    # The sender is resolved on narrow rows; the texts move once, to meet their conversations.
     from_me = F.col("direction") == "from_me"
-    who = messages.select("message_id", "direction", sender_key.alias("__sender"))
-    who = who.join(senders, "__sender", "left")
-    who = who.withColumn(
-        "speaker",
-        F.when(from_me, F.lit("me")).otherwise(F.coalesce("person_id", F.lit("unknown"))),
-    ).withColumn(
-        "sender_name",
-        F.when(from_me, F.lit("You")).otherwise(F.coalesce("name", F.lit("Unknown person"))),
-    ).select("message_id", "speaker", "sender_name")
+    messages = messages.withColumn("__sender", sender_key).join(senders, "__sender", "left")
+    messages = messages.withColumns(
+        {
+            "speaker": F.when(from_me, F.lit("me")).otherwise(
+                F.coalesce("person_id", F.lit("unknown"))
+            ),
+            "sender_name": F.when(from_me, F.lit("You")).otherwise(
+                F.coalesce("name", F.lit("Unknown person"))
+            ),
+        }
+    ).drop("__sender", "person_id", "name")
 
     members = participants(archive, key).select(
         "chat_id", F.array_sort(F.col("people.person_id")).alias("person_ids")
@@ -147,7 +150,7 @@ def normalize_messages(
         .dropDuplicates()
         .join(conversations, "chat_id")
     )
-    result = placed.join(who, "message_id").join(messages, "message_id").withColumn(
+    result = placed.join(messages, "message_id").withColumn(
         "person_ids", F.coalesce("person_ids", F.array().cast("array<string>"))
     )
     columns = [
@@ -162,6 +165,22 @@ def normalize_messages(
     return result.select(*columns)
 
 
+def message_facts(archive: dict[str, DataFrame], key: bytes) -> DataFrame:
+    """conversation_id, message_id, sent_at, direction: what counts and periods need, no text."""
+    messages = real_messages(archive["message"]).select(
+        F.col("rowid").alias("message_id"),
+        normalize_epoch(F.col("date")).alias("sent_at"),
+        direction_of(F.col("is_from_me")).alias("direction"),
+    )
+    placed = archive["chat_message"].select("chat_id", "message_id").dropDuplicates()
+    conversations = conversation_ids(archive["chat"], key)
+    return (
+        placed.join(messages, "message_id")
+        .join(conversations, "chat_id")
+        .select("conversation_id", "message_id", "sent_at", "direction")
+    )
+
+
 def participants(archive: dict[str, DataFrame], key: bytes) -> DataFrame:
     """`chat_id, people`: members in handle order, as array<struct<handle_id, identifier, person_id>>."""
     members = archive["chat_handle"].select("chat_id", "handle_id").dropDuplicates()

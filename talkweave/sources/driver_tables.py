@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, use_utc
+from ..session import use_utc
 
 KEY = b"benchmark-identity-key"
 GROUP_CHAT = 1_000_000_000_000
@@ -107,9 +107,7 @@ def threads_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Raw archive tables: one chat per user, small group chats by nation, handles from customers."""
-    events = spread(
-        table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    )
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     customers = table(spark, sf_dir, "customer")
     group_chat = f"{GROUP_CHAT} + floor(c_custkey / 100) * 25 + c_nationkey"
     members = customers.selectExpr("c_custkey", f"CAST({group_chat} AS BIGINT) AS chat_id")

@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 KEY = "conversation_id"
 BUCKETS = 64
-SNAPSHOT_EVERY = 64
 
 
 def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
@@ -35,56 +34,45 @@ def _start(stream: DataFrame, run, checkpoint: str, available_now: bool) -> Stre
 # --- message index ----------------------------------------------------------
 
 
-def cursors(spark: SparkSession, sink: str, before: int) -> DataFrame | None:
-    """`conversation_id, last_message_id` after the batches below `before`.
-
-    Every SNAPSHOT_EVERY-th batch stores all cursors, the others only those
-    they moved, so a look-up reads a bounded number of small folders.
-    """
-    if before <= 0:
-        return None
-    first = (before - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-    folders = [f"{sink}/cursors/batch_id={i}" for i in range(first, before)]
-    return (
-        spark.read.parquet(*folders)
-        .groupBy(KEY)
-        .agg(F.max("last_message_id").alias("last_message_id"))
-    )
-
-
 def index_batch(batch: DataFrame, batch_id: int, sink: str) -> None:
-    """Append the messages beyond each conversation's cursor, then move the cursors.
+    """Append the messages that are not stored yet, also those that arrive late.
 
-    Messages of a batch also carry a bucket of their conversation, so that a
-    rebuild of some conversations does not read the whole table.
+    Messages carry a bucket of their conversation; only the buckets that a batch
+    touches are read, and of these only the keys.
     """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates([KEY, "message_id"])
-    seen = cursors(spark, sink, before=batch_id)
-    if seen is not None:
-        fresh = (
-            fresh.join(seen, KEY, "left")
-            .filter(F.col("last_message_id").isNull() | (F.col("message_id") > F.col("last_message_id")))
-            .drop("last_message_id")
-        )
+    bucket = F.pmod(F.xxhash64(KEY), F.lit(BUCKETS)).cast("int")
+    fresh = batch.dropDuplicates([KEY, "message_id"]).withColumn("bucket", bucket)
+    if batch_id > 0:
+        stored = _read(spark, f"{sink}/messages")
+        if stored is not None:
+            _refuse_later(stored, batch_id)
+            # At most BUCKETS small integers; they prune the files of all other buckets.
+            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+            stored = stored.filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched))
+            fresh = fresh.join(stored.select("bucket", KEY, "message_id"), ["bucket", KEY, "message_id"], "left_anti")
+    elif (stored := _read(spark, f"{sink}/messages")) is not None:
+        _refuse_later(stored, batch_id)
     messages = f"{sink}/messages/batch_id={batch_id}"
-    bucketed = fresh.withColumn("bucket", F.pmod(F.xxhash64(KEY), F.lit(BUCKETS)).cast("int"))
+    fresh = fresh.select(*batch.columns, "bucket")
     # Range partitioning splits a large conversation and keeps the number of files low.
-    laid_out = bucketed.repartitionByRange("bucket", KEY, "message_id")
+    laid_out = fresh.repartitionByRange("bucket", KEY, "message_id")
     laid_out.write.mode("overwrite").partitionBy("bucket").parquet(messages)
-    written = spark.read.schema(bucketed.schema).parquet(messages)
+    written = spark.read.schema(fresh.schema).parquet(messages)
     moved = written.groupBy(KEY).agg(F.max("message_id").alias("last_message_id"))
     moved.write.mode("overwrite").parquet(f"{sink}/moved/batch_id={batch_id}")
-    if seen is not None and batch_id % SNAPSHOT_EVERY == 0:
-        both = moved.unionByName(seen)
-        moved = both.groupBy(KEY).agg(F.max("last_message_id").alias("last_message_id"))
-    moved.write.mode("overwrite").parquet(f"{sink}/cursors/batch_id={batch_id}")
+
+
+def _refuse_later(stored: DataFrame, batch_id: int) -> None:
+    """A fresh checkpoint starts at batch 0 and would overwrite an old sink."""
+    if stored.filter(F.col("batch_id") > batch_id).limit(1).count():
+        raise ValueError("this sink holds later batches: its checkpoint is not the one given")
 
 
 def stream_index(
     stream: DataFrame, sink: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Keep `sink/messages` up to date; rows at or below a cursor are ignored."""
+    """Keep `sink/messages` up to date: every message once, whenever it arrives."""
     return _start(stream, lambda b, i: index_batch(b, i, sink), checkpoint, available_now)
 
 

@@ -31,15 +31,15 @@ def turns(rows, gap=120, max_messages=20, max_chars=2000):
         ):
             last.update(last=mid, end=at, n=last["n"] + 1, text=last["text"] + "\n" + text)
         else:
-            out.append(dict(first=mid, last=mid, end=at, speaker=speaker, n=1, text=text[:max_chars]))
+            out.append(dict(first=mid, last=mid, end=at, speaker=speaker, n=1, text=text))
     return out
 
 
-def windows(turn_list, size=5, stride=4, min_turns=3, min_speakers=2, max_chars=4000):
+def windows(turn_list, size=5, stride=4, min_turns=3, min_speakers=2):
     out = []
     for at in range(0, len(turn_list), stride):
         group = turn_list[at : at + size]
         if len(group) >= min_turns and len({t["speaker"] for t in group}) >= min_speakers:
-            text = "\n".join(t["text"] for t in group)[:max_chars]
+            text = "\n".join(t["text"] for t in group)
             out.append((group[0]["first"], group[-1]["last"], len(group), text))
     return out

@@ -4,6 +4,7 @@ import pytest
 from compare import difference, duck, duck_rows, spark_rows
 
 import __spark_entry__ as contract
+from talkweave.plans.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -12,13 +13,13 @@ def con(sf):
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(SQL) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, con, name):
-    got = spark_rows(contract.queries()[name](spark, sf))
-    assert difference(got, duck_rows(con, contract.oracle_sql()[name])) is None
+    got = spark_rows(QUERIES[name](spark, sf))
+    assert difference(got, duck_rows(con, SQL[name])) is None
 
 
 def test_entry(spark):
