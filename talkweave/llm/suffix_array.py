@@ -7,15 +7,17 @@ unique. A second induction from the sorted leftmost-smaller suffixes gives the
 array. Both are linear in the text.
 
 A bucket's suffixes are induced in waves: what a wave puts into its own bucket
-is the next wave. Over bytes there are few buckets, so waves are array
-operations; over names there are many small ones, and a plain loop is faster.
+is the next wave. Over bytes and the first names there are few buckets, so waves
+are array operations; over later names there are many small ones, and a plain
+loop is faster.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-FEW = 1024  # symbols up to which waves are used
+FEW = 1 << 10  # symbols up to which waves are used
+SHORT = 12  # suffixes of a wave that are moved one by one
 
 
 def smaller_types(text: np.ndarray) -> np.ndarray:
@@ -29,9 +31,11 @@ def smaller_types(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(sorted_symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Place of each item inside the run of its symbol."""
-    return np.arange(len(sorted_symbols)) - (np.cumsum(counts) - counts)[sorted_symbols]
+def _in_runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted symbols: the first of each run, the runs' lengths, and each item's place in its run."""
+    heads = np.concatenate(([0], np.flatnonzero(found[1:] != found[:-1]) + 1))
+    sizes = np.diff(heads, append=len(found))
+    return heads, sizes, np.arange(len(found)) - np.repeat(heads, sizes)
 
 
 def _induce_waves(text, smaller, seeds, starts, ends) -> np.ndarray:
@@ -40,10 +44,21 @@ def _induce_waves(text, smaller, seeds, starts, ends) -> np.ndarray:
     symbols = text[seeds]
     order = np.argsort(symbols, kind="stable")
     seeded = np.bincount(symbols, minlength=k)
-    out[(ends - seeded)[symbols[order]] + _runs(symbols[order], seeded)] = seeds[order]
+    out[(ends - seeded)[symbols[order]] + _in_runs(symbols[order])[2]] = seeds[order]
     head, tail = starts.copy(), ends.copy()
 
     def push(suffixes: np.ndarray, want_smaller: bool) -> None:
+        if len(suffixes) < SHORT:
+            for i in suffixes.tolist():
+                if i and smaller[i - 1] == want_smaller:
+                    c = text[i - 1]
+                    if want_smaller:
+                        tail[c] -= 1
+                        out[tail[c]] = i - 1
+                    else:
+                        out[head[c]] = i - 1
+                        head[c] += 1
+            return
         before = suffixes[suffixes > 0] - 1
         before = before[smaller[before] == want_smaller]
         if not len(before):
@@ -51,13 +66,13 @@ def _induce_waves(text, smaller, seeds, starts, ends) -> np.ndarray:
         found = text[before]
         order = np.argsort(found, kind="stable")
         found, before = found[order], before[order]
-        counts = np.bincount(found, minlength=k)
+        heads, sizes, place = _in_runs(found)
         if want_smaller:
-            out[tail[found] - 1 - _runs(found, counts)] = before
-            np.subtract(tail, counts, out=tail)
+            out[tail[found] - 1 - place] = before
+            tail[found[heads]] -= sizes
         else:
-            out[head[found] + _runs(found, counts)] = before
-            np.add(head, counts, out=head)
+            out[head[found] + place] = before
+            head[found[heads]] += sizes
 
     used = np.flatnonzero(ends > starts).tolist()
     for c in used:
@@ -81,27 +96,32 @@ def _induce_waves(text, smaller, seeds, starts, ends) -> np.ndarray:
 
 
 def _induce_loop(text, smaller, seeds, starts, ends) -> np.ndarray:
-    n = len(text)
-    symbols, small, out = text.tolist(), smaller.tolist(), [-1] * n
-    tail = ends.tolist()
-    for i in reversed(seeds.tolist()):
-        c = symbols[i]
-        tail[c] -= 1
-        out[tail[c]] = i
-    head = starts.tolist()
-    for place in range(n):
-        i = out[place] - 1
-        if i >= 0 and not small[i]:
-            c = symbols[i]
-            out[head[c]] = i
-            head[c] += 1
-    tail = ends.tolist()
-    for place in range(n - 1, -1, -1):
-        i = out[place] - 1
-        if i >= 0 and small[i]:
-            c = symbols[i]
-            tail[c] -= 1
-            out[tail[c]] = i
+    n, text = len(text), text.astype(np.int64)
+    # Symbol in front of each suffix if that is of the wanted type, else -1; place n stands for "empty".
+    larger, less = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    larger[1:n] = np.where(smaller[:-1], -1, text[:-1])
+    less[1:n] = np.where(smaller[:-1], text[:-1], -1)
+    out = np.full(n, n, np.int64)
+    symbols = text[seeds]
+    order = np.argsort(symbols, kind="stable")
+    heads, sizes, place = _in_runs(symbols[order])
+    seeded = np.zeros(len(starts), np.int64)
+    seeded[symbols[order][heads]] = sizes
+    out[(ends - seeded)[symbols[order]] + place] = seeds[order]
+    out, head, front = out.tolist(), starts.tolist(), larger.tolist()
+    for i in out:  # sees what is put behind it
+        c = front[i]
+        if c >= 0:
+            place = head[c]
+            out[place] = i - 1
+            head[c] = place + 1
+    tail, front = ends.tolist(), less.tolist()
+    for i in reversed(out):
+        c = front[i]
+        if c >= 0:
+            place = tail[c] - 1
+            out[place] = i - 1
+            tail[c] = place
     out[0] = n - 1
     return np.array(out, np.int64)
 
@@ -133,6 +153,8 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64)
+    if size <= 1 << 16:
+        text = text.astype(np.uint16)  # sorted by counting
     smaller = smaller_types(text)
     firsts = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     counts = np.bincount(text, minlength=size)

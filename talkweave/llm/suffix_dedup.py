@@ -43,7 +43,8 @@ CHUNK = 1 << 20  # bytes of one suffix array
 HOT = 4 << 20  # bytes of segments with one hash that a shard gathers at most
 BLOCK = 1 << 18  # bytes hashed at once
 LOWEST = -(1 << 63)
-PLACE_BITS, RUN_BITS = 31, 12  # of `at`: 20 bits of the text's hash, place, length of the run
+PLACE_BITS, RUN_BITS = 31, 12  # of `at`: 19 bits of the text's hash, place, length of the run, 1 bit: a string may be twice inside
+TAG_SHIFT = PLACE_BITS + RUN_BITS + 1
 MAX_RUN = (1 << RUN_BITS) - 1
 BYTES = np.random.default_rng(20240101).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -139,12 +140,12 @@ def segments(texts: list[bytes], length: int, kmer: int) -> tuple[np.ndarray, ..
     return tuple(np.concatenate([f[k] for f in found]) for k in range(5))
 
 
-def pack(tag, place, run):
-    return (tag << (PLACE_BITS + RUN_BITS)) | (place << RUN_BITS) | run
+def pack(tag, place, run, twice=0):
+    return (tag << TAG_SHIFT) | (place << (RUN_BITS + 1)) | (run << 1) | twice
 
 
 def unpack(at):
-    return at >> (PLACE_BITS + RUN_BITS), (at >> RUN_BITS) & ((1 << PLACE_BITS) - 1), at & MAX_RUN
+    return at >> TAG_SHIFT, (at >> (RUN_BITS + 1)) & ((1 << PLACE_BITS) - 1), (at >> 1) & MAX_RUN
 
 
 def _list_segments(length: int, kmer: int, portion: int = 8 << 20):
@@ -160,7 +161,7 @@ def _list_segments(length: int, kmer: int, portion: int = 8 << 20):
         many[:-1] = ~new[1:]
         many[-1:] = False
         known = np.where(new, np.where(many | twice[order], 1, 0), 2).astype(np.int8)
-        at = pack(tag[text], place, run)[order]
+        at = pack(tag[text], place, run, twice)[order]
         return pa.RecordBatch.from_arrays(
             [pa.array(sorted_.view(np.int64)), pa.array(d[text][order]), pa.array(at), pa.array(known)], names=["key", "d", "at", "known"]
         )
@@ -236,24 +237,42 @@ def _cut(length: int):
     return run
 
 
-def first_starts(segs: list[bytes], d: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """d, tag, start, run: the starts whose string is nowhere earlier in these segments."""
+def first_starts(
+    segs: list[bytes], key: np.ndarray, d: np.ndarray, at: np.ndarray, length: int
+) -> tuple[np.ndarray, ...]:
+    """d, tag, start, run: the starts whose string is nowhere earlier in these segments.
+
+    A segment that is the only one of its hash, and picks it at one place, has no
+    string in common with any other or with itself: it is not sorted.
+    """
     first: dict[bytes, int] = {}
     for i, seg in enumerate(segs):
         j = first.setdefault(seg, i)
         if j != i and (d[i], at[i]) < (d[j], at[j]):
             first[seg] = i
     rows = np.fromiter(first.values(), np.int64, len(first))
-    d, at = d[rows], at[rows]
+    _, group, members = np.unique(key[rows], return_inverse=True, return_counts=True)
+    alone = (members[group] == 1) & (at[rows] & 1 == 0)
+    single, rows = rows[alone], rows[~alone]
+    tag, place, run = unpack(at[single])
+    known = (d[single], tag, place, run)
+    if not len(rows):
+        return known
+    found = _sorted_starts([segs[i] for i in rows.tolist()], d[rows], at[rows], length)
+    return tuple(np.concatenate(c) for c in zip(known, found, strict=True))
+
+
+def _sorted_starts(segs: list[bytes], d: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The same for different segments, by their suffix array."""
     tag, place, _ = unpack(at)
-    sizes = np.array([len(s) for s in first])
-    text = np.frombuffer(b"\x00".join(first), np.uint8).astype(np.uint16) + 2
+    sizes = np.array([len(s) for s in segs])
+    text = np.frombuffer(b"\x00".join(segs), np.uint8).astype(np.uint16) + 2
     begin = np.cumsum(sizes + 1) - sizes - 1
     text = np.append(text, np.uint16(0))
     text[begin[1:] - 1] = 1  # between segments
     order = suffix_array(text, 258)
     shared = permuted_common_prefixes(text, order)
-    owner = np.repeat(np.arange(len(rows)), sizes + 1)
+    owner = np.repeat(np.arange(len(segs)), sizes + 1)
     inner = np.arange(len(text)) - begin[owner]
     whole = inner + length <= sizes[owner]
     # Documents by number, places below: one comparable value a start.
@@ -281,7 +300,7 @@ def first_starts(segs: list[bytes], d: np.ndarray, at: np.ndarray, length: int)
 def _shards(length: int, chunk: int):
     def solve(held: pa.Table) -> pa.RecordBatch:
         d, at = held["d"].to_numpy(), held["at"].to_numpy()
-        cols = first_starts(held["segment"].to_pylist(), d, at, length)
+        cols = first_starts(held["segment"].to_pylist(), held["key"].to_numpy(), d, at, length)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "tag", "start", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +412,7 @@ def suffix_dedup(
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("d"),
-        F.shiftrightunsigned(F.xxhash64(text), 44).alias("tag"),
+        F.shiftrightunsigned(F.xxhash64(text), 45).alias("tag"),
         F.col(id_col).alias("doc_id"),
         text.alias("text"),
     )
@@ -401,20 +420,21 @@ def suffix_dedup(
     target = F.when(F.col("known") == 2, F.xxhash64("d", "at")).otherwise(F.col("key"))
     dealt = listed.withColumn("target", target).repartition("target").drop("target").sortWithinPartitions("key")
     again = cut_lineage(dealt.mapInArrow(_repeated, "key long, d long, at long"))
-    tag = F.shiftright("at", PLACE_BITS + RUN_BITS)
+    tag = F.shiftright("at", TAG_SHIFT)
     packed = rows.mapInArrow(_compress, f"d long, tag long, doc_id {id_type}, z binary")
     by_doc = again.groupBy("d", tag.alias("tag")).agg(F.collect_list(F.struct("key", "at")).alias("found"))
     pieces = packed.select("d", "tag", "z").join(by_doc, ["d", "tag"]).select("d", "tag", "z", "found")
     cut = cut_lineage(pieces.mapInArrow(_cut(length), "key long, segment binary, d long, at long"))
     sizes = cut.groupBy("key").agg(F.sum(F.octet_length("segment")).alias("bytes"))
-    crowded = sizes.where(F.col("bytes") > hot).select("key")
+    # Written first, so that its size is known: few hot hashes are looked up without another shuffle.
+    crowded = cut_lineage(sizes.where(F.col("bytes") > hot).select("key"))
     shards = cut.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     new = shards.mapInArrow(_shards(length, chunk), "d long, tag long, start long, run long")
     strings = cut.join(crowded, "key", "left_semi").mapInArrow(_strings(length), "digest binary, d long, at long")
     ones = strings.groupBy("digest").agg(F.min(F.struct("d", "at")).alias("f")).select(
         "f.d",
-        F.shiftright("f.at", PLACE_BITS + RUN_BITS).alias("tag"),
-        F.shiftright("f.at", RUN_BITS).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("start"),
+        F.shiftright("f.at", TAG_SHIFT).alias("tag"),
+        F.shiftright("f.at", RUN_BITS + 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("start"),
         F.lit(1).cast("long").alias("run"),
     )
     new_by_doc = new.unionByName(ones).groupBy("d", "tag").agg(F.collect_list(F.struct("start", "run")).alias("new"))
