@@ -72,7 +72,7 @@ def test_messages(raw, contacts):
     assert sorted(names, key=str) == [("[attachment]", "x"), ("[attachment].jpeg", "image/jpeg"), (None, None)]
     totals = stats.conversation_totals(rows).first()
     assert (totals.messages, totals.from_me, totals.to_me, totals.conversations) == (5, 1, 4, 3)
-    only = arc.normalize_messages(raw, KEY, chat_ids=[2])
+    only = arc.normalize_messages(raw, KEY, chats=raw["chat"].filter("rowid = 2").selectExpr("rowid AS chat_id"))
     assert {(r.conversation_id, r.message_id) for r in only.collect()} == {(ids[2], 4), (ids[2], 5)}
 
 

@@ -48,10 +48,12 @@ def test_calendar(spark, tmp_path):
     page = agenda.search_calendar_events(rows, KEY, "e", limit=2).collect()
     assert [(r.total_matches, r.returned) for r in page] == [(2, 2)] * 2 or len(page) == 2
     preview = {r.title: r.notes_preview for r in agenda.search_calendar_events(rows, KEY, "event").collect()}
-    assert len(preview["Event 1"]) == 280
+    assert len(preview["Event 1"]) == 12_000
+    cut = agenda.search_calendar_events(rows, KEY, "event", chars=280)
+    assert cut.filter("title = 'Event 1' and length(notes_preview) = 280").count() == 1
     ids = [r.event_id for r in agenda.calendar_event_view(rows, KEY).filter("title = 'Event 1'").collect()]
     full = agenda.read_calendar_events(rows, KEY, [*ids, "event_x"]).collect()
-    assert [(len(r.notes), r.requested, r.found) for r in full] == [(10_000, 2, 1)]
+    assert [(len(r.notes), r.requested, r.found) for r in full] == [(12_000, 2, 1)]
     second = agenda.calendar_event_view(rows, KEY).filter("title = 'Untitled event'").first()
     assert (second.status, second.availability) == ("none", "not_supported")
     info = agenda.calendar_info(rows, KEY).collect()
