@@ -32,6 +32,7 @@ PER_LANGUAGE = 256  # labelled texts of a language that are used for training
 MAX_LANGUAGES = 1024  # that are learned; the first by code point
 LANDMARKS = 32  # of them, landmarks
 RIDGE = 0.1
+SALTS = 16  # parts of a language that are cut to the sample's size before they meet
 ROWS = 64  # texts scored at once
 CHARS = 1 << 20  # characters looked at at once
 MIN_SCORE = 0.1  # even one-word texts of a known language score more
@@ -173,8 +174,10 @@ def train(
         F.col(text_col).alias("text"),
     )
     # Spark keeps the first rows of each task before it shuffles, so a common language moves no more than a rare one.
-    keys = drawn.select("lang", "draw", "id")
-    first = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))).where(F.col("n") <= per_language)
+    first = drawn.select("lang", "draw", "id", F.pmod("draw", F.lit(SALTS)).alias("salt"))
+    for group in (("lang", "salt"), ("lang",)):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("draw", "id"))
+        first = first.withColumn("n", place).where(F.col("n") <= per_language)
     limit = first.groupBy("lang").agg(F.max(F.struct("draw", "id")).alias("last"))
     limit = limit.orderBy("lang").limit(MAX_LANGUAGES)
     some = drawn.join(F.broadcast(limit), "lang").where(F.struct("draw", "id") <= F.col("last"))
