@@ -27,6 +27,7 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 42
 BUCKETS = 16_384
+SALTS = 64
 
 
 def text_quality(text: Column) -> Column:
@@ -110,7 +111,7 @@ def mix_plan(
             F.col("source").alias("of"), "source_size", "target", "epochs", "rest", "edge", "last", "gap"
         )
     )
-    left = rows.join(plan, rows["source"].eqNullSafe(plan["of"])).where(
+    left = with_plan(rows, plan).where(
         (F.col("gap") > 0) & (_in_run(F.col("bucket"), F.col("key"), F.col("doc_id")) == 0)
     )
     off = F.abs(F.col("size") - F.col("gap"))
@@ -123,6 +124,15 @@ def mix_plan(
     return plan.join(closing, plan["of"].eqNullSafe(closing["who"]), "left").drop("who")
 
 
+def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their source's line of the plan. A source is met in SALTS places, so a hot one is no hot task."""
+    salt = F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")
+    many = plan.withColumn("there", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", salt)
+    met = salted["source"].eqNullSafe(many["of"]) & (salted["salt"] == many["there"])
+    return salted.join(many, met).drop("salt", "there")
+
+
 def _in_run(bucket: Column, key: Column, identifier: Column) -> Column:
     """1 if the run of smallest keys holds a document, else 0."""
     # Without an edge the rest is 0, or every document is needed to reach it.
@@ -167,7 +177,7 @@ def mix_sources(
     )
     plan = mix_plan(sized, weights, share, max_epochs, buckets)
     bucket = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(buckets)).cast("int")
-    joined = sized.join(plan, sized["source"].eqNullSafe(plan["of"]), "left")
+    joined = with_plan(sized, plan)
     closes = (F.col("key") == F.col("closing.key")) & F.col("doc_id").eqNullSafe(F.col("closing.doc_id"))
     run = _in_run(bucket, F.col("key"), F.col("doc_id"))
     copies = F.col("epochs") + F.greatest(run, F.coalesce(closes, F.lit(False)).cast("long"))
