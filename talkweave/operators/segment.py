@@ -346,7 +346,8 @@ def build_turns(
     longer than one piece gets the start of each piece from `_entries`. A first
     message above max_chars stays whole; `clip_chars` cuts the text that is shown.
     """
-    islands = _islands(_utterances(messages, bits), gap_seconds, max_chars)
+    # Written once: long islands, their pieces and all others are read from it.
+    islands = cut_lineage(_islands(_utterances(messages, bits), gap_seconds, max_chars))
     placed = _pieces(islands, piece_rows, max_messages)
     narrow = islands.select(KEY, "island", "pos", F.col("chars").cast("int").alias("chars"))
     group = [KEY, "island", "piece"]
