@@ -68,3 +68,41 @@ def test_query_rules_against_brute_force(spark, sf):
     for r in QUERIES["op9_url_filter"](spark, sf).collect():
         host, path, rule, verdict = want[r.page_id]
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
+
+
+def branch(rows, labels, path, pages, labelled, bad, host="h.example"):
+    for k in range(pages):
+        i = len(rows)
+        rows.append((i, f"http://{host}/{path}/{k}"))
+        if k < labelled:
+            labels.append((i, int(k < bad)))
+
+
+def verdicts(spark, rows, labels):
+    out = {}
+    for r in filter_urls(frame_of(spark, rows), spark.createDataFrame(labels, LABELS)).collect():
+        out.setdefault((r.host, r.path.rsplit("/", 1)[0]), set()).add(r.verdict)
+    return out
+
+
+def test_branches_that_differ_are_not_merged(spark):
+    rows, labels = [], []
+    for k in range(21):  # neighbours are alike, the ends are not
+        branch(rows, labels, "g" + chr(97 + k), 100, 100, 5 * k, "graded.example")
+    branch(rows, labels, "good", 1000, 1000, 50, "bridge.example")
+    branch(rows, labels, "thin", 30, 1, 0, "bridge.example")
+    branch(rows, labels, "lean", 30, 1, 1, "bridge.example")
+    branch(rows, labels, "bad", 1000, 1000, 950, "bridge.example")
+    for k in range(10):
+        branch(rows, labels, "n" + chr(97 + k), 60, 60, 3, "few.example")
+    branch(rows, labels, "spam", 15, 15, 15, "few.example")
+    for k in range(150):  # rare siblings without a name of their own, worse than the large one
+        branch(rows, labels, "r" + "abcdefghij"[k // 15] + "abcdefghijklmno"[k % 15], 1, 1, 1, "rare.example")
+    branch(rows, labels, "main", 400, 400, 20, "rare.example")
+    got = verdicts(spark, rows, labels)
+    for k in range(21):
+        if abs(k - 10) > 3:
+            assert got["graded.example", "/g" + chr(97 + k)] == {"block" if k > 10 else "allow"}
+    assert got["bridge.example", "/good"] == {"allow"} and got["bridge.example", "/bad"] == {"block"}
+    assert got["few.example", "/spam"] == {"block"} and got["few.example", "/na"] == {"allow"}
+    assert got["rare.example", "/raa"] == {"block"} and got["rare.example", "/main"] == {"allow"}
