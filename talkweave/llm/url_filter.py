@@ -26,7 +26,6 @@ from ..session import cut_lineage
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
 
-MAX_DEPTH = 8  # what is deeper is one segment
 MIN_PAGES = 20
 Z = 2.5
 STRENGTH = 10.0
@@ -53,9 +52,9 @@ def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colum
 
 
 def path_shape(path: Column) -> Column:
-    """Segments of a path with what varies by its shape as wildcards; at most MAX_DEPTH of them."""
+    """Segments of a path, all of them, with what varies by its shape as wildcards."""
     variable = F.regexp_replace(path, r"(?i)(?<![0-9a-z])(?:[0-9a-f]{16,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})(?![0-9a-z])", "{h}")
-    return F.split(F.regexp_replace(variable, r"[0-9]+", "{n}"), "/", MAX_DEPTH)
+    return F.split(F.regexp_replace(variable, r"[0-9]+", "{n}"), "/")
 
 
 def _sums(n: str, labelled: str, bad: str) -> list[Column]:

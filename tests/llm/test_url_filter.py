@@ -106,3 +106,21 @@ def test_branches_that_differ_are_not_merged(spark):
     assert got["bridge.example", "/good"] == {"allow"} and got["bridge.example", "/bad"] == {"block"}
     assert got["few.example", "/spam"] == {"block"} and got["few.example", "/na"] == {"allow"}
     assert got["rare.example", "/raa"] == {"block"} and got["rare.example", "/main"] == {"allow"}
+
+
+def test_bad_sections_are_found_at_any_depth(spark):
+    rows, labels = [], []
+    start = "blog/en/news/{}/more/of/the/way/" + "/".join("abcdefghijkl")
+    for k in range(60):
+        slug = "abcdefghij"[k // 10] + "klmnopqrst"[k % 10]
+        for part in ("spam", "fine"):
+            branch(rows, labels, f"{start.format(2000 + k % 3)}/{part}/{slug}", 1, 1, int(part == "spam"))
+    branch(rows, labels, "far/" + "/".join(["x"] * 400) + "/one", 1, 0, 0, "far.example")
+    branch(rows, labels, "far/" + "/".join(["x"] * 400) + "/two", 1, 0, 0, "far.example")
+    got = filter_urls(frame_of(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.verdict == ("block" if "/spam/" in r.path else "allow")
+        if "/spam/" in r.path:
+            assert r.template == f"/blog/en/news/{{n}}/more/of/the/way/{'/'.join('abcdefghijkl')}/spam/*/{{n}}"
+    assert {r.template for r in got if "/far/" in r.path} == {"/far/" + "/".join(["x"] * 400) + "/*/{n}"}
