@@ -5,7 +5,7 @@ KMER-byte strings inside it. Equal strings pick equal hashes, so strings with
 different hashes need never meet. Neighbouring starts mostly pick the same one; such
 a run is a segment.
 
-1. Segments are listed as (hash, document, place). A task keeps its own repeats
+1. Segments are listed as (hash, document, place); a document is its id and 64 bits of its text's hash. A task keeps its own repeats
    apart and sends one row a hash, so a frequent hash is a few rows; only
    segments whose hash occurs again anywhere go on.
 2. The bytes of these are cut from their documents, equal ones of a task are
@@ -43,8 +43,7 @@ CHUNK = 1 << 20  # bytes of one suffix array
 HOT = 4 << 20  # bytes of segments with one hash that a shard gathers at most
 BLOCK = 1 << 18  # bytes hashed at once
 LOWEST = -(1 << 63)
-PLACE_BITS, RUN_BITS = 31, 12  # of `at`: 19 bits of the text's hash, place, length of the run, 1 bit: a string may be twice inside
-TAG_SHIFT = PLACE_BITS + RUN_BITS + 1
+PLACE_BITS, RUN_BITS = 31, 12  # of `at`: place, length of the run, 1 bit: a string may be twice inside
 MAX_RUN = (1 << RUN_BITS) - 1
 BYTES = np.random.default_rng(20240101).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -140,16 +139,16 @@ def segments(texts: list[bytes], length: int, kmer: int) -> tuple[np.ndarray, ..
     return tuple(np.concatenate([f[k] for f in found]) for k in range(5))
 
 
-def pack(tag, place, run, twice=0):
-    return (tag << TAG_SHIFT) | (place << (RUN_BITS + 1)) | (run << 1) | twice
+def pack(place, run, twice=0):
+    return (place << (RUN_BITS + 1)) | (run << 1) | twice
 
 
 def unpack(at):
-    return at >> TAG_SHIFT, (at >> (RUN_BITS + 1)) & ((1 << PLACE_BITS) - 1), (at >> 1) & MAX_RUN
+    return at >> (RUN_BITS + 1), (at >> 1) & MAX_RUN
 
 
 def _list_segments(length: int, kmer: int, portion: int = 8 << 20):
-    """d, tag, text -> hash, d, at, known: 0 once in this portion, 1 first of several (or a string twice inside), 2 a later one."""
+    """d, tag, text -> hash, d, tag, at, known: 0 once in this portion, 1 first of several (or a string twice inside), 2 a later one."""
 
     def rows(d: np.ndarray, tag: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
         key, text, place, run, twice = segments(texts, length, kmer)
@@ -161,10 +160,9 @@ def _list_segments(length: int, kmer: int, portion: int = 8 << 20):
         many[:-1] = ~new[1:]
         many[-1:] = False
         known = np.where(new, np.where(many | twice[order], 1, 0), 2).astype(np.int8)
-        at = pack(tag[text], place, run, twice)[order]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(sorted_.view(np.int64)), pa.array(d[text][order]), pa.array(at), pa.array(known)], names=["key", "d", "at", "known"]
-        )
+        at = pack(place, run, twice)[order]
+        cols = [sorted_.view(np.int64), d[text][order], tag[text][order], at, known]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "d", "tag", "at", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,18 +186,18 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        key, known = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+        key, known = batch.column(0).to_numpy(), batch.column(4).to_numpy()
         same = key[1:] == key[:-1]
         keep = known > 0
         keep[1:] |= same
         keep[:-1] |= same
         # The last row waits for the next batch, where its like may be; what is decided stays so.
         held = batch.slice(batch.num_rows - 1)
-        held = held.set_column(3, "known", pa.array(keep[-1:].astype(np.int8)))
+        held = held.set_column(4, "known", pa.array(keep[-1:].astype(np.int8)))
         keep[-1] = False
-        yield batch.select([0, 1, 2]).filter(pa.array(keep))
-    if held is not None and held.column(3)[0].as_py() > 0:
-        yield held.select([0, 1, 2])
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
+    if held is not None and held.column(4)[0].as_py() > 0:
+        yield held.select([0, 1, 2, 3])
 
 
 def _unpacked(z: bytes) -> bytes:
@@ -214,31 +212,32 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(length: int):
-    """d, tag, z, list of (key, at) -> key, segment, d, at: the first of equal segments of a batch."""
+    """d, tag, z, list of (key, at) -> key, segment, d, tag, at: the first of equal segments of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first: dict[bytes, tuple[int, int, int]] = {}
+            first: dict[bytes, tuple[int, int, int, int]] = {}
             lists = batch.column(3)
             offsets, inner = lists.offsets.to_numpy(), lists.values
             keys, ats = (inner.field(k).to_numpy() for k in (0, 1))
-            for i, (d, z) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for i, (d, tag, z) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
                 text = _unpacked(z)
                 part = slice(int(offsets[i]), int(offsets[i + 1]))
-                _, place, n = unpack(ats[part])
+                place, n = unpack(ats[part])
                 for key, at, p, e in zip(keys[part].tolist(), ats[part].tolist(), place.tolist(), (place + n + length - 1).tolist(), strict=True):
-                    mine = (d, at, key)
+                    mine = (d, tag, at, key)
                     there = first.setdefault(text[p:e], mine)
                     if mine < there:
                         first[text[p:e]] = mine
-            d, at, key = (pa.array([x[k] for x in first.values()], pa.int64()) for k in range(3))
-            yield pa.RecordBatch.from_arrays([key, pa.array(list(first), pa.binary()), d, at], names=["key", "segment", "d", "at"])
+            d, tag, at, key = (pa.array([x[k] for x in first.values()], pa.int64()) for k in range(4))
+            cols = [key, pa.array(list(first), pa.binary()), d, tag, at]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "segment", "d", "tag", "at"])
 
     return run
 
 
 def first_starts(
-    segs: list[bytes], key: np.ndarray, d: np.ndarray, at: np.ndarray, length: int
+    segs: list[bytes], key: np.ndarray, d: np.ndarray, tag: np.ndarray, at: np.ndarray, length: int
 ) -> tuple[np.ndarray, ...]:
     """d, tag, start, run: the starts whose string is nowhere earlier in these segments.
 
@@ -248,23 +247,22 @@ def first_starts(
     first: dict[bytes, int] = {}
     for i, seg in enumerate(segs):
         j = first.setdefault(seg, i)
-        if j != i and (d[i], at[i]) < (d[j], at[j]):
+        if j != i and (d[i], tag[i], at[i]) < (d[j], tag[j], at[j]):
             first[seg] = i
     rows = np.fromiter(first.values(), np.int64, len(first))
     _, group, members = np.unique(key[rows], return_inverse=True, return_counts=True)
     alone = (members[group] == 1) & (at[rows] & 1 == 0)
     single, rows = rows[alone], rows[~alone]
-    tag, place, run = unpack(at[single])
-    known = (d[single], tag, place, run)
+    known = (d[single], tag[single], *unpack(at[single]))
     if not len(rows):
         return known
-    found = _sorted_starts([segs[i] for i in rows.tolist()], d[rows], at[rows], length)
+    found = _sorted_starts([segs[i] for i in rows.tolist()], d[rows], tag[rows], at[rows], length)
     return tuple(np.concatenate(c) for c in zip(known, found, strict=True))
 
 
-def _sorted_starts(segs: list[bytes], d: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _sorted_starts(segs: list[bytes], d: np.ndarray, tag: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """The same for different segments, by their suffix array."""
-    tag, place, _ = unpack(at)
+    place, _ = unpack(at)
     sizes = np.array([len(s) for s in segs])
     text = np.frombuffer(b"\x00".join(segs), np.uint8).astype(np.uint16) + 2
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -299,8 +297,8 @@ def _sorted_starts(segs: list[bytes], d: np.ndarray, at: np.ndarray, length: int
 
 def _shards(length: int, chunk: int):
     def solve(held: pa.Table) -> pa.RecordBatch:
-        d, at = held["d"].to_numpy(), held["at"].to_numpy()
-        cols = first_starts(held["segment"].to_pylist(), held["key"].to_numpy(), d, at, length)
+        key, d, tag, at = (held[c].to_numpy() for c in ("key", "d", "tag", "at"))
+        cols = first_starts(held["segment"].to_pylist(), key, d, tag, at, length)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "tag", "start", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,20 +326,19 @@ def _shards(length: int, chunk: int):
 
 
 def _strings(length: int):
-    """Segments of a hot hash -> digest of each of their strings, d, at: the first of equal ones of a batch."""
+    """Segments of a hot hash -> digest of each of their strings, d, tag, start: the first of equal ones of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first: dict[bytes, tuple[int, int]] = {}
-            for seg, d, at in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                tag, place, run_ = unpack(at)
+            first: dict[bytes, tuple[int, int, int]] = {}
+            for seg, d, tag, at in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+                place, run_ = unpack(at)
                 for k in range(run_):
                     digest = hashlib.blake2b(seg[k : k + length], digest_size=16).digest()
-                    mine = (d, pack(tag, place + k, 1))
-                    if mine < first.get(digest, (d, mine[1] + 1)):
-                        first[digest] = mine
-            d, at = (pa.array([x[k] for x in first.values()], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), d, at], names=["digest", "d", "at"])
+                    mine = (d, tag, place + k)
+                    first[digest] = min(mine, first.get(digest, mine))
+            cols = [pa.array([x[k] for x in first.values()], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), *cols], names=["digest", "d", "tag", "start"])
 
     return run
 
@@ -374,7 +371,7 @@ def _finish(length: int):
                 for z, listed, fresh_ in zip(*(part.column(k) for k in (1, 2, 3)), strict=True):
                     text = _unpacked(z.as_py())
                     rows = listed.values.to_numpy() if listed.is_valid else np.zeros(0, np.int64)
-                    _, place, n = unpack(rows)
+                    place, n = unpack(rows)
                     new = np.zeros((0, 2), np.int64)
                     if fresh_.is_valid:
                         new = np.stack([fresh_.values.field(k).to_numpy() for k in (0, 1)], axis=1)
@@ -412,33 +409,29 @@ def suffix_dedup(
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("d"),
-        F.shiftrightunsigned(F.xxhash64(text), 45).alias("tag"),
+        F.xxhash64(text).alias("tag"),
         F.col(id_col).alias("doc_id"),
         text.alias("text"),
     )
-    listed = rows.select("d", "tag", "text").mapInArrow(_list_segments(length, kmer), "key long, d long, at long, known byte")
-    target = F.when(F.col("known") == 2, F.xxhash64("d", "at")).otherwise(F.col("key"))
+    listed = rows.select("d", "tag", "text").mapInArrow(_list_segments(length, kmer), "key long, d long, tag long, at long, known byte")
+    target = F.when(F.col("known") == 2, F.xxhash64("d", "tag", "at")).otherwise(F.col("key"))
     dealt = listed.withColumn("target", target).repartition("target").drop("target").sortWithinPartitions("key")
-    again = cut_lineage(dealt.mapInArrow(_repeated, "key long, d long, at long"))
-    tag = F.shiftright("at", TAG_SHIFT)
+    again = cut_lineage(dealt.mapInArrow(_repeated, "key long, d long, tag long, at long"))
     packed = rows.mapInArrow(_compress, f"d long, tag long, doc_id {id_type}, z binary")
-    by_doc = again.groupBy("d", tag.alias("tag")).agg(F.collect_list(F.struct("key", "at")).alias("found"))
+    by_doc = again.groupBy("d", "tag").agg(F.collect_list(F.struct("key", "at")).alias("found"))
     pieces = packed.select("d", "tag", "z").join(by_doc, ["d", "tag"]).select("d", "tag", "z", "found")
-    cut = cut_lineage(pieces.mapInArrow(_cut(length), "key long, segment binary, d long, at long"))
+    cut = cut_lineage(pieces.mapInArrow(_cut(length), "key long, segment binary, d long, tag long, at long"))
     sizes = cut.groupBy("key").agg(F.sum(F.octet_length("segment")).alias("bytes"))
     # Written first, so that its size is known: few hot hashes are looked up without another shuffle.
     crowded = cut_lineage(sizes.where(F.col("bytes") > hot).select("key"))
     shards = cut.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     new = shards.mapInArrow(_shards(length, chunk), "d long, tag long, start long, run long")
-    strings = cut.join(crowded, "key", "left_semi").mapInArrow(_strings(length), "digest binary, d long, at long")
-    ones = strings.groupBy("digest").agg(F.min(F.struct("d", "at")).alias("f")).select(
-        "f.d",
-        F.shiftright("f.at", TAG_SHIFT).alias("tag"),
-        F.shiftright("f.at", RUN_BITS + 1).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("start"),
-        F.lit(1).cast("long").alias("run"),
+    strings = cut.join(crowded, "key", "left_semi").mapInArrow(_strings(length), "digest binary, d long, tag long, start long")
+    ones = strings.groupBy("digest").agg(F.min(F.struct("d", "tag", "start")).alias("f")).select(
+        "f.*", F.lit(1).cast("long").alias("run")
     )
     new_by_doc = new.unionByName(ones).groupBy("d", "tag").agg(F.collect_list(F.struct("start", "run")).alias("new"))
-    at_by_doc = again.groupBy("d", tag.alias("tag")).agg(F.collect_list("at").alias("listed"))
+    at_by_doc = again.groupBy("d", "tag").agg(F.collect_list("at").alias("listed"))
     marks = cut_lineage(at_by_doc.join(new_by_doc, ["d", "tag"], "left"))
     whole = packed.join(marks, ["d", "tag"], "left").select("doc_id", "z", "listed", "new")
     spans = "array<struct<start:bigint,length:bigint>>"

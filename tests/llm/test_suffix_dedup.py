@@ -115,3 +115,21 @@ def test_table_against_brute_force(spark, sf):
         size, kept, spans = want[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans) == (size, size - len(kept), len(spans))
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 300])
+def test_many_texts_under_one_id(spark, hot):
+    """3 000 texts without an id: some share any 19 bits of a hash, and each has its own places."""
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(40))
+    texts = []
+    for i in range(3000):
+        own = "".join(rng.choice("ijklmnopqrstuvwxyz") for _ in range(rng.randint(0, 90)))
+        texts.append(f"{i:05d}" + (own + shared + own[::-1] if i % 2 else own + own[:40]))
+    docs = spark.createDataFrame([(None, t, None, 1, "k") for t in texts], SCHEMA)
+    order = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(cast(text as binary)) AS h").collect()}
+    by_text = dict(enumerate(sorted(texts, key=order.get)))
+    want = plain(list(by_text.items()), 30)
+    left = sorted((n, kept, spans) for n, kept, spans in want.values())
+    got = D.suffix_dedup(docs, length=30, kmer=8, chunk=5000, hot=hot).collect()
+    assert sorted((r.n_bytes, bytes(r.kept), [(s.start, s.length) for s in r.spans]) for r in got) == left
