@@ -274,8 +274,18 @@ def simhash_dedup(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Documents without near copies: the smallest id of each component stays, all columns as they were."""
-    found = simhash_dedup(docs, id_col, text_col, **options)
-    who = fresh(docs, "llm_id")
-    first = found.select(F.col("component_id").alias(who)).distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(first[who]), "left_semi")
+    """Documents without near copies: one row of each component stays, all columns as they were.
+
+    It is the row with the smallest id, null after all others; of rows that share
+    that id, the one with the smallest hash of the row, and of equal rows any.
+    """
+    who = fresh(docs, "llm_row")
+    # Written, so that a row has the same number whenever it is read.
+    rows = cut_lineage(docs.withColumn(who, F.monotonically_increasing_id()))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rank = F.struct(
+        F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("hash"), F.col(who).alias("row")
+    )
+    found = simhash_dedup(rows.select(rank.alias("rank"), F.col(text_col).alias("text")), "rank", "text", **options)
+    first = found.select(F.col("component_id.row").alias(who)).distinct()
+    return rows.join(first, who, "left_semi").select(*[f"`{c}`" for c in docs.columns])

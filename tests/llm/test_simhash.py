@@ -132,3 +132,16 @@ def test_tables_against_brute_force(spark, sf):
     want = [Row(doc_id=i, fingerprint=f"{f:016x}", component_id=texts[r][0]) for (i, _), f, r in zip(texts, fps, roots, strict=True)]
     got = sorted(simhash_dedup(docs).collect(), key=lambda r: r.doc_id)
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_one_row_of_each_component_stays(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(60)) for w in ("apple", "birch", "cedar"))
+    rows = [
+        (5, one, "x", 1), (5, one, "x", 1), (5, one, "y", 1),  # the kept id again, once with other columns
+        (3, two, None, 1), (5, two, None, 1),  # an id that is the smallest elsewhere
+        (None, three, None, 1), (None, three, None, 1),  # nothing but null ids
+        (None, two, None, 1), (None, one, None, 1),
+    ]
+    for parts in (1, 4):
+        kept = keep_one(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(5, one), (3, two), (0, three)])
