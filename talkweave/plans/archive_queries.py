@@ -56,7 +56,7 @@ def list_conversations(spark, sf):
   ORDER BY last_at DESC NULLS LAST, chat_id LIMIT 25""")
 def list_conversations_matching(spark, sf):
     contacts = con.load_contacts(address_books(spark, sf))
-    return _listed(stats.list_conversations(archive(spark, sf), contacts, KEY, "Nick1"))
+    return _listed(stats.list_conversations(archive(spark, sf), contacts, KEY, "Nick1", limit=25))
 
 
 @query("conversation_directory", A + LISTED)
@@ -90,7 +90,7 @@ def list_people(spark, sf):
 def list_people_matching(spark, sf):
     contacts = con.load_contacts(address_books(spark, sf))
     return stats.public_times(
-        stats.list_people(archive(spark, sf), contacts, KEY, "firm"), "last_message_at"
+        stats.list_people(archive(spark, sf), contacts, KEY, "firm", limit=50), "last_message_at"
     )
 
 
