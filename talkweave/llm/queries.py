@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import chat_windows, read_back
+from .collocations import phrases
 from .common import table
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .language_id import identify_languages
+from .lm_scoring import lm_scores
 from .line_dedup import MIN_PAGES, RATIO, line_dedup
 from .mixing import mix_sources
 from .sentence_piece import decode_documents, encode_documents
@@ -162,3 +165,70 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+@query(
+    "op11_hard_negatives",
+    """WITH usable AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+      FROM usable a, usable c WHERE a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.positive_id,
+      row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS rank,
+      n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+      AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+    QUALIFY rank <= 3""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(
+    "op12_collocations",
+    f"""WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')), '[ \t]+'), lambda w: w <> '') AS w
+      FROM documents),
+    grams AS (
+      SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase,
+      FROM pieces, range(1, 4) AS sizes(k)),
+    f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL),
+    sizes AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+    frequent AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+    parts AS (
+      SELECT c.lang, c.k, c.phrase, c.a, c.w, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+      FROM frequent c, range(1, 3) AS cuts(cut) WHERE cut < c.k),
+    scored AS (
+      SELECT p.lang, p.k, p.phrase, p.a, x.a AS l, y.a AS r, cut,
+        ((1000000::HUGEINT * p.a * p.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+      FROM parts p JOIN f x ON x.lang = p.lang AND x.k = cut AND x.phrase = p.head
+        JOIN f y ON y.lang = p.lang AND y.k = p.k - cut AND y.phrase = p.rest),
+    chosen AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    around AS (
+      SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM frequent WHERE k = 3),
+    most AS (SELECT lang, phrase, max(a) AS a FROM around GROUP BY ALL)
+    SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank,
+      c.phrase, c.a, c.l, c.r, s.n, c.score
+    FROM chosen c JOIN sizes s ON s.lang = c.lang LEFT JOIN most m ON m.lang = c.lang AND m.phrase = c.phrase AND c.k = 2
+    WHERE coalesce(100 * m.a < 50 * c.a, true) QUALIFY rank <= 2000""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lm_scoring")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return lm_scores(table(spark, sf_dir, "documents"), held_out)
