@@ -16,13 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .word_chunks import (
-    BREAK, BREAK_WORD, CHUNK, UNKNOWN, number_by_count, occurrences, slices, unpack_sequence, word_chunks,
+    BREAK, BREAK_WORD, CHUNK, UNKNOWN, number_by_count, occurrences, pack_rows, slices, unpack_rows,
+    unpack_sequence, word_chunks,
 )
 
 MIN_COUNT = 10
@@ -68,10 +68,10 @@ class _Chunk:
 
     def __init__(self, chunk: pa.Table, told: pa.Table) -> None:
         sequence = unpack_sequence(chunk["sequence"][0].as_py())
-        words = told.filter(pc.equal(told["level"], 1))
+        local, number = unpack_rows(told, 1, 2)
         numbers = np.full(int(sequence.max(initial=0)) + 1, UNKNOWN, np.int64)
         numbers[BREAK] = BREAK
-        numbers[words["key"].to_numpy()] = words["value"].to_numpy()
+        numbers[local] = number
         self.numbers = numbers[sequence]
         self.ends = np.ones(len(sequence), bool)
         at = 0
@@ -103,8 +103,7 @@ def _triples(chunk: pa.Table, told: pa.Table) -> pa.Table:
     if chunk.num_rows:
         read = _Chunk(chunk, told)
         a, b, at = read.pairs()
-        frequent = told.filter(pc.equal(told["level"], 2))
-        known, totals = frequent["key"].to_numpy(), frequent["value"].to_numpy()
+        known, totals = unpack_rows(told, 2, 2)
         ranked = known[np.lexsort((known, -totals))]  # their place is the pair's new number
         by_code = np.argsort(ranked)
         code = (a << 32) | b
@@ -164,10 +163,8 @@ def phrases(
     common = counts.where(F.col("f") >= min_count)
     words = cut_lineage(number_by_count(common, "f", ["grp", "word"]))
 
-    told = seen.join(words, ["grp", "word"]).select(
-        "chunk", F.lit(1).alias("level"), F.col("local").cast("long").alias("key"), F.col("number").cast("int").cast("long").alias("value")
-    )
-    told = cut_lineage(told)
+    told = seen.join(words, ["grp", "word"]).select("chunk", "local", F.col("number").cast("int").alias("number"))
+    told = cut_lineage(pack_rows(told, 1))
     sequences = chunks.select("chunk", "sequence", "texts")
 
     def in_chunks(known: DataFrame, run, schema: str) -> DataFrame:
@@ -179,7 +176,7 @@ def phrases(
     pairs = pairs.withColumns({"f": F.sum("n").over(same), "lead": F.min("chunk").over(same) == F.col("chunk")})
     held = cut_lineage(pairs.where(F.col("f") >= min_count).select("chunk", "pair", "f", "lead"))
     pairs = held.where("lead").select("pair", "f")
-    back = held.select("chunk", F.lit(2).alias("level"), F.col("pair").alias("key"), F.col("f").alias("value"))
+    back = pack_rows(held.select("chunk", "pair", "f"), 2)
     triples = in_chunks(told.unionByName(back), _triples, "pair long, word long, n long")
     triples = triples.groupBy("pair", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
     triples = cut_lineage(triples)

@@ -25,13 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .word_chunks import (
-    BREAK, CHUNK, END_WORD, UNKNOWN, number_by_count, occurrences, slices, unpack_sequence, word_chunks,
+    BREAK, CHUNK, UNKNOWN, number_in_slots, occurrences, pack_rows, slices, unpack_rows, unpack_sequence, word_chunks,
 )
 
 DISCOUNT = 0.75
@@ -128,13 +127,12 @@ class Automaton:
         return out
 
 
-def _numbers(chunk: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]:
+def _numbers(chunk: pa.Table, local: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]:
     """Tokens as numbers of the whole table, whether each is new here, and learned from."""
     sequence = unpack_sequence(chunk["sequence"][0].as_py())
-    words = told.filter(pc.equal(told["level"], 1))
     numbers = np.full(int(sequence.max(initial=0)) + 1, UNKNOWN, np.int64)
     numbers[BREAK] = BREAK
-    numbers[words["key"].to_numpy()] = words["value"].to_numpy()
+    numbers[local] = number
     texts = chunk["texts"][0].as_py()
     new, learned, at = np.ones(len(sequence), bool), np.zeros(len(sequence), bool), 0
     for text in texts:
@@ -151,11 +149,10 @@ def _pairs(least: int):
         pairs, n, id = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         if chunk.num_rows:
             id = chunk["chunk"][0].as_py()
-            numbers, new, learned, _ = _numbers(chunk, told)
-            counts = told.filter(pc.equal(told["level"], 1))
-            rare = counts["value"].to_numpy()[counts["count"].to_numpy() < least]
+            local, number, count = unpack_rows(told, 1, 3)
+            often = count >= least  # no pair with a rarer word occurs often enough
+            numbers, new, learned, _ = _numbers(chunk, local[often], number[often])
             often = numbers >= BREAK
-            often[np.isin(numbers, rare)] = False  # no pair with them occurs often enough
             at = np.flatnonzero(often[:-1] & often[1:] & (numbers[1:] > BREAK) & new[1:]) + 1
             codes = (numbers[at - 1] << 32) | numbers[at]
             order = np.argsort(codes, kind="stable")
@@ -172,15 +169,14 @@ def _score(discount: float, lane: int):
     def run(chunk: pa.Table, told: pa.Table) -> pa.Table:
         cols: dict[str, list] = {c: [] for c in ("key", "id", "counted", "n_tokens", "n_known", "base", "score")}
         if chunk.num_rows:
-            numbers, new, _, texts = _numbers(chunk, told)
-            c = {n: chunk[n][0].as_py() for n in ("tokens", "distinct", "n_texts", "kept_at_start")}
-            words, pairs = (told.filter(pc.equal(told["level"], n)) for n in (1, 2))
-            keys = pairs["key"].to_numpy()
-            order = np.argsort(keys)
+            local, number, count, arcs_sum, arcs = unpack_rows(told, 1, 5)
+            numbers, new, _, texts = _numbers(chunk, local, number)
+            c = {n: chunk[n][0].as_py() for n in ("tokens", "distinct", "n_texts", "start_sum", "start_arcs")}
+            pairs, pair_counts = unpack_rows(told, 2, 2)
+            order = np.argsort(pairs, kind="stable")
             model = Automaton(
-                words["value"].to_numpy(), words["count"].to_numpy(), words["kept"].to_numpy(zero_copy_only=False),
-                keys[order], pairs["count"].to_numpy()[order],
-                c["tokens"], c["distinct"], c["n_texts"], c["kept_at_start"], discount,
+                number, count, arcs_sum - discount * arcs, pairs[order], pair_counts[order],
+                c["tokens"], c["distinct"], c["n_texts"], c["start_sum"] - discount * c["start_arcs"], discount,
             ) if c["tokens"] else None
             base = model.read_at_root(numbers) if model else np.full(len(numbers), np.log10(1.0))
             cost = model.traverse(numbers, base, lane) if model else base
@@ -225,51 +221,47 @@ def lm_scores(
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     )
     chunks = cut_lineage(word_chunks(texts, split_words, 1, True, tokens))
-    seen = occurrences(chunks).drop("grp")
-    counts = seen.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
-    words = cut_lineage(number_by_count(counts, "c", ["word"]))
-    told = seen.join(words, "word").select(
-        "chunk", F.lit(1).alias("level"), F.col("local").cast("long").alias("key"),
-        F.col("number").cast("int").cast("long").alias("value"), F.col("c").alias("count"),
-    )
-    told = cut_lineage(told)
+    words = number_in_slots(occurrences(chunks).drop("grp"))
     sequences = chunks.select("chunk", "sequence", "texts")
 
     # One exchange both adds up a pair and knows which chunks hold it.
     same = Window.partitionBy("pair")
+    told = pack_rows(words.select("chunk", "local", "number", "c"), 1)
     pairs = sequences.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
         _pairs(least_pair), "chunk long, pair long, n long"
     )
     pairs = pairs.withColumns({"c": F.sum("n").over(same), "lead": F.min("chunk").over(same) == F.col("chunk")})
     pairs = cut_lineage(pairs.where(F.col("c") >= least_pair).select("chunk", "pair", "c", "lead"))
-    kept = pairs.where("lead").groupBy(F.shiftright("pair", 32).alias("value")).agg((F.sum("c") - discount * F.count("*")).alias("kept"))
+    begins = F.shiftright("pair", 32).alias("number")
+    kept = pairs.where("lead").groupBy(begins).agg(F.sum("c").alias("arcs_sum"), F.count("*").alias("arcs"))
     kept = cut_lineage(kept)
 
-    figures = words.agg(
+    none = F.lit(0).cast("long")
+    figures = words.where("lead").agg(
         F.struct(
-            F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"),
+            F.coalesce(F.sum("c"), none).alias("tokens"),
             F.count("*").alias("distinct"),
-            F.coalesce(F.sum(F.when(F.col("word") == F.lit(END_WORD), F.col("c"))), F.lit(0)).alias("n_texts"),
+            F.coalesce(F.sum(F.when(F.col("is_end"), F.col("c"))), none).alias("n_texts"),
         ).alias("f")
-    ).scalar()
-    at_start = kept.where(F.col("value") == BREAK).agg(F.coalesce(F.sum("kept"), F.lit(0.0)).alias("s")).scalar()
-    known = told.join(kept, "value", "left").select(
-        "chunk", "level", "key", "value", "count", F.coalesce("kept", F.lit(0.0)).alias("kept")
     )
-    back = pairs.select(
-        "chunk", F.lit(2).alias("level"), F.col("pair").alias("key"), F.lit(0).cast("long").alias("value"),
-        F.col("c").alias("count"), F.lit(0.0).alias("kept"),
+    at_start = kept.where(F.col("number") == BREAK).agg(
+        F.struct(F.coalesce(F.sum("arcs_sum"), none).alias("start_sum"), F.coalesce(F.sum("arcs"), none).alias("start_arcs")).alias("s")
+    )
+    figures = cut_lineage(figures)
+    states = words.join(kept, "number", "left").select(
+        "chunk", "local", "number", "c", F.coalesce("arcs_sum", none).alias("arcs_sum"), F.coalesce("arcs", none).alias("arcs")
     )
-    given = sequences.withColumns({"f": figures, "kept_at_start": at_start}).select(
-        "chunk", "sequence", "texts", "f.tokens", "f.distinct", "f.n_texts", "kept_at_start"
+    told = pack_rows(states, 1).unionByName(pack_rows(pairs.select("chunk", "pair", "c"), 2))
+    given = sequences.withColumns({"f": figures.scalar(), "s": at_start.scalar()}).select(
+        "chunk", "sequence", "texts", "f.*", "s.*"
     )
-    scored = given.groupBy("chunk").cogroup(known.unionByName(back).groupBy("chunk")).applyInArrow(
+    scored = given.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
         _score(discount, lane),
         "key long, id long, counted boolean, n_tokens long, n_known long, base double, score double",
     )
     # A text that runs over several chunks is the sum of its parts.
     whole = scored.groupBy("key", "id", "counted").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    return whole.withColumn("f", figures).select(
+    return whole.withColumn("f", figures.scalar()).select(
         F.col("id").alias("doc_id"), (~F.col("counted")).alias("held_out"), "n_tokens", "n_known",
         F.col("f.tokens").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 CHUNK = 1 << 22  # tokens
 SLICE = 1 << 22  # bytes of a text that are split at once
 BREAK, UNKNOWN = 0, -1
@@ -179,6 +181,82 @@ def occurrences(chunks: DataFrame) -> DataFrame:
     )
 
 
+PACKED = "chunk long, level int, data binary"
+PACK_ROWS = 1 << 20  # that a task gathers before it packs them
+
+
+def pack_rows(rows: DataFrame, level: int) -> DataFrame:
+    """Rows of whole numbers (chunk first) as one compressed value a chunk and task."""
+    names = rows.columns
+
+    def packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        chunk, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((columns[0], chunk))
+        chunk, table = chunk[order], np.stack([c[order] for c in columns])
+        starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+        data = []
+        for part in np.split(table, starts[1:], axis=1):
+            part = part.copy()
+            part[0, 1:] -= part[0, :-1].copy()  # ascending numbers as their steps
+            planes = part.view(np.uint8).reshape(*part.shape, 8).transpose(0, 2, 1)
+            data.append(zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes()))
+        return pa.RecordBatch.from_pydict(
+            {"chunk": pa.array(chunk[starts]), "level": pa.array([level] * len(data), pa.int32()), "data": pa.array(data, pa.binary())}
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch[c].to_numpy().astype(np.int64) for c in names])
+                size += batch.num_rows
+            if size >= PACK_ROWS:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def unpack_rows(told: pa.Table, level: int, columns: int) -> list[np.ndarray]:
+    """The columns of a level, ascending by the first inside each packed value."""
+    parts = []
+    for at, data in zip(told["level"].to_pylist(), told["data"], strict=True):
+        if at == level:
+            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), np.uint8).reshape(columns, 8, -1)
+            part = planes.transpose(0, 2, 1).copy(order="C").view(np.int64)[:, :, 0]
+            part[0] = np.cumsum(part[0])
+            parts.append(part)
+    whole = np.concatenate(parts, axis=1) if parts else np.zeros((columns, 0), np.int64)
+    return list(whole)
+
+
+WORD_SLOTS = 1 << 14
+
+
+def number_in_slots(seen: DataFrame) -> DataFrame:
+    """chunk, local, word, c, number, lead: every word's total count and number, in one exchange.
+
+    Words are dealt to slots by hash and ranked inside their slot; numbers have gaps only at
+    words that are never counted. `lead` marks one row of each word.
+    """
+    slot = F.pmod(F.xxhash64("word"), F.lit(WORD_SLOTS)).cast("int")
+    same = Window.partitionBy("slot", "word")
+    rows = seen.withColumn("slot", slot)
+    rows = rows.withColumn("inside", F.dense_rank().over(Window.partitionBy("slot").orderBy("word")))
+    rows = rows.withColumns({"c": F.sum("n").over(same), "lead": F.min("chunk").over(same) == F.col("chunk")})
+    rows = cut_lineage(
+        rows.where("c > 0").select("chunk", "local", "c", "slot", "inside", "lead", (F.col("word") == F.lit(END_WORD)).alias("is_end"))
+    )
+    earlier = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # over WORD_SLOTS rows
+    sizes = rows.groupBy("slot").agg(F.max("inside").alias("size"))
+    before = sizes.select("slot", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    number = (F.col("before") + F.col("inside")).cast("int").cast("long")
+    return rows.join(F.broadcast(before), "slot").select("chunk", "local", "c", "lead", "is_end", number.alias("number"))
+
+
 CLASSES, SLOTS = 4, 256  # classes a doubling of the count; slots of a class
 
 
