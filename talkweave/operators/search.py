@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binding import bind
 from ..functions.clock import iso_text
 from ..functions.text import fold_text, query_tokens, required_query, tokens
 from ..functions.vectors import cosine, cosine_to, fit_vector
-from ..session import cut_lineage
+from ..session import new_folder
+from ..sources.word_index import WordIndex
 from .filters import any_contains, filter_messages, filter_passages
 from .reading import newest
 
@@ -27,32 +29,27 @@ RRF = 61
 def _token_rows(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     """ids, token, tf, length; a text's own row has the empty token, also when it has no words.
 
-    Occurrences are counted inside the row, so nothing is shuffled.
+    The JVM finds the words; occurrences are counted on Arrow batches of whole texts, so
+    nothing is shuffled.
     """
-    listed = F.array_sort(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
-    own = F.array(F.struct(F.lit("").alias("token"), F.lit(1).alias("tf")))
-
-    def runs(words: Column) -> Column:
-        """A sorted list has each word as one run, as long as the step to the next start."""
-        first = lambda word, i: (i == 0) | (word != F.get(words, i - 1))
-        at = F.filter(F.transform(words, lambda word, i: F.when(first(word, i), i)), lambda i: i.isNotNull())
-        return bind(
-            F.concat(at, F.array(F.size(words))),
-            lambda starts: F.transform(
-                F.slice(starts, F.lit(1), F.size(starts) - 1),
-                lambda i, k: F.struct(
-                    F.get(words, i).alias("token"), (F.get(starts, k + 1) - i).alias("tf")
-                ),
-            ),
-        )
-
-    def counted(words: Column) -> Column:
-        return F.struct(F.size(words).alias("length"), F.concat(own, runs(words)).alias("runs"))
-
-    rows = df.select(*ids, bind(listed, counted).alias("t"))
-    return rows.select(*ids, F.col("t.length").alias("length"), F.inline("t.runs")).select(
-        *ids, "token", "tf", "length"
-    )
+    struct = [f"{c} {df.schema[c].dataType.simpleString()}" for c in ids]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch["words"]
+            listed = pa.table({"text": pc.list_parent_indices(words), "token": pc.list_flatten(words)})
+            found = listed.group_by(["text", "token"]).aggregate([([], "count_all")]).combine_chunks()
+            n = batch.num_rows
+            every = pa.array(np.arange(n), pa.int64())
+            at = pa.concat_arrays([every, *found["text"].cast(pa.int64()).chunks])
+            cols = {c: batch[c].take(at) for c in ids}
+            cols["token"] = pa.concat_arrays([pa.array([""] * n, words.type.value_type), *found["token"].chunks])
+            cols["tf"] = pa.concat_arrays([pa.array(np.ones(n), pa.int32()), *found["count_all"].cast(pa.int32()).chunks])
+            cols["length"] = pc.list_value_length(words).cast(pa.int32()).take(at)
+            yield pa.RecordBatch.from_pydict(cols)
+
+    words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words")
+    return df.select(*ids, words).mapInArrow(count, ", ".join([*struct, "token string, tf int, length int"]))
 
 
 def _split_index(rows: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -71,15 +68,9 @@ def build_token_index(
 def store_token_index(
     df: DataFrame, id: str | Sequence[str], text: str = "text", path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The same, written once and read back, so that queries do not tokenise again.
-
-    Files are ranges of (token, ids), so a prefix reads few of them and a word
-    that occurs everywhere is many.
-    """
-    ids = [id] if isinstance(id, str) else list(id)
-    rows = _token_rows(df, ids, text).repartitionByRange("token", *ids)
-    rows = rows.sortWithinPartitions("token", *ids)
-    return _split_index(cut_lineage(rows, path), ids)
+    """The same, written once as a segment of a word index and read back."""
+    index = WordIndex(df.sparkSession, path or new_folder(df.sparkSession), id).add(df, 0, text)
+    return index.postings(), index.lengths()
 
 
 def corpus_stats(postings: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import iso_text
 from ..operators import search
+from ..session import kept, new_folder
 from ..sources.driver_tables import (
     messages_from_documents, passages_from_documents, query_vector, table,
 )
+from ..sources.word_index import WordIndex
 from . import sql as q
 from .catalog import query
 
@@ -43,8 +45,15 @@ def _texts(spark, sf, id):
     return table(spark, sf, "documents").select(F.col("doc_id").alias(id), "text")
 
 
-def _index(spark, sf):
-    return search.store_token_index(_texts(spark, sf, "doc_id"), "doc_id")
+def _words(spark, sf) -> WordIndex:
+    """The index of the folder's documents, built when the first query of an application asks for it."""
+    return kept(spark, ("words", sf), lambda path: WordIndex(spark, path, "doc_id").add(_texts(spark, sf, "doc_id"), 0))
+
+
+def _index(spark, sf, id="doc_id", prefixes=WORDS):
+    """Postings of the query's words, and all lengths."""
+    index = _words(spark, sf)
+    return tuple(rows.withColumnRenamed("doc_id", id) for rows in (index.postings(prefixes), index.lengths()))
 
 
 @query("token_index", INDEX + "SELECT token, count(*) AS documents, sum(tf)::BIGINT AS occurrences, max(tf) AS most FROM postings GROUP BY 1")
@@ -58,16 +67,41 @@ def token_index(spark, sf):
 @query("corpus_stats", INDEX + """SELECT token, count(*) AS df, (SELECT count(*) FROM lengths) AS documents,
   round((SELECT avg(length) FROM lengths), 6) AS mean_length FROM postings GROUP BY 1""")
 def corpus_stats(spark, sf):
-    rows = search.corpus_stats(*_index(spark, sf))
+    rows = search.corpus_stats(*_index(spark, sf, prefixes=None))
     return rows.withColumn("mean_length", F.round("mean_length", 6))
 
 
 @query("bm25_topk", INDEX + "SELECT doc_id, round(score, 9) AS score FROM (SELECT * FROM bm ORDER BY score, doc_id LIMIT 150)")
 def bm25_topk(spark, sf):
-    rows = search.bm25(*_index(spark, sf), QUERY, k=150)
+    rows = _words(spark, sf).bm25_topk(QUERY, 150)
     return rows.withColumn("score", F.round("score", 9))
 
 
+@query("prefix_terms", INDEX + "SELECT token, count(*) AS documents, sum(tf)::BIGINT AS occurrences FROM postings WHERE starts_with(token, 'eau') GROUP BY 1")
+def prefix_terms(spark, sf):
+    return _words(spark, sf).terms("eau")
+
+
+@query("index_in_batches", INDEX + "SELECT token, count(*) AS documents, sum(tf)::BIGINT AS occurrences, max(tf) AS most FROM postings GROUP BY 1")
+def index_in_batches(spark, sf):
+    """Five batches: one brings late texts, the last rebuilds a source that was indexed with other texts."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    moved = F.col("source") == "src1"
+    late = F.col("doc_id") % 50 == 3
+    batch = F.when(late, 3).otherwise(F.col("doc_id") % 7 % 3)
+    docs = docs.withColumn("batch", batch)
+    stale = docs.withColumn("text", F.when(moved, F.concat(F.reverse("text"), F.lit(" stale"))).otherwise(F.col("text")))
+    index = WordIndex(spark, new_folder(spark), ["source", "doc_id"])
+    for n in range(4):
+        index.add(stale.where(F.col("batch") == n), n)
+        if n == 2:
+            index.merge(n)
+    index.add(docs.where(moved), 4, rebuilt=docs.where(moved).select("source").distinct())
+    return index.postings().groupBy("token").agg(
+        F.count("*").alias("documents"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most")
+    )
+
+
 @query("bm25_all", INDEX + "SELECT doc_id, round(score, 9) AS score FROM bm")
 def bm25_all(spark, sf):
     return search.bm25(*_index(spark, sf), QUERY).withColumn("score", F.round("score", 9))
@@ -82,7 +116,7 @@ def lexical_rank(spark, sf):
   WHERE f0 > 0 AND f1 > 0 AND doc_id % 2 = 0 ORDER BY d.doc_id DESC LIMIT 100""")
 def search_all_tokens(spark, sf):
     messages = messages_from_documents(spark, sf)
-    postings, _ = search.store_token_index(_texts(spark, sf, "message_id"), "message_id")
+    postings, _ = _index(spark, sf, "message_id")
     found = search.search_messages(messages, postings, QUERY, limit=100, direction="from_me")
     return found.select("message_id", "conversation_id")
 
@@ -138,7 +172,7 @@ HEAD = INDEX.rstrip() + ",\n" + VECTORS[len("WITH "):].rstrip() + ",\n"
 
 def _hybrid(spark, sf, limit, **filters):
     passages = passages_from_documents(spark, sf)
-    postings, lengths = search.store_token_index(_texts(spark, sf, "passage_id"), "passage_id")
+    postings, lengths = _index(spark, sf, "passage_id")
     rows = search.search_context(
         passages, postings, lengths, QUERY, query_vector(spark, sf), limit, **filters
     )
@@ -178,7 +212,7 @@ SELECT passage_id, conversation_id, 'Talk ' || conversation_id AS conversation_n
   direction AS directions, text, round(relevance, 6) AS relevance, match FROM ranked JOIN passages USING (passage_id)""")
 def public_passages(spark, sf):
     passages = passages_from_documents(spark, sf)
-    postings, lengths = search.store_token_index(_texts(spark, sf, "passage_id"), "passage_id")
+    postings, lengths = _index(spark, sf, "passage_id")
     rows = search.search_context(passages, postings, lengths, QUERY, query_vector(spark, sf), 30)
     names = passages.select("conversation_id").distinct().select(
         "conversation_id", F.concat(F.lit("Talk "), "conversation_id").alias("conversation_name")

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from ..functions.clock import iso_text
 from ..operators import agenda, threads, tone
 from ..operators.filters import in_period
-from ..operators.segment import build_passages
+from ..operators.segment import build_passages, number_turns
 from ..operators.stats import public_times
 from ..session import shared_folder
 from ..sources import tables
 from ..sources.calendar import dedupe_calendar, load_calendar, write_calendar
 from ..sources.driver_tables import KEY, calendar_from_events, messages_from_events, table, threads_from_conversations
 from ..streaming import incremental as inc
+from ..streaming.turns import stream_turns
 from . import sql as q
 from .catalog import query
-from .segment_queries import SHOWN, _passages_sql, _shown, counting_scorer
+from .segment_queries import EVENT_TURNS, GAP, SHOWN, TURN_COLUMNS, _passages_sql, _shown, _turns, counting_scorer
 
 C = q.with_(q.CALENDAR)
 CAL_ID, EVENT_ID = q.opaque("calendar", "calendar_id", 22), q.opaque("event", "source_id", 22)
@@ -272,3 +273,32 @@ def streamed_scores(spark, sf):
     ).awaitTermination()
     scores = spark.read.option("basePath", f"{sink}/scores").parquet(f"{sink}/scores")
     return scores.select("message_id", F.round("positive", 4).alias("positive"))
+
+
+@query("streamed_turns", EVENT_TURNS + TURN_COLUMNS)
+def streamed_turns(spark, sf):
+    """The stream is started three times on one checkpoint; some events come a third of the time too late.
+
+    A last message far in the future moves the watermark past every gap.
+    """
+    rows = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "props")
+    begin, end = rows.agg(F.min("ts"), F.max("ts")).first()
+    step = (end - begin) / 3
+    place = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(begin).cast("timestamp"))) / F.lit(step.total_seconds() * 1e6))
+    place = F.least(place + F.when(F.col("event_id") % 50 == 7, 1).otherwise(0), F.lit(2))
+    last = rows.limit(1).withColumns({"user_id": F.lit(-1).cast(rows.schema["user_id"].dataType), "ts": F.col("ts") + F.expr("interval 4000 days")})
+    folder, sink = _sink(spark, "events"), _sink(spark, "stream-turns")
+    for n in range(3):
+        part = rows.where(place == n)
+        (part if n < 2 else part.unionAll(last.select(*rows.columns))).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        speaker = "CASE WHEN event_type IN ('purchase', 'click') THEN 'me' ELSE event_type END AS speaker"
+        messages = stream.selectExpr(
+            "CAST(user_id AS STRING) AS conversation_id", "event_id AS message_id", "ts AS sent_at",
+            "CASE WHEN event_type IN ('purchase', 'click') THEN 'from_me' ELSE 'to_me' END AS direction",
+            speaker, "concat(event_type, ' ', props) AS text",
+        )
+        delay = f"{int(step.total_seconds()) + 60} seconds"
+        stream_turns(messages, sink, f"{sink}-checkpoint", delay=delay, gap_seconds=GAP).awaitTermination()
+    closed = spark.read.parquet(sink).where("not late").drop("late")
+    return _turns(number_turns(closed))

@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -63,15 +67,32 @@ def _own_folder() -> str:
 
 
 WRITTEN: list[str] = []
+KEPT: dict[tuple, object] = {}
 
 
 def remove_intermediates(spark: SparkSession) -> None:
     """Delete what `cut_lineage` has written in this program; frames built on it can't be read after."""
+    KEPT.clear()
     while WRITTEN:
         folder = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder in the shared one that nothing else uses; `remove_intermediates` deletes it."""
+    path = f"{shared_folder(spark)}/talkweave-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+def kept(spark: SparkSession, key: tuple, build: Callable[[str], T]) -> T:
+    """What `build` makes in a new folder, once for each key as long as the application runs."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in KEPT:
+        KEPT[key] = build(new_folder(spark))
+    return KEPT[key]
+
+
 def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write an intermediate result to the shared folder once and read it back.
 
@@ -79,8 +100,6 @@ def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     the columns they need. It survives the loss of any executor.
     """
     spark = df.sparkSession
-    if path is None:
-        path = f"{shared_folder(spark)}/talkweave-{uuid.uuid4().hex}"
-        WRITTEN.append(path)
+    path = path or new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
