@@ -47,7 +47,7 @@ def iso_argument(value, label: str) -> datetime | None:
                 raise ValueError(value)
             value = datetime.fromisoformat(value.replace("Z", "+00:00"))
         except ValueError:
-            raise ValueError(f"{label} must be an ISO-8601 date") from None
+            raise ValueError(f"{label}: not a date and time such as 2024-01-31T12:00:00Z") from None
     if value.tzinfo is not None:
         value = value.astimezone(timezone.utc).replace(tzinfo=None)
     return value

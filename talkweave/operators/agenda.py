@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import iso_argument
 from ..functions.identity import CALENDAR_ID_CHARS, opaque_id
-from .filters import any_contains, overlaps_period, strict_limit
+from .filters import any_contains, overlaps_period
 
 # Defaults and limits of the calendar views.
 SEARCHED = ["title", "calendar", "location", "notes"]
@@ -102,15 +102,15 @@ def search_calendar_events(
     events: DataFrame, key: bytes, query: str | None = None, calendar_ids=(), since=None,
     until=None, limit: int | None = None, now: datetime | None = None, chars: int | None = None,
 ) -> DataFrame:
-    """The first matching events by start, with the total number of matches on every row."""
-    limit = strict_limit(limit, 1_000, 100)
+    """The matching events by start, the first `limit` if given, with the number of all on every row."""
     matches = matching_events(events, key, query, calendar_ids, since, until, now)
     total = matches.agg(F.count("*").alias("n")).scalar()
-    page = matches.orderBy("start_at", "source_id").limit(limit)
+    page = matches if limit is None else matches.orderBy("start_at", "source_id").limit(limit)
+    returned = F.col("total_matches") if limit is None else F.least(F.col("total_matches"), F.lit(limit))
     return (
         calendar_event_view(page, key, chars=chars)
         .withColumn("total_matches", total)
-        .withColumn("returned", F.least(F.col("total_matches"), F.lit(limit)))
+        .withColumn("returned", returned)
         .orderBy("start_at", "event_id")
     )
 

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import iso_text
+from ..functions.redaction import redact_frame
 from ..operators import search
+from ..operators.filters import clamp_limit
+from ..operators.reading import newest
 from ..session import kept, new_folder
 from ..sources.driver_tables import (
-    messages_from_documents, passages_from_documents, query_vector, table,
+    KEY, messages_from_documents, passages_from_documents, query_vector, table,
 )
 from ..sources.word_index import WordIndex
 from . import sql as q
 from .catalog import query
+from .tools import Toolbox
 
 WORDS = ("eau", "ment")  # used as prefixes
 QUERY = "Eau Mént"
@@ -130,6 +137,41 @@ def scan_substring(spark, sf):
     return found.select("message_id", "conversation_id")
 
 
+@query("validated_query", "SELECT doc_id AS message_id FROM documents WHERE contains(lower(text), 'ion the')")
+def validated_query(spark, sf):
+    """Blanks around a query do not count; an empty or too long one is refused."""
+    for wrong in ("", " \n ", "x" * 501):
+        try:
+            search.scan_messages(messages_from_documents(spark, sf), wrong)
+        except ValueError:
+            continue
+        raise AssertionError(f"a query of {len(wrong)} characters was taken")
+    return search.scan_messages(messages_from_documents(spark, sf), "  Ion THE \n").select("message_id")
+
+
+@query("raw_text_scan", "SELECT doc_id AS message_id, false AS shows_address FROM documents WHERE contains(lower(text), '@mail2.example') ORDER BY doc_id DESC LIMIT 5000")
+def raw_text_scan(spark, sf):
+    """An address is found in the texts as stored, and is not in what is shown."""
+    stored = messages_from_documents(spark, sf).withColumns(
+        {c: F.lit(None).cast("string") for c in ("speaker", "sender_name", "service", "subject")}
+    ).withColumn("is_reply", F.lit(False))
+    tools = Toolbox(KEY, messages=redact_frame(stored), raw_messages=stored)
+    shown = tools.search_messages("@mail2.example", limit=5_000).shown["messages"]
+    return shown.select("message_id", F.coalesce(F.col("text").contains("@mail2"), F.lit(False)).alias("shows_address"))
+
+
+@query("clamped_pages", """WITH m AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id DESC) AS place FROM documents)
+  SELECT asked, doc_id AS message_id FROM m, (VALUES (0, 1), (-1, 100), (20000, 10000)) AS sizes(asked, size) WHERE place <= size""")
+def clamped_pages(spark, sf):
+    """What pages of 0, of no given size (-1) and of 20 000 rows hold where 1 to 10 000 are allowed."""
+    messages = messages_from_documents(spark, sf)
+    pages = [
+        newest(messages, clamp_limit(None if asked < 0 else asked, 1, 10_000, 100)).select(F.lit(asked).alias("asked"), "message_id")
+        for asked in (0, -1, 20_000)
+    ]
+    return reduce(DataFrame.unionAll, pages)
+
+
 SIMILAR = """near_passages AS (SELECT p.passage_id, list_cosine_similarity(list_transform(p.embedding, lambda x: x::DOUBLE),
     (SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = 0)) AS similarity, p.*
   FROM passages p WHERE embedding IS NOT NULL)"""

@@ -11,19 +11,29 @@ from pyspark.sql import functions as F
 
 from ..functions.redaction import redact_frame, redaction_summary
 from ..operators import agenda, reading, search, stats, tone
-from ..operators.filters import clamp_limit, filter_messages
+from ..operators.filters import clamp_limit, filter_messages, strict_limit
 
 
 # What a caller of the tools may ask for at once.
 PEOPLE, WORDS = 25, 32
 
 
-def _first_people(filters: dict) -> dict:
+def _few_people(filters: dict) -> dict:
+    """Distinct people; more than a tool takes are refused, as leaving some out would change the answer."""
     if filters.get("person_ids"):
-        filters = {**filters, "person_ids": list(dict.fromkeys(filters["person_ids"]))[:PEOPLE]}
+        filters = {**filters, "person_ids": list(dict.fromkeys(filters["person_ids"]))}
+        if len(filters["person_ids"]) > PEOPLE:
+            raise ValueError(f"name at most {PEOPLE} people at a time")
     return filters
 
 
+def _few_words(query: str) -> list[str]:
+    words = search.query_tokens(query)
+    if len(words) > WORDS:
+        raise ValueError(f"a search takes at most {WORDS} different words")
+    return words
+
+
 @dataclass(frozen=True)
 class Answer:
     """Named frames before redaction; `shown` is what callers get."""
@@ -96,11 +106,9 @@ class Toolbox:
     def search_messages(self, query: str, limit: int | None = None, **filters) -> Answer:
         """Words through the index when there is one, else a scan of the texts as stored."""
         limit = clamp_limit(limit, 1, 5_000, 50)
-        filters = _first_people(filters)
-        if self.message_index is not None and search.query_tokens(query):
-            found = search.search_messages(
-                self.messages, self.message_index[0], query, limit, WORDS, **filters
-            )
+        filters = _few_people(filters)
+        if self.message_index is not None and _few_words(query):
+            found = search.search_messages(self.messages, self.message_index[0], query, limit, **filters)
         else:
             stored = self.messages if self.raw_messages is None else self.raw_messages
             found = search.scan_messages(stored, query, limit, **filters)
@@ -111,7 +119,7 @@ class Toolbox:
         limit = clamp_limit(limit, 1, 200, 30)
         rows = search.search_context(
             self.passages, *self.passage_index, query, vector, limit,
-            pool=min(800, 5 * limit), **_first_people(filters),
+            pool=min(800, 5 * limit), **_few_people(filters),
         )
         coverage = search.search_coverage(self.passages)
         answer = {
@@ -123,7 +131,7 @@ class Toolbox:
         return Answer(answer)
 
     def tone_analysis(self, bucket: str = "month", **filters) -> Answer:
-        filters = _first_people(filters)
+        filters = _few_people(filters)
         if filters.get("person_ids"):
             filters["people"] = self.messages.groupBy("conversation_id").agg(
                 F.first("person_ids", ignorenulls=True).alias("person_ids")
@@ -158,7 +166,8 @@ class Toolbox:
         return Answer({"calendars": stats.public_times(rows, "first_start", "last_end")})
 
     def search_calendar_events(self, query: str | None = None, **options) -> Answer:
-        options = {"chars": agenda.PREVIEW_CHARS, **options}
+        limit = strict_limit(options.pop("limit", None), 1_000, 100)
+        options = {"chars": agenda.PREVIEW_CHARS, "limit": limit, **options}
         rows = agenda.search_calendar_events(self.events, self.key, query, **options)
         return Answer({"events": stats.public_times(rows, "start_at", "end_at")})
 

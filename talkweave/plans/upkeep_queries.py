@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -59,6 +60,14 @@ def calendar_search_by_calendar(spark, sf):
     return rows.select("event_id", "title")
 
 
+@query("calendar_default_period", C + f"""SELECT {EVENT_ID} AS event_id, title, count(*) OVER () AS total_matches, count(*) OVER () AS returned
+  FROM cal WHERE end_at >= TIMESTAMP '2024-01-10' AND start_at < TIMESTAMP '2025-01-10'""")
+def calendar_default_period(spark, sf):
+    """Without a condition: the year that starts on the day of `now`, and all its events."""
+    rows = agenda.search_calendar_events(calendar_from_events(spark, sf), KEY, now=datetime(2024, 1, 10, 15, 30))
+    return rows.select("event_id", "title", "total_matches", "returned")
+
+
 @query("calendar_event_view", C + f"SELECT {VIEW}, notes FROM cal")
 def calendar_event_view(spark, sf):
     rows = agenda.calendar_event_view(calendar_from_events(spark, sf), KEY, full=True)
@@ -198,13 +207,22 @@ def replaced_conversations(spark, sf):
     return result.select("conversation_id", "event_id", "version")
 
 
-@query("written_index", _passages_sql("event_messages") + SHOWN + " WHERE start_at >= TIMESTAMP '2024-01-10'")
+@query("written_index", _passages_sql("event_messages") + SHOWN)
 def written_index(spark, sf):
-    """The passage index written with its layout, then read by date."""
+    """The passage index written with its layout, then read whole."""
+    return _shown(_written(spark, sf))
+
+
+@query("written_index_since", _passages_sql("event_messages") + SHOWN + " WHERE start_at >= TIMESTAMP '2024-01-10'")
+def written_index_since(spark, sf):
+    """The same, of which only the folders of some dates are read."""
+    return _shown(in_period(_written(spark, sf), "start_at", since="2024-01-10T00:00:00Z"))
+
+
+def _written(spark, sf):
     path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     tables.write_index(build_passages(messages_from_events(spark, sf)), path)
-    stored = spark.read.parquet(path)
-    return _shown(in_period(stored, "start_at", since="2024-01-10T00:00:00Z"))
+    return spark.read.parquet(path)
 
 
 # --- streams ----------------------------------------------------------------
@@ -223,15 +241,18 @@ def _as_messages(stream):
     )
 
 
-def _late_stream(spark, sf):
-    """The events in five files, one a batch; every file has ids below those already seen."""
+def _late_batches(spark, sf):
+    """The events in five parts, each with ids below those already seen.
+
+    A part is written, with as many files as it has tasks, and then a stream over all that is
+    there is started on the same checkpoint, which reads what is new.
+    """
     rows = table(spark, sf, "events")
     folder = _sink(spark, "events")
     part = F.when(F.col("event_id") % 50 == 7, 4).otherwise(F.pmod(F.floor(F.col("event_id") / 64), F.lit(4)))
     for place in range(5):
-        rows.where(part == place).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return _as_messages(stream)
+        rows.where(part == place).write.mode("append").parquet(folder)
+        yield _as_messages(spark.readStream.schema(rows.schema).parquet(folder))
 
 
 def _sink(spark, name):
@@ -241,7 +262,8 @@ def _sink(spark, name):
 @query("streamed_index", q.with_(q.EVENT_MESSAGES) + "SELECT conversation_id, message_id, direction, text FROM event_messages")
 def streamed_index(spark, sf):
     sink = _sink(spark, "stream-index")
-    inc.stream_index(_late_stream(spark, sf), sink, f"{sink}/checkpoint").awaitTermination()
+    for stream in _late_batches(spark, sf):
+        inc.stream_index(stream, sink, f"{sink}/checkpoint").awaitTermination()
     return inc.read_messages(spark, sink).select("conversation_id", "message_id", "direction", "text")
 
 
@@ -258,19 +280,19 @@ def streamed_passages(spark, sf):
 def streamed_passages_late(spark, sf):
     """Five batches with late rows end in the same passages."""
     sink = _sink(spark, "stream-late")
-    inc.stream_rebuild(
-        _late_stream(spark, sf), sink, f"{sink}/checkpoint", build_passages
-    ).awaitTermination()
+    for stream in _late_batches(spark, sf):
+        inc.stream_rebuild(stream, sink, f"{sink}/checkpoint", build_passages).awaitTermination()
     return _shown(inc.read_current(spark, sink))
 
 
 @query("streamed_scores", q.with_(q.EVENT_MESSAGES, q.scored("s", "event_messages")) + "SELECT message_id, round(positive, 4) AS positive FROM s")
 def streamed_scores(spark, sf):
     sink = _sink(spark, "stream-enrich")
-    inc.stream_enrich(
-        _late_stream(spark, sf), f"{sink}/scores", f"{sink}/checkpoint",
-        ["conversation_id", "message_id"], lambda df: tone.score_tone(df, counting_scorer),
-    ).awaitTermination()
+    for stream in _late_batches(spark, sf):
+        inc.stream_enrich(
+            stream, f"{sink}/scores", f"{sink}/checkpoint",
+            ["conversation_id", "message_id"], lambda df: tone.score_tone(df, counting_scorer),
+        ).awaitTermination()
     scores = spark.read.option("basePath", f"{sink}/scores").parquet(f"{sink}/scores")
     return scores.select("message_id", F.round("positive", 4).alias("positive"))
 
