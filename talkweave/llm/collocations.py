@@ -211,9 +211,9 @@ def phrases(
         F.least("s1", "s2").alias("score"),
     )
     best = Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    found = two.unionByName(three).withColumn("rank", F.row_number().over(best).cast("long"))
+    found = two.unionByName(three).withColumn("rank", F.row_number().over(best))
     if top is not None:
         found = found.where(F.col("rank") <= top)
     return found.join(sizes, "grp").select(
-        F.col("grp").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score"
+        F.col("grp").alias("lang"), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )

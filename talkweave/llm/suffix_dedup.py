@@ -418,7 +418,8 @@ def suffix_dedup(
     dealt = listed.withColumn("target", target).repartition("target").drop("target").sortWithinPartitions("key")
     again = cut_lineage(dealt.mapInArrow(_repeated, "key long, d long, tag long, at long"))
     packed = rows.mapInArrow(_compress, f"d long, tag long, doc_id {id_type}, z binary")
-    by_doc = again.groupBy("d", "tag").agg(F.collect_list(F.struct("key", "at")).alias("found"))
+    # Sets: rows that repeat id and text list the same segments, and each of them is given the list.
+    by_doc = again.groupBy("d", "tag").agg(F.collect_set(F.struct("key", "at")).alias("found"))
     pieces = packed.select("d", "tag", "z").join(by_doc, ["d", "tag"]).select("d", "tag", "z", "found")
     cut = cut_lineage(pieces.mapInArrow(_cut(length), "key long, segment binary, d long, tag long, at long"))
     sizes = cut.groupBy("key").agg(F.sum(F.octet_length("segment")).alias("bytes"))
@@ -430,8 +431,8 @@ def suffix_dedup(
     ones = strings.groupBy("digest").agg(F.min(F.struct("d", "tag", "start")).alias("f")).select(
         "f.*", F.lit(1).cast("long").alias("run")
     )
-    new_by_doc = new.unionByName(ones).groupBy("d", "tag").agg(F.collect_list(F.struct("start", "run")).alias("new"))
-    at_by_doc = again.groupBy("d", "tag").agg(F.collect_list("at").alias("listed"))
+    new_by_doc = new.unionByName(ones).groupBy("d", "tag").agg(F.collect_set(F.struct("start", "run")).alias("new"))
+    at_by_doc = again.groupBy("d", "tag").agg(F.collect_set("at").alias("listed"))
     marks = cut_lineage(at_by_doc.join(new_by_doc, ["d", "tag"], "left"))
     whole = packed.join(marks, ["d", "tag"], "left").select("doc_id", "z", "listed", "new")
     spans = "array<struct<start:bigint,length:bigint>>"

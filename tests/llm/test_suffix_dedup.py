@@ -133,3 +133,17 @@ def test_many_texts_under_one_id(spark, hot):
     left = sorted((n, kept, spans) for n, kept, spans in want.values())
     got = D.suffix_dedup(docs, length=30, kmer=8, chunk=5000, hot=hot).collect()
     assert sorted((r.n_bytes, bytes(r.kept), [(s.start, s.length) for s in r.spans]) for r in got) == left
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 300])
+def test_many_rows_of_one_id_and_one_text(spark, hot):
+    """They are one document: none loses what only the others hold."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh") for _ in range(300))
+    rows = [(7, text), (None, text[:150] + "!")] * 150 + [(8, "x" + text), (9, text[50:100] + "?")]
+    want = plain([(-1, text[:150] + "!"), (7, text), (8, "x" + text), (9, text[50:100] + "?")], 30)
+    docs = spark.createDataFrame([(i, t, None, 1, "k") for i, t in rows], SCHEMA)
+    got = D.suffix_dedup(docs, length=30, kmer=8, chunk=5000, hot=hot).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_bytes, bytes(r.kept), [(s.start, s.length) for s in r.spans]) == want[-1 if r.doc_id is None else r.doc_id]
