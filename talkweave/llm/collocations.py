@@ -29,6 +29,7 @@ MIN_COUNT = 10
 TOP = 2000
 COVERED = 50  # hundredths of a phrase's occurrences inside a longer one that drop it
 SCALE = 1_000_000
+SALTS = 64  # parts of a language whose best phrases meet
 TILE = 512  # numbers on a side of a tile
 HEAD = 64  # tiles on a side among which dense ones are looked for
 DENSE = 8  # a tile is dense from TILE * TILE / DENSE pairs
@@ -210,10 +211,12 @@ def phrases(
         F.when(cut, F.col("rest_f")).otherwise(F.col("f3")).alias("r"),
         F.least("s1", "s2").alias("score"),
     )
-    best = Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    found = two.unionByName(three).withColumn("rank", F.row_number().over(best))
-    if top is not None:
-        found = found.where(F.col("rank") <= top)
+    found = two.unionByName(three)
+    # First inside parts of a language, so that no task sorts all phrases of a common one.
+    for group in ((["grp", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))], ["grp"]) if top is not None else (["grp"],)):
+        best = Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        found = found.withColumn("rank", F.row_number().over(best))
+        found = found if top is None else found.where(F.col("rank") <= top)
     return found.join(sizes, "grp").select(
         F.col("grp").alias("lang"), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
