@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import iso_argument
 from ..functions.identity import CALENDAR_ID_CHARS, opaque_id
-from .filters import any_contains, overlaps_period
+from .filters import any_contains, overlaps_period, strict_limit
 
 # Defaults and limits of the calendar views.
 SEARCHED = ["title", "calendar", "location", "notes"]
@@ -103,6 +103,7 @@ def search_calendar_events(
     until=None, limit: int | None = None, now: datetime | None = None, chars: int | None = None,
 ) -> DataFrame:
     """The matching events by start, the first `limit` if given, with the number of all on every row."""
+    limit = None if limit is None else strict_limit(limit, 1_000, 100)
     matches = matching_events(events, key, query, calendar_ids, since, until, now)
     total = matches.agg(F.count("*").alias("n")).scalar()
     page = matches if limit is None else matches.orderBy("start_at", "source_id").limit(limit)
