@@ -6,11 +6,12 @@ the geometric mean of their own counts. A bounded number of labelled texts of ev
 language is drawn for training, some of them are landmarks; the Nyström map
 turns kernel values with the landmarks into coordinates, and a kernel ridge
 regression in these coordinates is solved for every language against the rest.
-Both maps fold into one matrix, so a batch of texts is scored by two products:
-presences with landmarks, kernel values with coefficients.
+All maps fold into one matrix of slots and languages, so a batch of texts is scored
+by one product with its presences.
 
-The sample of at most `per_language` texts of each of MAX_LANGUAGES languages is all
-that the driver sees, as sets of hashed n-grams.
+The sample is all that the driver sees, as sets of hashed n-grams: `per_language`
+texts of each language, or as many fewer as make SAMPLES of all languages (one of
+each at least); the landmarks are bounded by MARKS in the same way.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import fresh
 
 ORDERS = 3
 BITS = 16
 PER_LANGUAGE = 256  # labelled texts of a language that are used for training
-MAX_LANGUAGES = 1024  # that are learned; the first by code point
 LANDMARKS = 32  # of them, landmarks
+SAMPLES = 16_384  # labelled texts of all languages
+MARKS = 1_024  # landmarks of all languages
 RIDGE = 0.1
 SALTS = 16  # parts of a language that are cut to the sample's size before they meet
 ROWS = 64  # texts scored at once
@@ -87,16 +90,13 @@ def presences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     languages: list[str]  # by code point
     slots: np.ndarray  # that a landmark has
-    landmarks: np.ndarray  # slots x landmarks, 0 or 1
-    scale: np.ndarray  # 1 / sqrt of a landmark's own count
-    weights: np.ndarray  # landmarks x languages
+    weights: np.ndarray  # slots x languages: presences in landmarks, scaled, times coefficients
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The best language's place (-1: no letter) and its score, 0 to 1."""
         rows, known = presences(texts)
         own = np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.int64), 1)).astype(np.float64)
-        kernel = (rows[:, self.slots].astype(np.float32) @ self.landmarks).astype(np.float64)
-        values = (kernel * self.scale / own[:, None]) @ self.weights
+        values = (rows[:, self.slots].astype(np.float64) @ self.weights) / own[:, None]
         best = values.argmax(axis=1) if values.shape[1] else np.full(len(texts), -1)
         top = values.max(axis=1, initial=0.0).clip(0.0, 1.0)
         return np.where(known, best, -1), np.where(known & (best >= 0), top, 0.0)
@@ -106,12 +106,15 @@ def fit(samples: list[tuple[str, list[int]]], landmarks: int = LANDMARKS, ridge:
     """Kernel ridge regression of each language against the rest, in Nyström coordinates.
 
     samples: language and slots of each text, in a fixed order. The first
-    `landmarks` of every language are landmarks; languages weigh the same.
+    `landmarks` of every language are landmarks, MARKS at most of all languages (or
+    one of each); languages weigh the same.
     """
     languages = sorted({lang for lang, _ in samples})
     if not samples:
-        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
-    labels = np.array([languages.index(lang) for lang, _ in samples])
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0)))
+    landmarks = max(1, min(landmarks, MARKS // len(languages)))
+    place = {lang: k for k, lang in enumerate(languages)}
+    labels = np.array([place[lang] for lang, _ in samples])
     chosen = np.concatenate([np.flatnonzero(labels == k)[:landmarks] for k in range(len(languages))])
     slots = np.unique(np.concatenate([np.asarray(samples[i][1], np.int64) for i in chosen]))
     sizes = np.array([max(1, len(s)) for _, s in samples], np.float64)
@@ -139,7 +142,7 @@ def fit(samples: list[tuple[str, list[int]]], landmarks: int = LANDMARKS, ridge:
     gram = (coordinates * weigh[:, None]).T @ coordinates
     level = ridge * np.trace(gram) / len(gram)
     solved = np.linalg.solve(gram + level * np.eye(len(gram)), (coordinates * weigh[:, None]).T @ target)
-    return Model(languages, slots, np.ascontiguousarray(marks.T), scale, to_coordinates @ solved)
+    return Model(languages, slots, marks.T.astype(np.float64) @ (scale[:, None] * (to_coordinates @ solved)))
 
 
 def held_out(identifier: Column) -> Column:
@@ -148,12 +151,12 @@ def held_out(identifier: Column) -> Column:
 
 def _slot_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(texts), ROWS):
-            rows, known = presences(texts[at : at + ROWS])
-            sets = [np.flatnonzero(r).astype(np.int32) for r, k in zip(rows, known, strict=True) if k]
-            mine = [x for x, k in zip(langs[at : at + ROWS], known, strict=True) if k]
-            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.string()), pa.array(sets, pa.list_(pa.int32()))], names=["lang", "slots"])
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            rows, known = presences(part.column(1).to_pylist())
+            sets = pa.array([np.flatnonzero(r).astype(np.int32) for r in rows], pa.list_(pa.int32()))
+            made = pa.RecordBatch.from_arrays([part.column(0), sets, part.column(2)], names=["lang", "slots", "rows"])
+            yield made.filter(pa.array(known))
 
 
 def train(
@@ -165,24 +168,31 @@ def train(
     landmarks: int = LANDMARKS,
     ridge: float = RIDGE,
 ) -> Model:
-    """A model of texts and languages that are not held out: `per_language` of each language, chosen by hash."""
+    """A model of texts and languages that are not held out.
+
+    Of each language `per_language` rows are drawn by a hash of id and text, exactly,
+    whatever repeats: equal rows count as often as they stand there. With more than
+    SAMPLES / per_language languages, each gets SAMPLES / languages rows, one at least.
+    """
     ident = F.col(id_col)
     drawn = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & ~held_out(ident)).select(
         F.col(lang_col).cast("string").alias("lang"),
-        F.xxhash64(ident.cast("string"), F.lit("train")).alias("draw"),
-        ident.alias("id"),
+        F.xxhash64(ident.cast("string"), F.col(text_col), F.lit("train")).alias("draw"),
         F.col(text_col).alias("text"),
     )
     # Spark keeps the first rows of each task before it shuffles, so a common language moves no more than a rare one.
-    first = drawn.select("lang", "draw", "id", F.pmod("draw", F.lit(SALTS)).alias("salt"))
+    first = drawn.select("lang", "draw", F.pmod("draw", F.lit(SALTS)).alias("salt"))
     for group in (("lang", "salt"), ("lang",)):
-        place = F.row_number().over(Window.partitionBy(*group).orderBy("draw", "id"))
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("draw"))
         first = first.withColumn("n", place).where(F.col("n") <= per_language)
-    limit = first.groupBy("lang").agg(F.max(F.struct("draw", "id")).alias("last"))
-    limit = limit.orderBy("lang").limit(MAX_LANGUAGES)
-    some = drawn.join(F.broadcast(limit), "lang").where(F.struct("draw", "id") <= F.col("last"))
-    sets = some.select("lang", "text").mapInArrow(_slot_sets, "lang string, slots array<int>")
-    samples = sorted((r.lang, list(r.slots)) for r in sets.collect())
+    # The draws that are in, with the place of the first and how many rows have it.
+    wanted = cut_lineage(first.groupBy("lang", "draw").agg(F.min("n").alias("at"), F.count("*").alias("rows")))
+    languages = wanted.select("lang").distinct().count()
+    share = max(1, min(per_language, SAMPLES // max(1, languages)))
+    wanted = wanted.where(F.col("at") <= share).withColumn("rows", F.least("rows", F.lit(share) - F.col("at") + 1))
+    some = drawn.join(wanted, ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"), F.first("rows").alias("rows"))
+    sets = some.select("lang", "text", "rows").mapInArrow(_slot_sets, "lang string, slots array<int>, rows long")
+    samples = sorted((r.lang, list(r.slots)) for r in sets.collect() for _ in range(r.rows))
     order = np.random.default_rng(0).permutation(len(samples))
     return fit([samples[i] for i in order], landmarks, ridge)
 
@@ -211,7 +221,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Defined cases: a null text or one without a letter is `und` with score 0 and
     is never learned from; null languages are not learned; equal scores go to the
     language that is first by code point; without labelled rows all is `und`; rows
-    that repeat an id are judged one by one; a null id is not held out; an empty table
+    that repeat an id are judged one by one; a null id is not held out and is learned from; an empty table
     gives no rows; other columns are not read.
     """
     model = train(docs, id_col, text_col, lang_col, **options)

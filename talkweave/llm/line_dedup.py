@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import fresh
 
 RATIO = 0.05
@@ -62,7 +63,8 @@ def line_dedup(
     empty table gives no rows; all other columns are passed through.
     """
     host, found = fresh(docs, "llm_host"), fresh(docs, "llm_lines")
-    sets = boilerplate(docs, text_col, host_col, ratio, min_pages).toDF(host, found)
+    # Written, so that Spark broadcasts them by their measured size and texts stay where they are.
+    sets = cut_lineage(boilerplate(docs, text_col, host_col, ratio, min_pages).toDF(host, found))
     joined = docs.join(sets, docs[host_col].eqNullSafe(sets[host]), "left")
     lines = _lines(F.col(text_col))
     kept = F.when(F.col(found).isNull(), lines).otherwise(

@@ -16,7 +16,7 @@ two parts. Components follow by alternating star contraction.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +76,13 @@ def band_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """Row b holds bit b of every fingerprint, 64 of them to a word, one spare word at the end."""
+    """Row b holds bit b of every fingerprint, 64 of them to a word, one spare word at the end.
+
+    A fingerprint is a word of 64 bits, or a row of such words.
+    """
     n = len(fps)
-    bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
-    padded = np.zeros((64, (n + 63) // 64 * 64 + 64), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
+    padded = np.zeros((len(bits), (n + 63) // 64 * 64 + 64), np.uint8)
     padded[:, :n] = bits
     return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
@@ -92,7 +95,7 @@ def close_at_shift(planes: np.ndarray, shift: int, valid: np.ndarray, radius: in
     low, high = np.uint64(bits), np.uint64(64 - bits)
     counters = [np.zeros(width, np.uint64) for _ in range((radius + 1).bit_length())]
     over = np.zeros(width, np.uint64)
-    for start in range(0, 64, 8):
+    for start in range(0, len(planes), 8):
         for b in range(start, start + 8):
             moved = planes[b, words : words + width]
             if bits:
@@ -124,7 +127,12 @@ def _root(parent: np.ndarray, i: int) -> int:
 
 
 def forest(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that span the close pairs of different sides inside the runs of `bucket`.
+    """Edges between fingerprints of one word each, see `spanning`."""
+    return [(int(fps[a]), int(fps[b])) for a, b in spanning(fps, bucket, side, radius)]
+
+
+def spanning(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Places of edges that span the close pairs of different sides inside the runs of `bucket`.
 
     Pairs that are connected already are not compared again.
     """
@@ -151,31 +159,34 @@ def forest(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int) -
             x, y = _root(parent, a), _root(parent, b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                edges.append((int(fps[a]), int(fps[b])))
+                edges.append((a, b))
         while len(hits) and (parent != (up := parent[parent])).any():
             parent = up
     return edges
 
 
-def _links(radius: int, flush: int = 1 << 16):
-    """Batches sorted by (band, key, i, j) -> edges. Only whole runs are compared, the last waits for its end."""
+Found = tuple[np.ndarray, np.ndarray]
+
+
+def by_meeting(solve: Callable[[pa.Table, np.ndarray, np.ndarray], Found], flush: int = 1 << 16):
+    """Batches sorted by (band, key, i, j) -> edges. Only whole runs are compared, the last waits for its end.
+
+    solve: rows, the run of each, its side -> both ends of each edge.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
 
         def edges(held: pa.Table) -> pa.RecordBatch:
-            names = ("band", "key", "i", "j")
-            cols = [held[c].to_numpy() for c in names]
+            cols = [held[c].to_numpy() for c in ("band", "key", "i", "j")]
             new = np.zeros(held.num_rows, bool)
             new[:1] = True
             for c in cols:
                 new[1:] |= c[1:] != c[:-1]
-            fps = held["fp"].to_numpy().astype(np.int64).view(np.uint64)
             mine = held["part"].to_numpy()
             # Only pairs of different parts in a meeting of two; all pairs in a part's own meeting.
             side = np.where(cols[2] == cols[3], np.arange(held.num_rows), -1 - mine.astype(np.int64))
-            found = np.array(forest(fps, np.cumsum(new), side, radius), np.uint64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, k].copy().view(np.int64)) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in solve(held, np.cumsum(new), side)], names=["a", "b"])
 
         for batch in batches:
             waiting.append(batch)
@@ -196,23 +207,36 @@ def _links(radius: int, flush: int = 1 << 16):
     return run
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
-    """fp (distinct) -> a, b: enough close pairs to connect whatever is connected."""
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in band_masks(radius, blocks)])
-    banded = distinct.select("fp", F.posexplode(masks).alias("band", "mask")).select(
-        "fp", "band", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
-    )
+def _links(radius: int):
+    def solve(held: pa.Table, run: np.ndarray, side: np.ndarray) -> Found:
+        fps = held["fp"].to_numpy().astype(np.int64).view(np.uint64)
+        found = np.array(forest(fps, run, side, radius), np.uint64).reshape(-1, 2)
+        return found[:, 0].copy().view(np.int64), found[:, 1].copy().view(np.int64)
+
+    return by_meeting(solve)
+
+
+def meetings(banded: DataFrame, node: str, part: int, *more: str) -> DataFrame:
+    """band, key, node -> rows of buckets with two nodes at least, sorted by band, key and the parts (i, j) that meet."""
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / part).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64(node), F.col("parts")).cast("int")
     met = banded.join(sizes, ["band", "key"]).withColumn("parts", parts).withColumn("part", own)
     # Part p meets itself and every other part: (p, p), (p, q) for q > p, (q, p) for q < p.
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    met = met.select("band", "key", "fp", "part", other).select(
-        "band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp"
+    met = met.select("band", "key", node, *more, "part", other).select(
+        "band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", node, *more
     )
-    sorted_ = met.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return sorted_.mapInArrow(_links(radius), "a long, b long").where("a <> b").distinct()
+    return met.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+
+
+def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
+    """fp (distinct) -> a, b: enough close pairs to connect whatever is connected."""
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in band_masks(radius, blocks)])
+    banded = distinct.select("fp", F.posexplode(masks).alias("band", "mask")).select(
+        "fp", "band", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+    )
+    return meetings(banded, "fp", part).mapInArrow(_links(radius), "a long, b long").where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,21 +295,3 @@ def simhash_dedup(
     return marked.join(where, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Documents without near copies: one row of each component stays, all columns as they were.
-
-    It is the row with the smallest id, null after all others; of rows that share
-    that id, the one with the smallest hash of the row, and of equal rows any.
-    """
-    who = fresh(docs, "llm_row")
-    # Written, so that a row has the same number whenever it is read.
-    rows = cut_lineage(docs.withColumn(who, F.monotonically_increasing_id()))
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    rank = F.struct(
-        F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("hash"), F.col(who).alias("row")
-    )
-    found = simhash_dedup(rows.select(rank.alias("rank"), F.col(text_col).alias("text")), "rank", "text", **options)
-    first = found.select(F.col("component_id.row").alias(who)).distinct()
-    return rows.join(first, who, "left_semi").select(*[f"`{c}`" for c in docs.columns])

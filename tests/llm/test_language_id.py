@@ -88,3 +88,40 @@ def test_held_out_accuracy(spark):
     got = L.identify_languages(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     right = got.where("lang = lang_pred").count() / got.count()
     assert right > 0.97
+
+
+def test_sample_has_its_size_whatever_repeats(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda samples, *_: seen.append(samples))
+    rows = [(None, f"{t} {k}", "aa", None, 1) for k, (_, t, *_) in enumerate(made(500))]  # null ids, all texts differ
+    rows += [(6, "the same row", "bb", None, 1)] * 400 + [(0, "another row", "bb", None, 1)]
+    L.train(spark.createDataFrame(rows, SCHEMA).repartition(7), per_language=60)
+    sizes = {k: sum(1 for lang, _ in seen[-1] if lang == k) for k in ("aa", "bb")}
+    assert sizes == {"aa": 60, "bb": 60}
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLES", 400)
+    monkeypatch.setattr(L, "MARKS", 400)
+    names = [chr(0x4E00 + k) for k in range(100)]
+    rows = [(i, f"{n * 3} {n}{names[i % 7]}", n, None, 1) for i, n in enumerate(names * 8)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = L.train(docs)
+    assert model.languages == sorted(names) and model.weights.shape[1] == 100
+    got = L.predict(docs, model, ["lang"]).toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.9
+
+
+def test_query_against_plain_prediction(spark):
+    """Kernel values with every landmark, one by one, times coefficients solved without Nyström."""
+    docs = made(48) + [(1000 + i, t, None, None, None) for i, (_, t, *_) in enumerate(made(24, seed=9))]
+    got = {r.doc_id: r for r in L.identify_languages(spark.createDataFrame(docs, SCHEMA), ridge=1e-9).collect()}
+    learned = [(t, k) for i, t, k, *_ in docs if k and zlib.crc32(str(i).encode()) % 4 != 2]
+    names = sorted({k for _, k in learned})
+    kernel = np.array([[plain_kernel(a, b) for b, _ in learned] for a, _ in learned])
+    target = np.array([[k == n for n in names] for _, k in learned], float)
+    weights = np.linalg.lstsq(kernel, target, rcond=1e-8)[0]
+    for i, t, *_ in docs:
+        values = np.array([plain_kernel(t, b) for b, _ in learned]) @ weights
+        assert got[i].lang_pred == names[values.argmax()]
+        assert abs(got[i].score - min(1.0, max(0.0, values.max()))) < 1e-3

@@ -1,7 +1,7 @@
 from collections import Counter
 
 from test_line_dedup import plain as plain_lines
-from test_simhash import plain_components, plain_fingerprint
+from test_near_copies import plain_groups
 
 import corpus_pipeline
 from talkweave.llm.language_id import MIN_SCORE, identify_languages
@@ -28,7 +28,7 @@ def test_stages_against_plain_versions(spark, sf, tmp_path):
     assert {r.doc_id: (r.text, r.n_chars) for r in clean} == want and len(clean) == len(want)
 
     rows = sorted(clean, key=lambda r: r.doc_id)
-    roots = plain_components([plain_fingerprint(r.text) for r in rows])
+    roots = plain_groups([r.text for r in rows])
     assert sorted(r.doc_id for r in single) == sorted(rows[i].doc_id for i in set(roots))
 
     plan = mix_sources(outs[3]).collect()

@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import Row
 
-from talkweave.llm.simhash import band_masks, components, fingerprint, forest, keep_one, near_links, simhash_dedup
+from talkweave.llm.near_copies import keep_one
+from talkweave.llm.simhash import band_masks, components, fingerprint, forest, near_links, simhash_dedup
 
 SCHEMA = "doc_id long, text string, component_id string, fp int"
 
