@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from talkweave.llm.language_id import keep_languages
 from talkweave.llm.line_dedup import line_dedup
 from talkweave.llm.mixing import mixed_documents
+from talkweave.llm.near_copies import keep_one
 from talkweave.llm.sentence_piece import encode_documents
-from talkweave.llm.simhash import keep_one
 from talkweave.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,7 +40,7 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
+    """The first document of each group of near copies: 0.8 of their shingles of five words are the same."""
     return keep_one(docs)
 
 
