@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.clock import iso_text
 from ..functions.redaction import redact_frame
 from ..operators import search
-from ..operators.filters import clamp_limit
+from ..operators.filters import clamp_limit, filter_passages
 from ..operators.reading import newest
 from ..session import kept, new_folder
 from ..sources.driver_tables import (
     KEY, messages_from_documents, passages_from_documents, query_vector, table,
 )
+from ..sources.vector_index import VectorIndex
 from ..sources.word_index import WordIndex
 from . import sql as q
 from .catalog import query
@@ -195,6 +196,34 @@ def vector_topk_filtered(spark, sf):
     return rows.withColumn("similarity", F.round("similarity", 6))
 
 
+def _vector_index(spark, sf) -> VectorIndex:
+    """Vectors in three batches, the last of them given twice."""
+
+    def build(folder: str) -> VectorIndex:
+        passages = passages_from_documents(spark, sf)
+        index = VectorIndex(spark, folder).fit(passages, 32)
+        batch = F.pmod(F.xxhash64("passage_id"), F.lit(3))
+        for n in (0, 1, 2, 2):
+            index.add(passages.where(batch == n), n)
+        return index
+
+    return kept(spark, ("vectors", sf), build)
+
+
+@query("vector_topk_pruned", VECTORS + "SELECT passage_id, round(similarity, 6) AS similarity FROM (SELECT * FROM near_passages ORDER BY similarity DESC, passage_id LIMIT 100)")
+def vector_topk_pruned(spark, sf):
+    rows = _vector_index(spark, sf).topk(query_vector(spark, sf), 100)
+    return rows.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("vector_topk_pruned_filtered", VECTORS + """SELECT passage_id, round(similarity, 6) AS similarity FROM (SELECT * FROM near_passages
+  WHERE lang = 'en' AND direction = 'to_me' AND end_at >= TIMESTAMP '2024-01-05' ORDER BY similarity DESC, passage_id LIMIT 50)""")
+def vector_topk_pruned_filtered(spark, sf):
+    allowed = filter_passages(passages_from_documents(spark, sf), person_ids=["en"], direction="to_me", since="2024-01-05T00:00:00Z")
+    rows = _vector_index(spark, sf).topk(query_vector(spark, sf), 50, allowed)
+    return rows.withColumn("similarity", F.round("similarity", 6))
+
+
 def _fused(allowed: str, limit: int) -> str:
     pool = min(800, 5 * limit)
     return f"""sem AS (SELECT passage_id, similarity FROM near_passages {allowed} ORDER BY similarity DESC, passage_id LIMIT {pool}),
