@@ -1,7 +1,7 @@
 """Mix sources to target weights with Efraimidis-Spirakis keys.
 
 A document of quality w draws the exponential key -ln(u) / w, u by hash of its
-id, and a source is read in the order of its keys. Targets are water-filled:
+id, its text and its number among equal rows, and a source is read in the order of its keys. Targets are water-filled:
 shares by weight, none above `max_epochs` times its source. Complete epochs come
 first; the rest of a target is a run of smallest keys. Keys are dealt into `buckets` ranges that hold equal parts of the
 exponential law, sizes are summed by range before anything moves, and only the
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import count_words, fresh, unit
+from .common import count_words, unit
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -32,7 +32,7 @@ SALTS = 64
 
 def text_quality(text: Column) -> Column:
     """0.25 to 1, by the share of a text's characters that are letters."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    letters = F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))
     share = F.coalesce(letters / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
     return F.lit(0.25) + F.lit(0.75) * share
 
@@ -146,6 +146,55 @@ def _in_run(bucket: Column, key: Column, identifier: Column) -> Column:
     )
 
 
+def _stored(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None, *more: Column) -> DataFrame:
+    """What the draw needs of each row, written once, so a row keeps its place in later jobs."""
+    quality = text_quality(F.col(text_col)) if quality is None else quality
+    return cut_lineage(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            count_words(F.col(text_col)).alias("size"),
+            quality.alias("quality"),
+            F.xxhash64(F.col(text_col)).alias("print"),
+            F.monotonically_increasing_id().alias("place"),
+            *more,
+        )
+    )
+
+
+def _numbers(stored: DataFrame) -> DataFrame:
+    """place, nth: rows with equals, numbered among them.
+
+    Equal rows are counted by the part of the table that holds them and numbered
+    inside it, so a row that makes up a third of the table is no hot task.
+    """
+    part = F.shiftright("place", 33).alias("part")
+    same = ["doc_id", "source", "print"]
+    counts = stored.groupBy(*same, part).agg(F.count("*").alias("n"))
+    alike = Window.partitionBy(*same)
+    before = F.sum("n").over(alike.orderBy("part")) - F.col("n")
+    several = counts.select("*", before.alias("before"), F.sum("n").over(alike).alias("rows")).where("rows > 1")
+    several = cut_lineage(several.select(*[F.col(c).alias(f"of_{c}") for c in (*same, "part")], "before"))
+    rows = stored.select(*same, part, "place")
+    met = [rows[c].eqNullSafe(several[f"of_{c}"]) for c in same]
+    nth = F.row_number().over(Window.partitionBy(*same, "part").orderBy("place"))
+    numbered = rows.join(several, [*met, rows["part"] == several["of_part"]])
+    return cut_lineage(numbered.select("place", (F.col("before") + nth).alias("nth")))
+
+
+def _copies(stored: DataFrame, weights, share: float, max_epochs: int, seed: int, buckets: int) -> DataFrame:
+    """The stored rows with source_size, target and the number of times that the mix takes each."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    drawn = F.concat_ws(" ", name, F.col("print").cast("string"), F.coalesce("nth", F.lit(1)).cast("string"))
+    sized = stored.join(_numbers(stored), "place", "left").withColumn("key", _key(drawn, F.col("quality"), seed))
+    plan = mix_plan(sized.select("doc_id", "source", "size", "key"), weights, share, max_epochs, buckets)
+    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(buckets)).cast("int")
+    closes = (F.col("key") == F.col("closing.key")) & F.col("doc_id").eqNullSafe(F.col("closing.doc_id"))
+    run = _in_run(bucket, F.col("key"), F.col("doc_id"))
+    copies = F.col("epochs") + F.greatest(run, F.coalesce(closes, F.lit(False)).cast("long"))
+    return with_plan(sized, plan).withColumn("copies", copies)
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -161,38 +210,37 @@ def mix_sources(
     """doc_id, size, source_size, target, taken, copies: one row per input row.
 
     Defined cases: a null text has size 0, so nothing is taken from it; a null
-    source is a source and comes last; rows that repeat a document id share a key
-    and are taken together; a null id draws the key of the string `null`; sources
-    without words have target 0; an empty table gives no rows; other columns are
-    not read. Reruns agree: all draws are hashes of ids.
+    source is a source and comes last; rows that repeat a document id, null ids
+    included, draw a key each, by their text and, where that repeats too, by their
+    number among equal rows; sources without words have target 0; an empty table
+    gives no rows; other columns are not read. Reruns agree: all draws are hashes,
+    and equal rows are alike whichever of them has a number.
     """
-    quality = text_quality(F.col(text_col)) if quality is None else quality
-    sized = cut_lineage(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            count_words(F.col(text_col)).alias("size"),
-            _key(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), quality, seed).alias("key"),
-        )
-    )
-    plan = mix_plan(sized, weights, share, max_epochs, buckets)
-    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(buckets)).cast("int")
-    joined = with_plan(sized, plan)
-    closes = (F.col("key") == F.col("closing.key")) & F.col("doc_id").eqNullSafe(F.col("closing.doc_id"))
-    run = _in_run(bucket, F.col("key"), F.col("doc_id"))
-    copies = F.col("epochs") + F.greatest(run, F.coalesce(closes, F.lit(False)).cast("long"))
-    return joined.withColumn("copies", copies).select(
+    rows = _copies(_stored(docs, id_col, text_col, source_col, quality), weights, share, max_epochs, seed, buckets)
+    return rows.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of documents as the mix takes them: left out, once, or once per epoch; same columns."""
-    chosen = mix_sources(docs, id_col, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("n"))
-    who, times, each = fresh(docs, "llm_id"), fresh(docs, "llm_times"), fresh(docs, "llm_each")
-    chosen = chosen.toDF(who, times)
-    return (
-        docs.join(chosen, docs[id_col].eqNullSafe(chosen[who]))
-        .withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
-        .drop(who, times, each)
-    )
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    quality: Column | None = None,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = SEED,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """The rows of documents as the mix takes them: left out, once, or once per epoch; same columns.
+
+    Each row is taken as `mix_sources` says. Whole rows are written beside their
+    draw, so texts meet one row per source and are not exchanged, unless many rows repeat.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    stored = _stored(docs, id_col, text_col, source_col, quality, whole)
+    taken = _copies(stored, weights, share, max_epochs, seed, buckets).where("copies > 0")
+    each = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("each"))
+    return each.select("row.*")

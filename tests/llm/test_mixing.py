@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from talkweave.llm.common import count_words
 from talkweave.llm.mixing import mix_sources, mixed_documents, targets
 
 SCHEMA = "doc_id long, text string, source string, size string, key int, target int"
@@ -76,12 +77,34 @@ def test_keys_follow_the_exponential_race(spark):
     assert 0.5 < even < 0.75  # three to one in the beginning, all in the end
 
 
+def _by_size(docs):
+    return docs.groupBy(F.struct("doc_id", count_words(F.col("text")).alias("size")).alias("doc_id_size")).count()
+
+
+@pytest.mark.parametrize("text", ["the same words in every row", None])
+def test_rows_of_one_id_are_taken_one_by_one(spark, text):
+    """A third of all rows has a null id; their texts are all the same, or all different."""
+    many = [(None, text or f"{'w ' * (i % 40)}text {i}", "a" if i % 2 else "b") for i in range(600)]
+    rows = many + [(i, "w " * (i % 50 + 1), "ab"[i % 2]) for i in range(1200)]
+    frames = [frame_of(spark, rows).repartition(n) for n in (1, 5)]
+    seen = []
+    for frame in frames:
+        got = mix_sources(frame, weights=(3.0, 1.0), share=0.7).cache()
+        for r in got.groupBy("target").agg(F.sum("taken").alias("taken")).collect():
+            assert abs(r.taken - r.target) <= 3
+        assert 0 < got.where("doc_id is null and copies = 0").count() < 600
+        seen.append(sorted(map(str, got.collect())))
+    assert seen[0] == seen[1]
+    out = mixed_documents(frames[0], weights=(3.0, 1.0), share=0.7)
+    assert out.count() == mix_sources(frames[0], weights=(3.0, 1.0), share=0.7).agg(F.sum("copies")).first()[0]
+
+
 def test_mixed_documents_repeat_rows(spark):
     frame = frame_of(spark)
     out = mixed_documents(frame)
     assert out.columns == frame.columns
-    want = {r.doc_id: r.copies for r in mix_sources(frame).collect() if r.doc_id not in (5, 6)}
-    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect() if r.doc_id not in (5, 6)}
-    assert got == {k: v for k, v in want.items() if v}
+    want = {(r.doc_id, r.size): r.n for r in mix_sources(frame).groupBy("doc_id", "size").agg(F.sum("copies").alias("n")).collect()}
+    got = {r.doc_id_size: r["count"] for r in _by_size(out).collect()}
+    assert {tuple(k): v for k, v in got.items()} == {k: v for k, v in want.items() if v}
     empty = frame_of(spark, [])
     assert mix_sources(empty).count() == 0 and mixed_documents(empty).count() == 0
