@@ -228,8 +228,8 @@ def conversation_totals(messages: DataFrame, **filters) -> DataFrame:
     facts = F.array(
         F.struct(
             F.col("message_id").cast("string").alias("what"),
-            (F.col("direction") == "from_me").alias("sent"),
-            (F.col("direction") == "to_me").alias("received"),
+            F.col("direction").eqNullSafe("from_me").alias("sent"),
+            F.col("direction").eqNullSafe("to_me").alias("received"),
             F.col("sent_at").alias("sent_at"),
         ),
         F.struct(

@@ -13,10 +13,11 @@ from ..operators.filters import in_period
 from ..operators.segment import build_passages, number_turns
 from ..operators.stats import public_times
 from ..session import shared_folder
-from ..sources import tables
+from ..sources import buckets, tables
 from ..sources.calendar import dedupe_calendar, load_calendar, write_calendar
 from ..sources.driver_tables import KEY, calendar_from_events, messages_from_events, table, threads_from_conversations
 from ..streaming import incremental as inc
+from ..streaming.totals import read_by_day, read_totals, stream_totals
 from ..streaming.turns import stream_turns
 from . import sql as q
 from .catalog import query
@@ -207,6 +208,36 @@ def replaced_conversations(spark, sf):
     return result.select("conversation_id", "event_id", "version")
 
 
+@query("replaced_in_place", """SELECT CAST(user_id AS VARCHAR) AS conversation_id, event_id,
+  CASE WHEN user_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM events WHERE user_id % 6 <> 3""")
+def replaced_in_place(spark, sf):
+    """The same, on a table that is stored in buckets; half of the changed conversations have no rows any more."""
+    rows = table(spark, sf, "events").selectExpr("CAST(user_id AS STRING) AS conversation_id", "user_id", "event_id")
+    path = _sink(spark, "buckets")
+    stored = rows.select("conversation_id", "event_id", F.lit("old").alias("version"))
+    buckets.write_buckets(stored, path, ["conversation_id"], ("conversation_id", "event_id"))
+    changed = rows.filter("user_id % 3 = 0")
+    rebuilt = changed.filter("user_id % 6 = 0").select("conversation_id", "event_id", F.lit("new").alias("version"))
+    buckets.replace_in_place(spark, path, rebuilt, changed, ("conversation_id", "event_id"))
+    return buckets.read_buckets(spark, path)
+
+
+@query("upserted_in_place", """SELECT o_custkey, max_by(o_orderkey, o_orderdate + to_seconds(o_orderkey)) AS last_order FROM (
+  SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01') GROUP BY 1
+  UNION ALL SELECT o_custkey, min(o_orderkey) FROM orders GROUP BY 1 HAVING max(o_orderdate) < TIMESTAMP '1996-01-01'""")
+def upserted_in_place(spark, sf):
+    orders = table(spark, sf, "orders")
+    path = _sink(spark, "buckets")
+    stored = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("last_order"))
+    buckets.write_buckets(stored, path, ["o_custkey"], ("o_custkey",))
+    batch = orders.filter("o_orderdate >= '1996-01-01'").selectExpr(
+        "o_custkey", "o_orderkey AS last_order",
+        "unix_seconds(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey AS at",
+    )
+    buckets.upsert_in_place(spark, path, batch, ["o_custkey"], "at")
+    return buckets.read_buckets(spark, path)
+
+
 @query("written_index", _passages_sql("event_messages") + SHOWN)
 def written_index(spark, sf):
     """The passage index written with its layout, then read whole."""
@@ -297,6 +328,37 @@ def streamed_scores(spark, sf):
     return scores.select("message_id", F.round("positive", 4).alias("positive"))
 
 
+#: Every tenth message is also in a second conversation.
+SHARED = q.with_(q.EVENT_MESSAGES, """shared AS (SELECT conversation_id, message_id, direction, sent_at FROM event_messages
+  UNION ALL SELECT concat(conversation_id, 'b'), message_id, direction, sent_at FROM event_messages WHERE message_id % 10 = 3)""")
+
+
+def _stream_shared(spark, sf):
+    sink = _sink(spark, "stream-totals")
+    second = F.when(F.col("message_id") % 10 == 3, F.array("conversation_id", F.concat("conversation_id", F.lit("b"))))
+    names = F.explode(F.coalesce(second, F.array("conversation_id")))
+    for stream in _late_batches(spark, sf):
+        stream_totals(stream.withColumn("conversation_id", names), sink, f"{sink}-checkpoint").awaitTermination()
+    return sink
+
+
+@query("maintained_totals", SHARED + f"""SELECT count(DISTINCT message_id) AS messages,
+  count(DISTINCT message_id) FILTER (direction = 'from_me') AS from_me,
+  count(DISTINCT message_id) FILTER (direction = 'to_me') AS to_me,
+  {q.iso('min(sent_at)')} AS first_message_at, {q.iso('max(sent_at)')} AS last_message_at,
+  count(DISTINCT conversation_id) AS conversations FROM shared""")
+def maintained_totals(spark, sf):
+    """Five batches, late rows among them, folded from their summaries."""
+    return public_times(read_totals(spark, _stream_shared(spark, sf)), "first_message_at", "last_message_at")
+
+
+@query("maintained_by_day", SHARED + """SELECT strftime(sent_at, '%Y-%m-%d') AS day, count(DISTINCT message_id) AS messages,
+  count(DISTINCT message_id) FILTER (direction = 'from_me') AS from_me,
+  count(DISTINCT message_id) FILTER (direction = 'to_me') AS to_me FROM shared GROUP BY 1""")
+def maintained_by_day(spark, sf):
+    return read_by_day(spark, _stream_shared(spark, sf))
+
+
 @query("streamed_turns", EVENT_TURNS + TURN_COLUMNS)
 def streamed_turns(spark, sf):
     """The stream is started three times on one checkpoint; some events come a third of the time too late.
