@@ -121,7 +121,8 @@ def mix_plan(
         .agg(F.min(F.struct(off.alias("off"), "key", "doc_id")).alias("closing"))
         .select(F.col("of").alias("who"), "closing")
     )
-    return plan.join(closing, plan["of"].eqNullSafe(closing["who"]), "left").drop("who")
+    # Written, so that its size is known where it meets the rows.
+    return cut_lineage(plan.join(closing, plan["of"].eqNullSafe(closing["who"]), "left").drop("who"))
 
 
 def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
