@@ -20,7 +20,7 @@ index, and readers of an older version are not disturbed.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from ..functions.text import query_tokens, tokens
 from ..session import cut_lineage
 
 WIDTH = 64  # texts of a block, one bit each
+AT_ONCE = 1 << 18  # words that a task counts at once
 PART_BITS, COUNT_BITS = 18, 22  # of a block's number: segment, task, count
 OTHER = 32  # folders of words that begin with neither a-z nor 0-9
 DOCS = "docs"
@@ -61,8 +62,55 @@ def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
+def word_runs(width: int = 1) -> Callable[[np.ndarray], Iterator[tuple[int, int]]]:
+    """Lengths of texts -> runs of AT_ONCE words at most, or of one text; whole blocks of `width` if they hold one.
+
+    What a batch of Arrow holds depends on its texts, what is counted at once does not.
+    """
+    most = AT_ONCE
+
+    def runs(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+        ends, start = np.cumsum(lengths), 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            if stop < len(ends) and stop - start > width:
+                stop -= (stop - start) % width
+            yield start, stop
+            start = stop
+
+    return runs
+
+
 def _blocks(segment: int, ids: list[str]):
     """Texts (ids, words) -> rows of words and blocks."""
+    runs = word_runs(WIDTH)
+
+    def block_rows(batch: pa.RecordBatch, lengths: np.ndarray, base: int) -> pa.RecordBatch:
+        listed = pa.table({"doc": pc.list_parent_indices(batch["words"]).cast(pa.int64()), "token": pc.list_flatten(batch["words"])})
+        counted = listed.group_by(["doc", "token"]).aggregate([([], "count_all")])
+        doc = np.r_[np.arange(len(lengths)), counted["doc"].to_numpy()]
+        tf = np.r_[np.zeros(len(lengths), np.int64), counted["count_all"].to_numpy()]
+        token = pa.concat_arrays([pa.array([""] * len(lengths), pa.string()), counted["token"].combine_chunks().cast(pa.string())])
+        code = token.dictionary_encode()
+        order = np.lexsort((doc, code.indices.to_numpy(), doc // WIDTH))
+        doc, tf, code = doc[order], tf[order], code.take(pa.array(order))
+        key = code.indices.to_numpy()
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] // WIDTH != doc[:-1] // WIDTH)])
+        place, size = doc % WIDTH, lengths[doc]
+        fields = {"place": pa.array(place, pa.int32())}
+        fields |= {c: batch[c].take(pa.array(doc)) for c in ids}
+        fields |= {"tf": pa.array(tf, pa.int32()), "length": pa.array(size, pa.int32())}
+        texts = pa.StructArray.from_arrays(list(fields.values()), list(fields))
+        return pa.RecordBatch.from_pydict({
+            "token": code.take(pa.array(starts)).dictionary_decode(),
+            "block": pa.array(base + doc[starts] // WIDTH, pa.int64()),
+            "bits": pa.array(np.bitwise_or.reduceat(np.uint64(1) << place.astype(np.uint64), starts).view(np.int64)),
+            "most_tf": pa.array(np.maximum.reduceat(tf, starts), pa.int32()),
+            "least_length": pa.array(np.minimum.reduceat(size, starts), pa.int32()),
+            "total_length": pa.array(np.add.reduceat(size, starts), pa.int64()),
+            "texts": pa.ListArray.from_arrays(pa.array(np.r_[starts, len(doc)], pa.int32()), texts),
+        })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (segment << (PART_BITS + COUNT_BITS)) | (TaskContext.get().partitionId() << COUNT_BITS)
@@ -71,32 +119,10 @@ def _blocks(segment: int, ids: list[str]):
                 continue
             lengths = pc.fill_null(pc.list_value_length(batch["words"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(lengths, kind="stable")
-            batch, lengths = batch.take(pa.array(order)), lengths[order]
-            listed = pa.table({"doc": pc.list_parent_indices(batch["words"]).cast(pa.int64()), "token": pc.list_flatten(batch["words"])})
-            counted = listed.group_by(["doc", "token"]).aggregate([([], "count_all")])
-            doc = np.r_[np.arange(len(lengths)), counted["doc"].to_numpy()]
-            tf = np.r_[np.zeros(len(lengths), np.int64), counted["count_all"].to_numpy()]
-            token = pa.concat_arrays([pa.array([""] * len(lengths), pa.string()), counted["token"].combine_chunks().cast(pa.string())])
-            code = token.dictionary_encode()
-            order = np.lexsort((doc, code.indices.to_numpy(), doc // WIDTH))
-            doc, tf, code = doc[order], tf[order], code.take(pa.array(order))
-            key = code.indices.to_numpy()
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] // WIDTH != doc[:-1] // WIDTH)])
-            place, size = doc % WIDTH, lengths[doc]
-            fields = {"place": pa.array(place, pa.int32())}
-            fields |= {c: batch[c].take(pa.array(doc)) for c in ids}
-            fields |= {"tf": pa.array(tf, pa.int32()), "length": pa.array(size, pa.int32())}
-            texts = pa.StructArray.from_arrays(list(fields.values()), list(fields))
-            yield pa.RecordBatch.from_pydict({
-                "token": code.take(pa.array(starts)).dictionary_decode(),
-                "block": pa.array(base + doc[starts] // WIDTH, pa.int64()),
-                "bits": pa.array(np.bitwise_or.reduceat(np.uint64(1) << place.astype(np.uint64), starts).view(np.int64)),
-                "most_tf": pa.array(np.maximum.reduceat(tf, starts), pa.int32()),
-                "least_length": pa.array(np.minimum.reduceat(size, starts), pa.int32()),
-                "total_length": pa.array(np.add.reduceat(size, starts), pa.int64()),
-                "texts": pa.ListArray.from_arrays(pa.array(np.r_[starts, len(doc)], pa.int32()), texts),
-            })
-            base += -(-len(lengths) // WIDTH)
+            for start, stop in runs(lengths[order]):
+                some = order[start:stop]
+                yield block_rows(batch.take(pa.array(some)), lengths[some], base)
+                base += -(-len(some) // WIDTH)
 
     return run
 

@@ -1,9 +1,14 @@
 import random
+from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from talkweave.operators import search
+from talkweave.sources import word_index
 from talkweave.sources.word_index import WordIndex
 
 WORDS = [f"{a}{b}{c}" for a in "abcé7" for b in "xyz" for c in ("", "q", "ing")] + ["common", "cat", "category"]
@@ -102,3 +107,30 @@ def test_batches_rebuilds_merges_and_repeats(spark, docs, tmp_path):
     assert [r[:2] for r in rows_of(index.bm25_topk("ax cat", 9))] == [r[:2] for r in scores]
     index.add(docs.limit(0), 4)
     assert rows_of(index.lengths()) == rows_of(lengths)
+
+
+@pytest.mark.parametrize("kind", ["blocks", "rows"])
+def test_a_batch_is_counted_in_runs_of_bounded_size(monkeypatch, kind):
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(900)}" for _ in range(rng.choice([0, 3, 40, 900]))] for _ in range(700)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts))), "words": pa.array(texts, pa.list_(pa.string()))})
+    monkeypatch.setattr(word_index, "AT_ONCE", 10_000)
+    monkeypatch.setattr(word_index, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = word_index._blocks(0, ["id"]) if kind == "blocks" else search._count_words(["id"])
+    made = list(run([batch.slice(0, 300), batch.slice(300, 0), batch.slice(300)]))
+    got, sizes, blocks = Counter(), [], []
+    for rows in (m.to_pylist() for m in made):
+        listed = [(r["token"], t) for r in rows for t in r.get("texts", [r])]
+        blocks += [r["block"] for r in rows if "block" in r and r["token"] == ""]
+        sizes.append(sum(1 for token, _ in listed if token))
+        got.update((t["id"], token, t["length"], t["tf"]) for token, t in listed if token)
+    assert max(sizes) <= 10_000
+    assert len(blocks) == len(set(blocks))
+    assert got == Counter((i, w, len(t), n) for i, t in enumerate(texts) for w, n in Counter(t).items())
+
+
+def test_runs_hold_whole_blocks_and_long_texts_alone():
+    assert list(word_index.word_runs()(np.array([], np.int64))) == []
+    many = list(word_index.word_runs(64)(np.full(1000, 1 << 11)))  # 128 texts make AT_ONCE words
+    assert many[0] == (0, 128) and many[-1] == (896, 1000)
+    assert list(word_index.word_runs(64)(np.array([5, 1 << 20, 1 << 20]))) == [(0, 1), (1, 2), (2, 3)]
