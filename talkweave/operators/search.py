@@ -15,7 +15,7 @@ from ..functions.clock import iso_text
 from ..functions.text import fold_text, query_tokens, required_query, tokens
 from ..functions.vectors import cosine, cosine_to, fit_vector
 from ..session import new_folder
-from ..sources.word_index import WordIndex
+from ..sources.word_index import WordIndex, word_runs
 from .filters import any_contains, filter_messages, filter_passages
 from .reading import newest
 
@@ -26,30 +26,41 @@ RRF = 61
 # --- index ------------------------------------------------------------------
 
 
+def _count_words(ids: list[str]):
+    """Texts (ids, words) -> ids, token, tf, length."""
+    runs = word_runs()
+
+    def count_run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch["words"]
+        listed = pa.table({"text": pc.list_parent_indices(words), "token": pc.list_flatten(words)})
+        found = listed.group_by(["text", "token"]).aggregate([([], "count_all")]).combine_chunks()
+        n = batch.num_rows
+        every = pa.array(np.arange(n), pa.int64())
+        at = pa.concat_arrays([every, *found["text"].cast(pa.int64()).chunks])
+        cols = {c: batch[c].take(at) for c in ids}
+        cols["token"] = pa.concat_arrays([pa.array([""] * n, words.type.value_type), *found["token"].chunks])
+        cols["tf"] = pa.concat_arrays([pa.array(np.ones(n), pa.int32()), *found["count_all"].cast(pa.int32()).chunks])
+        cols["length"] = pc.list_value_length(words).cast(pa.int32()).take(at)
+        return pa.RecordBatch.from_pydict(cols)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch["words"]).to_numpy(zero_copy_only=False)
+            for start, stop in runs(lengths):
+                yield count_run(batch.take(pa.array(np.arange(start, stop))))
+
+    return count
+
+
 def _token_rows(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     """ids, token, tf, length; a text's own row has the empty token, also when it has no words.
 
-    The JVM finds the words; occurrences are counted on Arrow batches of whole texts, so
+    The JVM finds the words; occurrences are counted on runs of whole texts from Arrow batches, so
     nothing is shuffled.
     """
     struct = [f"{c} {df.schema[c].dataType.simpleString()}" for c in ids]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch["words"]
-            listed = pa.table({"text": pc.list_parent_indices(words), "token": pc.list_flatten(words)})
-            found = listed.group_by(["text", "token"]).aggregate([([], "count_all")]).combine_chunks()
-            n = batch.num_rows
-            every = pa.array(np.arange(n), pa.int64())
-            at = pa.concat_arrays([every, *found["text"].cast(pa.int64()).chunks])
-            cols = {c: batch[c].take(at) for c in ids}
-            cols["token"] = pa.concat_arrays([pa.array([""] * n, words.type.value_type), *found["token"].chunks])
-            cols["tf"] = pa.concat_arrays([pa.array(np.ones(n), pa.int32()), *found["count_all"].cast(pa.int32()).chunks])
-            cols["length"] = pc.list_value_length(words).cast(pa.int32()).take(at)
-            yield pa.RecordBatch.from_pydict(cols)
-
     words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words")
-    return df.select(*ids, words).mapInArrow(count, ", ".join([*struct, "token string, tf int, length int"]))
+    return df.select(*ids, words).mapInArrow(_count_words(ids), ", ".join([*struct, "token string, tf int, length int"]))
 
 
 def _split_index(rows: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
