@@ -1,10 +1,11 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from talkweave.operators.segment import build_turns
-from talkweave.streaming.turns import stream_turns
+from talkweave.streaming.turns import TurnRules, stream_turns
 
 SCHEMA = "conversation_id string, message_id long, sent_at timestamp_ntz, direction string, speaker string, text string"
 START = dt.datetime(2024, 1, 1)
@@ -71,3 +72,31 @@ def test_turns_close_once_by_the_timer_and_late_messages_follow_the_rule(spark,
     ]
     dropped = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
     assert dropped == 1
+
+
+class Held:
+    """A state with the watermark of its time, in seconds."""
+
+    exists, hasTimedOut, get, watermark = False, False, None, 0
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark * 1000
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutTimestamp(self, at):
+        pass
+
+
+def test_a_call_that_closes_nothing_makes_no_frame():
+    rules, state = TurnRules(120, 20, 2_000), Held()
+    said = lambda *seconds: pd.DataFrame({
+        "message_id": list(seconds), "tick": [s * 1_000_000 for s in seconds], "speaker": "u", "direction": "to_me", "said": "x"})
+    assert list(rules(("a",), iter([said(10, 20)]), state)) == []
+    state.watermark = 30
+    assert list(rules(("a",), iter([said(1000)]), state)) == []
+    state.watermark, state.hasTimedOut = 2000, True
+    made = pd.concat(rules(("a",), iter([]), state))
+    assert made[["start_message_id", "end_message_id", "end_tick", "message_count", "text"]].values.tolist() == [
+        [10, 20, 20_000_000, 2, "x\nx"], [1000, 1000, 1_000_000_000, 1, "x"]]
