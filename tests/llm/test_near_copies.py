@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from talkweave.llm.near_copies import BANDS, LANES, RADIUS, keep_one, shingle_hashes, wide_print
+from talkweave.llm.near_copies import BANDS, LANES, RADIUS, keep_one, only_numbered, shingle_hashes, wide_print
 
 SCHEMA = "doc_id long, text string"
 
@@ -91,3 +92,25 @@ def test_columns_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4), (2, "a b c", 1, 2, 3, 4)], "doc_id long, text string, node int, fp int, llm_row int, keys int")
     assert [tuple(r) for r in keep_one(docs).collect()] == [(1, "a b c", 1, 2, 3, 4)]
     assert keep_one(docs.limit(0)).count() == 0
+
+
+def test_numbers_are_looked_up_by_their_bits(spark):
+    many = [(p << 33) + n for p in (0, 1, 5) for n in range(200)]
+    rows = spark.createDataFrame([(n, n % 7, "x") for n in [*many, 64, 64]], "number long, llm_word long, llm_bits string").repartition(3)
+    chosen = [n for n in many if n % 3 == 0 or n % 64 == 63]
+    got = only_numbered(rows, "number", spark.createDataFrame([(n,) for n in [*chosen, 64]], "number long"))
+    assert got.columns == rows.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted((n, n % 7, "x") for n in [*chosen, 64, 64, 64])
+    assert only_numbered(rows, "number", spark.createDataFrame([], "number long")).count() == 0
+
+
+def test_texts_are_not_shuffled_to_meet_the_rows_that_stay(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), "id").alias("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+    try:
+        kept = keep_one(docs)
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert kept.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
