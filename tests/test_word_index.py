@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
@@ -134,3 +135,24 @@ def test_runs_hold_whole_blocks_and_long_texts_alone():
     many = list(word_index.word_runs(64)(np.full(1000, 1 << 11)))  # 128 texts make AT_ONCE words
     assert many[0] == (0, 128) and many[-1] == (896, 1000)
     assert list(word_index.word_runs(64)(np.array([5, 1 << 20, 1 << 20]))) == [(0, 1), (1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("ids", [["id"], ["source", "id"]])
+def test_memory_of_counting_does_not_follow_the_batch(monkeypatch, ids):
+    rng = random.Random(6)
+    monkeypatch.setattr(word_index, "AT_ONCE", 10_000)
+    monkeypatch.setattr(word_index, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    peaks = []
+    for texts in (200, 3200):  # of 100 words: 2 and 32 runs
+        words = [[f"w{rng.randrange(900)}" for _ in range(100)] for _ in range(texts)]
+        batch = pa.RecordBatch.from_pydict({
+            "id": pa.array(range(texts)), "source": pa.array([f"src{i % 5}" for i in range(texts)]),
+            "words": pa.array(words, pa.list_(pa.string())),
+        })
+        run = word_index._blocks(0, ids)
+        tracemalloc.start()
+        for _ in run([batch]):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
