@@ -15,28 +15,34 @@ A batch adds a segment; what it rebuilds is marked as gone in the segments befor
 `merge` writes the live segments as one, without what is gone. Every step writes folders
 named after its batch and the version last, so a step that is repeated leaves the same
 index, and readers of an older version are not disturbed.
+
+What a step needs of local disk: `add` has one exchange, whose files go when the segment is
+written; `merge` reads and writes folder by folder and moves nothing.
 """
 
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import query_tokens, tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, settings
 
 WIDTH = 64  # texts of a block, one bit each
 AT_ONCE = 1 << 18  # words that a task counts at once
 PART_BITS, COUNT_BITS = 18, 22  # of a block's number: segment, task, count
 OTHER = 32  # folders of words that begin with neither a-z nor 0-9
+MERGED = 1 << 24  # bytes of files that a task of a merge sorts
 DOCS = "docs"
 
 
@@ -108,7 +114,7 @@ def _blocks(segment: int, ids: list[str]):
             "bits": pa.array(np.bitwise_or.reduceat(np.uint64(1) << place.astype(np.uint64), starts).view(np.int64)),
             "most_tf": pa.array(np.maximum.reduceat(tf, starts), pa.int32()),
             "least_length": pa.array(np.minimum.reduceat(size, starts), pa.int32()),
-            "total_length": pa.array(np.add.reduceat(size, starts), pa.int64()),
+            "total_length": pa.array(np.add.reduceat(size, starts), pa.int64(), mask=key[starts] != 0),  # of the empty word's rows
             "texts": pa.ListArray.from_arrays(pa.array(np.r_[starts, len(doc)], pa.int32()), texts),
         })
 
@@ -160,30 +166,48 @@ class WordIndex:
     def merge(self, segment: int) -> WordIndex:
         """Write the segments up to `segment` as one, without the texts that are gone."""
         old = self.segments(2 * segment)
-        gone = self._gone_bits(old)
-        rows = self._rows(old)
-        if gone is not None:
-            rows = rows.join(gone, "block", "left").withColumn("dead", F.coalesce("dead", F.lit(0).cast("long")))
-            alive = F.filter("texts", lambda t: F.col("dead").bitwiseAND(_bit(t.place)) == 0)
-            rows = rows.withColumn("texts", F.when(F.col("dead") == 0, F.col("texts")).otherwise(alive)).where(F.size("texts") > 0)
-            total = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + t.length)
-            rows = rows.withColumns({
-                "bits": F.col("bits").bitwiseAND(F.bitwise_not("dead")),
-                "most_tf": F.array_max("texts.tf"), "least_length": F.array_min("texts.length"),
-                "total_length": F.when(F.col("dead") == 0, F.col("total_length")).otherwise(total),
-            }).drop("dead")
+        rows = self._merged(old)
         merged = -1 - segment  # apart from the numbers of batches
-        self._write(rows, merged)
-        self._publish(2 * segment + 1, [merged], rows.schema)
+        with settings(rows.sparkSession, {"spark.sql.files.maxPartitionBytes": str(MERGED)}):
+            self._write_sorted(rows, merged)
+        self._publish(2 * segment + 1, [merged], rows.drop("first").schema)
         return self
 
+    def _merged(self, segments: list[int]) -> DataFrame:
+        """Rows of segments and their folder, without texts that are gone; a partition has files of one folder, so nothing is shuffled."""
+        gone, reader, parts = self._gone_bits(segments), self._reader(), []
+        for first, (paths, size) in sorted(self._folders(segments).items()):
+            rows = self._alive(reader.parquet(*paths).drop("segment", "first"), gone)
+            parts.append(rows.withColumn("first", F.lit(first)).coalesce(-(-size // MERGED) or 1))
+        return reduce(DataFrame.unionAll, parts or [self._rows(segments, []).withColumn("first", F.lit(DOCS))])
+
+    def _alive(self, rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+        """Rows without the texts that are gone."""
+        if gone is None:
+            return rows
+        rows = rows.join(gone, "block", "left").withColumn("dead", F.coalesce("dead", F.lit(0).cast("long")))
+        alive = F.filter("texts", lambda t: F.col("dead").bitwiseAND(_bit(t.place)) == 0)
+        rows = rows.withColumn("texts", F.when(F.col("dead") == 0, F.col("texts")).otherwise(alive)).where(F.size("texts") > 0)
+        total = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + t.length)
+        return rows.withColumns({
+            "bits": F.col("bits").bitwiseAND(F.bitwise_not("dead")),
+            "most_tf": F.array_max("texts.tf"), "least_length": F.array_min("texts.length"),
+            "total_length": F.when(F.col("token") == "", F.when(F.col("dead") == 0, F.col("total_length")).otherwise(total)),
+        }).drop("dead")
+
     def _write(self, rows: DataFrame, segment: int) -> None:
         # A frequent first letter is several tasks; a word's blocks go to any of them.
         salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
         rows = rows.withColumn("first", folder_of(F.col("token")))
         rows = rows.repartition("first", F.pmod(F.xxhash64("block"), F.lit(salts)))
+        # Spark would keep the exchange's files until the driver's next collection of garbage.
+        with settings(rows.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            self._write_sorted(rows, segment)
+
+    def _write_sorted(self, rows: DataFrame, segment: int) -> None:
         rows = rows.sortWithinPartitions("first", "token", "block")
-        rows.write.mode("overwrite").partitionBy("first").parquet(f"{self.path}/segments/segment={segment}")
+        writer = rows.write.mode("overwrite").option("compression", "zstd").partitionBy("first")
+        writer.parquet(f"{self.path}/segments/segment={segment}")
 
     def _publish(self, version: int, segments: list[int], schema: StructType) -> None:
         frame = self.spark.range(1).select(
@@ -218,10 +242,10 @@ class WordIndex:
         if prefixes is not None:
             named = sorted({f"first={folder_of_prefix(p)}" for p in prefixes})
             folders = [path for f in folders for n in named if self._exists(path := f"{f}/{n}")]
-        reader = self.spark.read.schema(StructType.fromJson(json.loads(self._live()["schema"])))
+        reader = self._reader()
         if not folders:
             return reader.parquet(base).where(F.lit(False)).drop("segment", "first")
-        rows = reader.option("basePath", base).parquet(*folders)  # other folders are not even listed
+        rows = reader.parquet(*folders)  # other folders are not even listed
         if prefixes is not None:
             wanted = F.lit(False)
             for p in prefixes:
@@ -229,6 +253,24 @@ class WordIndex:
             rows = rows.where(wanted)
         return rows.drop("segment", "first")
 
+    def _reader(self) -> DataFrameReader:
+        schema = StructType.fromJson(json.loads(self._live()["schema"]))
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/segments")
+
+    def _folders(self, segments: list[int]) -> dict[str, tuple[list[str], int]]:
+        """Folder of words -> its paths in these segments and the bytes they hold: names and sizes that the file system lists."""
+        paths, sizes = defaultdict(list), defaultdict(int)
+        for s in segments:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/segments/segment={s}")
+            files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for found in files.listStatus(folder):
+                name = found.getPath().getName()
+                if name.startswith("first="):
+                    first = name.removeprefix("first=")
+                    paths[first].append(f"{self.path}/segments/segment={s}/{name}")
+                    sizes[first] += files.getContentSummary(found.getPath()).getLength()
+        return {first: (paths[first], sizes[first]) for first in paths}
+
     def _gone(self, segments: list[int]) -> DataFrame | None:
         """Texts gone by a live segment. A merged one (below zero) has left them out."""
         there = [path for s in segments if s > 0 and self._exists(path := f"{self.path}/gone/segment={s}")]

@@ -1,4 +1,6 @@
+import pathlib
 import random
+import time
 import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
@@ -156,3 +158,63 @@ def test_memory_of_counting_does_not_follow_the_batch(monkeypatch, ids):
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 2 * peaks[0]
+
+
+def shuffle_bytes(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in folders for f in pathlib.Path(d.getPath()).rglob("shuffle_*.data") if f.exists())
+
+
+def test_an_exchange_leaves_no_files_when_its_segment_is_written(spark, docs, tmp_path):
+    index, key = WordIndex(spark, str(tmp_path / "index"), "id"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_bytes(spark), spark.conf.get(key)
+    for n in range(3):
+        index.add(docs.where(F.col("id") % 3 == n), n)
+    index.merge(2)
+    deadline = time.monotonic() + 20  # files go in the background
+    while shuffle_bytes(spark) > before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert shuffle_bytes(spark) <= before
+    assert spark.conf.get(key) == setting
+
+
+def test_a_merge_moves_no_rows_between_tasks(spark, docs, tmp_path, monkeypatch, capsys):
+    index = WordIndex(spark, str(tmp_path / "index"), ["conversation", "id"])
+    for n in range(3):
+        index.add(docs.where(F.col("id") % 3 == n), n)
+    want = rows_of(index.postings())
+    monkeypatch.setattr(word_index, "MERGED", 1 << 14)  # several tasks for a frequent letter
+    written = []
+    write = WordIndex._write_sorted
+    monkeypatch.setattr(WordIndex, "_write_sorted", lambda self, rows, segment: (written.append(rows), write(self, rows, segment)))
+    index.merge(2)
+    written[0].explain()
+    assert "Exchange" not in capsys.readouterr().out
+    files = list((tmp_path / "index/segments/segment=-3").rglob("*.parquet"))
+    assert 1 < len([f for f in files if f.parent.name == "first=wc"]) < 8
+    for f in files:  # a file is of one folder and in the order of words
+        words = [r.token for r in spark.read.parquet(str(f)).select("token", "block").collect()]
+        assert words == sorted(words)
+    assert rows_of(index.postings()) == want
+    assert rows_of(index.terms("cat")) == rows_of(index.terms().where("token like 'cat%'"))
+
+
+def test_texts_that_are_gone_are_left_out_of_every_folder_of_a_merge(spark, docs, tmp_path):
+    index = WordIndex(spark, str(tmp_path / "index"), ["conversation", "id"])
+    index.add(docs.withColumn("text", F.concat_ws(" ", "text", F.lit("stale 9 ☃ ж"))), 0)
+    index.add(docs, 1, rebuilt=docs.select("conversation").distinct())
+    want, lengths = search.build_token_index(docs, ["conversation", "id"])
+    index.merge(1)
+    assert rows_of(index.postings()) == rows_of(want)
+    assert rows_of(index.lengths()) == rows_of(lengths)
+    corpus = index.corpus().first()
+    assert (corpus.texts, corpus.length) == tuple(lengths.agg(F.count("*"), F.sum("length")).first())
+    stored = spark.read.parquet(str(tmp_path / "index/segments/segment=-2"))
+    assert stored.where("token = 'stale'").count() == 0
+
+
+def test_a_merge_of_segments_without_texts(spark, tmp_path):
+    index = WordIndex(spark, str(tmp_path / "index"), "id")
+    none = spark.createDataFrame([], "id long, text string")
+    index.add(none, 0).add(none, 1).merge(1)
+    assert index.segments() == [-2] and index.postings().collect() == [] and index.lengths().collect() == []
