@@ -277,13 +277,16 @@ class WordIndex:
         return self.spark.read.schema("block long, place int, length int").parquet(*there).distinct() if there else None
 
     def _gone_bits(self, segments: list[int]) -> DataFrame | None:
+        """The same, a bit each. Broadcast, as rows of words would all be shuffled otherwise: 16 bytes for 64 texts."""
         gone = self._gone(segments)
-        return None if gone is None else gone.groupBy("block").agg(F.bit_or(_bit(F.col("place"))).alias("dead"))
+        return None if gone is None else F.broadcast(gone.groupBy("block").agg(F.bit_or(_bit(F.col("place"))).alias("dead")))
 
     def _texts(self, rows: DataFrame, segments: list[int]) -> DataFrame:
-        texts = rows.select("block", "token", F.inline("texts"))
-        gone = self._gone(segments)
-        return texts if gone is None else texts.join(gone.select("block", "place"), ["block", "place"], "left_anti")
+        gone = self._gone_bits(segments)
+        if gone is None:
+            return rows.select("block", "token", F.inline("texts"))
+        texts = rows.join(gone, "block", "left").select("block", "token", "dead", F.inline("texts"))
+        return texts.where(F.coalesce("dead", F.lit(0).cast("long")).bitwiseAND(_bit(F.col("place"))) == 0).drop("dead")
 
     def postings(self, prefixes: Sequence[str] | None = None) -> DataFrame:
         """ids, token, tf, length; with prefixes, only their words and folders."""

@@ -218,3 +218,20 @@ def test_a_merge_of_segments_without_texts(spark, tmp_path):
     none = spark.createDataFrame([], "id long, text string")
     index.add(none, 0).add(none, 1).merge(1)
     assert index.segments() == [-2] and index.postings().collect() == [] and index.lengths().collect() == []
+
+
+def test_texts_that_are_gone_are_left_out_without_an_exchange_of_words(spark, docs, tmp_path, capsys):
+    index = WordIndex(spark, str(tmp_path / "index"), ["conversation", "id"])
+    index.add(docs.withColumn("text", F.concat_ws(" ", "text", F.lit("stale"))), 0)
+    index.add(docs.where("conversation = 'c3'"), 1, rebuilt=docs.where("conversation = 'c3'").select("conversation").distinct())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (index.postings(), index._merged(index.segments())):
+            rows.explain()
+            plan = capsys.readouterr().out
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        stale = index.terms("stale").first().documents
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert stale == docs.where("conversation <> 'c3'").count()
